@@ -23,6 +23,54 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumigrid.llm import media
+
+    return media.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumigrid.llm import jaccard
+
+    return jaccard.linked(table(spark, sf_dir, "documents"))
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumigrid.llm import packing
+
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op6_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumigrid.llm import pseudonyms
+
+    return pseudonyms.pseudonymized(table(spark, sf_dir, "documents"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumigrid.llm import mixing
+
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumigrid.llm import quality
+
+    return quality.judged(table(spark, sf_dir, "documents"))
+
+
+def op9_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumigrid.llm import suffix_tree
+
+    return suffix_tree.score(table(spark, sf_dir, "documents"))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumigrid.llm import sharding
+
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 

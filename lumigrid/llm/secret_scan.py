@@ -108,14 +108,15 @@ def trigram_query(pattern: str) -> list[frozenset[str]]:
         return []
     best = max(found, key=lambda ways: min(map(len, ways)))
     rest = [ways[0] for ways in found if len(ways) == 1 and ways is not best]
-    return [frozenset().union(way, *rest) for way in best]
+    ways = {frozenset().union(way, *rest) for way in best}
+    return sorted((w for w in ways if not any(v < w for v in ways)), key=sorted)  # a way that holds another one says no more
 
 
 def build_index(docs: DataFrame, trigrams: list[str]) -> DataFrame:
     """Postings (trigram, doc_id) of the asked trigrams over lower-cased texts."""
-    low = F.lower("text")
-    held = F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in trigrams])
-    return docs.select("doc_id", F.explode(F.array_compact(held)).alias("trigram"))
+    low = docs.select("doc_id", F.lower("text").alias("low"))
+    held = F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in trigrams])
+    return low.select("doc_id", F.explode(F.array_compact(held)).alias("trigram"))
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:

@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from lumigrid.llm import common
 
 #: The bound of the training sample: so many labelled documents, and so many characters of text, at most.
-MAX_TRAIN = 12_000
+MAX_TRAIN = 8_000
 MAX_TRAIN_CHARS = 60_000_000
-MAX_FEATURES = 50_000
+MAX_FEATURES = 8_000
 THRESHOLD = 0.7
 SENTENCE = re.compile(r"[.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
@@ -37,32 +37,38 @@ def sentences(text: str) -> list[str]:
     return [s for s in SENTENCE.split(text) if s.strip()]
 
 
-def fit(texts: list[str], labels: list[int], steps: int = 150, rate: float = 0.15, decay: float = 2e-6, least: int = 5) -> dict:
-    """Weights by word and the bias, from documents and their labels."""
+def features(word: str) -> list[str]:
+    """The word, and its first four and five letters as prefixes, which carry over to unseen inflections."""
+    return [word] + [word[:n] + "*" for n in (4, 5) if len(word) > n]
+
+
+def fit(texts: list[str], labels: list[int], steps: int = 300, rate: float = 0.2, decay: float = 1e-6, least: int = 5) -> dict:
+    """Weights by feature and the bias, from documents and their labels."""
     seen: Counter = Counter()
+    held: Counter = Counter()
     bags = [[set(WORD.findall(s.lower())) for s in sentences(t)] for t in texts]
-    for bag in bags:
-        seen.update(set().union(*bag))
+    for bag, label in zip(bags, labels, strict=True):
+        own = {f for w in set().union(*bag) for f in features(w)}
+        seen.update(own)
+        if label:
+            held.update(own)
     y = np.array(labels, dtype=float)
     if not len(y) or y.min() == y.max():
         return {"bias": -3.0, "weights": {}}
-    held: Counter = Counter()
-    for bag, label in zip(bags, labels, strict=True):
-        if label:
-            held.update(set().union(*bag))
-    # words are kept by how far their presence shifts the odds of the label, strongest first
-    rate_toxic = y.mean()
+    prior = y.mean()
 
-    def shift(w: str) -> float:
-        return abs(np.log((held[w] + rate_toxic) / (seen[w] + 1) / rate_toxic)) * np.sqrt(seen[w])
+    def shift(f: str) -> float:
+        """How far the feature's presence moves the odds of the label, in standard errors or so."""
+        return abs(held[f] - prior * seen[f]) / np.sqrt(prior * seen[f] + 1)
 
-    names = sorted((w for w, n in seen.items() if n >= least), key=lambda w: (-shift(w), w))[:MAX_FEATURES]
+    names = sorted((f for f, n in seen.items() if n >= least), key=lambda f: (-shift(f), f))[:MAX_FEATURES]
     index = {w: i for i, w in enumerate(names)}
+    known = {w: [i for i in map(index.get, features(w)) if i is not None] for w in {w for bag in bags for s in bag for w in s}}
     cols, ends, doc_of = [], [0], []
     for d, bag in enumerate(bags):
         for s in bag:
-            ids = sorted(i for i in map(index.get, s) if i is not None)
-            cols += ids
+            for w in sorted(s):
+                cols += known[w]
             ends.append(len(cols))
             doc_of.append(d)
     cols_a, doc_a = np.array(cols, dtype=np.int64), np.array(doc_of, dtype=np.int64)
@@ -74,7 +80,7 @@ def fit(texts: list[str], labels: list[int], steps: int = 150, rate: float = 0.1
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         safe = np.bincount(doc_a, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(y))
         doc = np.clip(1 - np.exp(safe), 1e-9, 1 - 1e-12)
-        # d loss / d z of sentence s: p_s for a clean document, -p_s (1 - P) / P for a toxic one
+        # the loss by a sentence's log odds: p for a clean document, -p (1 - P) / P for a toxic one
         g = p * np.where(y[doc_a] > 0, -(1 - doc[doc_a]) / doc[doc_a], 1.0) / len(y)
         gw, gb = np.bincount(cols_a, weights=g[rows], minlength=len(names)) + decay * np.sign(w), g.sum()
         mw, vw = 0.9 * mw + 0.1 * gw, 0.99 * vw + 0.01 * gw**2
@@ -103,29 +109,31 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
     return fit(texts, marks)
 
 
-def sentence_scores(text: str, weights: dict[str, float], bias: float) -> list[tuple[str, float]]:
-    out = []
-    for s in sentences(text):
-        z = bias + sum(weights[w] for w in set(WORD.findall(s.lower())) if w in weights)
-        out.append((s.strip(), 1 / (1 + np.exp(-max(-30.0, min(30.0, z))))))
-    return out
+class Scorer:
+    """Scores texts; keeps what it has worked out by word, up to a bound."""
+
+    def __init__(self, model: dict, bound: int = 500_000):
+        self.weights, self.bias, self.bound, self.by_word = model["weights"], model["bias"], bound, {}
+
+    def word(self, w: str) -> float:
+        if len(self.by_word) >= self.bound:
+            self.by_word.clear()
+        x = self.by_word[w] = sum(self.weights.get(f, 0.0) for f in features(w))
+        return x
 
+    def parts(self, text: str) -> tuple[list[str], np.ndarray]:
+        """The sentences, and the probability of each."""
+        said, get = sentences(text), self.by_word.get
+        z = np.array([sum([x if (x := get(w)) is not None else self.word(w) for w in set(WORD.findall(s.lower()))]) for s in said], dtype=float)
+        return said, 1 / (1 + np.exp(-np.clip(z + self.bias, -30, 30)))
 
-def score_text(text: str, weights: dict[str, float], bias: float) -> tuple[float, int, float]:
-    """The document's noisy-or, the place of its worst sentence (-1: none), and that sentence's probability."""
-    safe, worst, top = 0.0, -1, 0.0
-    base = 1 / (1 + np.exp(-bias))
-    for i, s in enumerate(sentences(text)):
-        z, hit = bias, False
-        for w in set(WORD.findall(s.lower())):
-            x = weights.get(w)
-            if x is not None:
-                z, hit = z + x, True
-        p = 1 / (1 + np.exp(-max(-30.0, min(30.0, z)))) if hit else base
-        safe += np.log1p(-min(p, 1 - 1e-12))
-        if p > top:
-            worst, top = i, p
-    return float(1 - np.exp(safe)) if worst >= 0 else float(base), worst, float(top)
+    def document(self, text: str) -> tuple[float, int, float]:
+        """The noisy-or, the place of the worst sentence (-1: none), and that sentence's probability."""
+        _, p = self.parts(text)
+        if not len(p):
+            return float(1 / (1 + np.exp(-self.bias))), -1, 0.0
+        worst = int(p.argmax())
+        return float(1 - np.exp(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())), worst, float(p[worst])
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
@@ -133,10 +141,9 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     said = json.dumps(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        got = json.loads(said)
-        weights, bias = got["weights"], got["bias"]
+        scorer = Scorer(json.loads(said))
         for b in batches:
-            rows = [score_text(t, weights, bias) for t in b["text"]]
+            rows = [scorer.document(t) for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "score": [r[0] for r in rows], "worst": [r[1] for r in rows], "worst_score": [r[2] for r in rows]})
 
     return common.corpus(docs).mapInPandas(run, "doc_id long, score double, worst int, worst_score double")
@@ -147,9 +154,9 @@ def offending(docs: DataFrame, model: dict, least: float = 0.5) -> DataFrame:
     said = json.dumps(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        got = json.loads(said)
+        scorer = Scorer(json.loads(said))
         for b in batches:
-            rows = [(d, i, s, p) for d, t in zip(b["doc_id"].astype("Int64"), b["text"], strict=True) for i, (s, p) in enumerate(sentence_scores(t, got["weights"], got["bias"])) if p >= least]
+            rows = [(d, i, s.strip(), p) for d, t in zip(b["doc_id"].astype("Int64"), b["text"], strict=True) for i, (s, p) in enumerate(zip(*scorer.parts(t), strict=True)) if p >= least]
             yield pd.DataFrame(rows, columns=["doc_id", "place", "sentence", "score"]).astype({"doc_id": "Int64"})
 
     return common.corpus(docs).mapInPandas(run, "doc_id long, place int, sentence string, score double")
@@ -167,8 +174,9 @@ def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     said = json.dumps(train(docs, labels))
 
     @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        got = json.loads(said)
-        return texts.map(lambda t: score_text(t or "", got["weights"], got["bias"])[0])
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = Scorer(json.loads(said))
+        for texts in batches:
+            yield pd.Series([scorer.document(t)[0] for t in texts], dtype=float)
 
     return docs.where(scored(F.coalesce("text", F.lit(""))) < THRESHOLD)
