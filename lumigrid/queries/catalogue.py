@@ -1,9 +1,14 @@
 """All registered queries of the similarity engine."""
 
+from __future__ import annotations
+
+from lumigrid.queries import search  # noqa: F401
+from lumigrid.queries.base import ORACLE, QUERIES
+
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(ORACLE)
