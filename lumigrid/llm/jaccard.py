@@ -7,8 +7,8 @@ n - ceil(n * threshold) + 1 shingles of the order), so classes that share a pref
 pair of candidates each fragment counts its partial overlap on its own, and the partial overlaps are summed per pair.
 
 Groups of near copies would have all their pairs as candidates. Links make components, and a pair inside a component
-can't change it, so verification runs in two steps: first each class against one hub, the class it shares most prefix
-shingles with among the least of their buckets; then every candidate pair between different components, which is exact.
+can't change it, so verification runs in two steps: first each class against one hub, the first class of the buckets in
+which it occurs most; then every candidate pair between different components, which is exact.
 The frequent shingles (a bounded list) only shape the order: any order gives the same links.
 
 Defined results: a null text, or one without words, has an empty set, is linked with nothing and is its own component;
@@ -230,16 +230,19 @@ def linked(docs: DataFrame) -> DataFrame:
     classes = sets.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
 
     by_shingle = Window.partitionBy("shingle")
-    in_order = by_shingle.orderBy("n", "set_id")
+    in_order = by_shingle.orderBy("set_id")  # a hash, so that hubs are members like any other
     rows = prefixes(base, frequent).withColumn("hub", F.first(F.struct("set_id", "n")).over(in_order)).withColumn("prior", F.lag("set_id").over(in_order))
     rows = rows.withColumn("low", F.min("set_id").over(by_shingle)).withColumn("high", F.max("set_id").over(by_shingle)).where("low < high")
     rows = rows.where("prior is null or prior <> set_id")  # equal sets come from different tasks
     buckets = common.written(rows.select("shingle", "set_id", "n", F.col("hub.set_id").alias("hub"), F.col("hub.n").alias("hub_n")), "prefix-buckets")
 
-    # each class against the hub with which it shares most
+    # each class against the hub with which it shares most; a pair whose prefixes share too little has no chance
     hubs = buckets.where("hub <> set_id").groupBy("set_id", "n", "hub", "hub_n").count()
-    hubs = hubs.select(F.col("hub").alias("a"), F.col("set_id").alias("b"), F.col("hub_n").alias("na"), F.col("n").alias("nb"), "count").where(possible(F.col("count")))
-    first = hubs.groupBy("b", "nb").agg(F.max_by(F.struct("a", "na"), F.struct("count", "a")).alias("hub")).select("hub.a", "b", "hub.na", "nb")
+    most = hubs.groupBy(F.col("set_id").alias("b"), F.col("n").alias("nb")).agg(F.max_by(F.struct("hub", "hub_n"), F.struct("count", "hub")).alias("h"))
+    most = most.select(F.col("h.hub").alias("a"), "b", F.col("h.hub_n").alias("na"), "nb")
+    held = buckets.select("shingle", F.col("set_id").alias("b")).join(most, "b")
+    both = held.join(buckets.select("shingle", F.col("set_id").alias("a")), ["shingle", "a"])
+    first = both.groupBy("a", "b", "na", "nb").count().where(possible(F.col("count"))).drop("count")
     links = common.written(checked(first, base, classes, frequent), "links")
 
     # every candidate pair between the components so far
