@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumigrid.queries import search  # noqa: F401
+from lumigrid.queries import images, retrieval, search, tables  # noqa: F401
 from lumigrid.queries.base import ORACLE, QUERIES
 
 
