@@ -16,15 +16,15 @@ BASE = (*PIXELS, _COLORS)
 LONG = (*BASE, _LONG)
 
 
-def _rounded(df, *keys):
-    return df.select(*keys, *[V.rounded(F.col(c).cast("double")).alias(c) for c in df.columns if c not in keys])
+def _rounded(df, *keys, places=6):
+    return df.select(*keys, *[V.rounded(F.col(c).cast("double"), places).alias(c) for c in df.columns if c not in keys])
 
 
-def image(name, sql, ctes, *keys):
+def image(name, sql, ctes, *keys, places=6):
     """Registers an image query whose columns but the keys are rounded."""
 
     def register(f):
-        query(f"image_{name}", sql, ctes)(lambda spark, sf_dir: _rounded(f(pixels(spark)), *keys))
+        query(f"image_{name}", sql, ctes)(lambda spark, sf_dir: _rounded(f(pixels(spark)), *keys, places=places))
         return f
 
     return register
@@ -86,7 +86,8 @@ def _level(n: int, source: str) -> str:
 
 
 _WAVE = ("q0 AS (SELECT img_id, y, x, gray AS p FROM c)", _level(1, "q0"), _level(2, "q1"), _level(3, "q2"))
-image("wavelet", " UNION ALL ".join(f"SELECT img_id, {n} AS level, {r6('avg(p)')} AS ll, {r6('avg(lh)')} AS lh, {r6('avg(hl)')} AS hl, {r6('avg(hh)')} AS hh FROM q{n} GROUP BY img_id" for n in (1, 2, 3)), (*BASE, *_WAVE), "img_id", "level")(X.wavelet)
+# means of few-digit decimals often end in a 5 at the seventh place; ten places hold them whole
+image("wavelet", " UNION ALL ".join("SELECT img_id, %d AS level, " % n + ", ".join(f"round(avg({c}), 10) + 0.0 AS {a}" for c, a in (("p", "ll"), ("lh", "lh"), ("hl", "hl"), ("hh", "hh"))) + f" FROM q{n} GROUP BY img_id" for n in (1, 2, 3)), (*BASE, *_WAVE), "img_id", "level", places=10)(X.wavelet)
 
 _CORR = "hq AS (SELECT img_id, y, x, floor(h / 22.5)::BIGINT AS color FROM c), an AS (SELECT * FROM hq WHERE y % 2 = 0 AND x % 2 = 0), st AS (SELECT * FROM (VALUES " + ", ".join(f"({d}, {dy}, {dx})" for d in (1, 3, 5, 7) for dy, dx in ((0, d), (d, 0), (d, d), (-d, d))) + ") t(d, dy, dx)), tot AS (SELECT img_id, color, count(*) AS total FROM an GROUP BY img_id, color)"
 image("correlogram", f"SELECT a.img_id, st.d::BIGINT AS d, a.color, {r6('count(o.color) / (4 * max(tot.total) + 1e-7)')} AS share FROM an a CROSS JOIN st JOIN tot ON tot.img_id = a.img_id AND tot.color = a.color LEFT JOIN hq o ON o.img_id = a.img_id AND o.y = a.y + st.dy AND o.x = a.x + st.dx AND o.color = a.color GROUP BY a.img_id, st.d, a.color", (*BASE, _CORR), "img_id", "d", "color")(X.correlogram)
