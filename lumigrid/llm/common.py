@@ -65,16 +65,16 @@ def gapless_rank(df: DataFrame, group: list[str], order: list[str], out: str, ce
 
     Each group is dealt into cells by a hash of the order columns. Counts per cell are summed up in front (a small
     table of at most groups x cells rows), and rows are numbered within their cell: no task holds a whole group.
-    Rows that agree in all order columns are interchangeable.
+    Rows that agree in all order columns are interchangeable; the group columns must not be null.
     """
     cell, base = "__cell", "__base"
     dealt = df.withColumn(cell, F.pmod(F.xxhash64(*order), F.lit(cells)).cast("int"))
     sums = dealt.groupBy(*group, cell).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*group).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*[F.col(g).alias(f"__{g}") for g in group], F.col(cell).alias("__c"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias(base))
-    on = (F.col(cell) == F.col("__c"))
-    for g in group:
-        on = on & F.col(g).eqNullSafe(F.col(f"__{g}"))
+    on = F.col(cell) == F.col("__c")
+    for g in group:  # plain equality, so that the join finds the rows where the window has put them
+        on = on & (F.col(g) == F.col(f"__{g}"))
     inside = Window.partitionBy(*group, cell).orderBy(*order)
     ranked = dealt.withColumn("__r", F.row_number().over(inside))
     return ranked.join(sums, on).withColumn(out, (F.col(base) + F.col("__r") - 1).cast("long")).drop(cell, base, "__r", "__c", *[f"__{g}" for g in group])

@@ -61,15 +61,17 @@ def mix(docs: DataFrame, seed: int = 42, keep: list[str] | None = None) -> DataF
     # a 53-bit fraction strictly between 0 and 1
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id").cast("long")), 11).cast("double") + 0.5) / float(2**53)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), common.n_words(text).alias("size"), (-F.log(u) / quality(text)).alias("key"), *kept)
+    # a key without nulls: plain equality lets the join find the rows where the window has put them
+    base = base.withColumn("from", F.concat(F.when(F.col("source").isNull(), "-").otherwise("+"), F.coalesce("source", F.lit(""))))
     base = base.withColumn("cell", F.least(F.lit(CELLS - 1), F.floor((1 - F.exp(-F.col("key"))) * CELLS)).cast("int"))
-    sums = common.written(base.groupBy("source", "cell").agg(F.sum("size").alias("words")), "mix-cells")  # at most sources x CELLS rows
+    sums = common.written(base.groupBy("from", "source", "cell").agg(F.sum("size").alias("words")), "mix-cells")  # at most sources x CELLS rows
     sizes = sums.groupBy("source").agg(F.sum("words").alias("source_size"))
-    front = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    front = F.coalesce(F.sum("words").over(Window.partitionBy("from").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cells = sums.withColumn("front", front).alias("c").join(targets(sizes).alias("t"), F.col("c.source").eqNullSafe(F.col("t.source")))
-    cells = cells.select(F.col("c.source").alias("__source"), F.col("c.cell").alias("__cell"), "front", "source_size", "target")
-    inside = Window.partitionBy("source", "cell").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select(F.col("c.from").alias("__from"), F.col("c.cell").alias("__cell"), "front", "source_size", "target")
+    inside = Window.partitionBy("from", "cell").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     running = base.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    joined = running.join(cells, F.col("source").eqNullSafe(F.col("__source")) & (F.col("cell") == F.col("__cell")))
+    joined = running.join(cells, (F.col("from") == F.col("__from")) & (F.col("cell") == F.col("__cell")))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = F.round(F.col("target") - epochs * F.col("source_size")).cast("long")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("front") - F.col("inside")))
