@@ -274,5 +274,5 @@ def checked(pairs: DataFrame, base: DataFrame, classes: DataFrame, frequent: byt
 def kept(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, one for each component: its least id, and of repeated ids one row. Rows with a null id stay."""
     heads = linked(docs).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct()
-    ided = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return ided.join(heads, ided["doc_id"].cast("long") == F.col("__id"), "left_semi").unionByName(docs.where("doc_id is null"))
+    ided = docs.where("doc_id is not null")
+    return ided.join(heads, ided["doc_id"].cast("long") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
