@@ -75,5 +75,27 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
+def _op1_sql() -> str:
+    """The spans of all rules by DuckDB: gaps and matches alternate, so places are running sums of their lengths."""
+    from lumigrid.llm import secret_scan
+
+    def rule(order: int, r: secret_scan.Rule) -> str:
+        pattern = "'" + r.pattern.replace("'", "''") + "'"
+        return f"""SELECT doc_id, {order} AS ord, '{r.kind}' AS kind, {r.least} AS least, string_split_regex(t, {pattern}) AS gaps, regexp_extract_all(t, {pattern}, 0) AS hits, regexp_extract_all(t, {pattern}, {r.group}) AS vals FROM d"""
+
+    rules = " UNION ALL ".join(rule(i, r) for i, r in enumerate(secret_scan.RULES))
+    base = len(secret_scan.BASE)
+    counts = ", ".join(f"count(*) FILTER (kind = '{r.kind}')::BIGINT AS n_{r.kind}" for r in secret_scan.BASE)
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS ({rules}),
+      u AS (SELECT doc_id, ord, kind, least, gaps, hits, vals, unnest(range(1, len(hits) + 1)) AS i FROM m WHERE len(hits) > 0),
+      p AS (SELECT doc_id, ord, kind, least, length(vals[i]) AS v, length(hits[i]) AS n,
+        (list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0))::BIGINT AS start FROM u),
+      s AS (SELECT doc_id, ord, kind, start, kind || ':' || start || ':' || (start + n) AS said FROM p WHERE v >= least),
+      g AS (SELECT doc_id, {counts}, string_agg(said, ',' ORDER BY start, ord) FILTER (ord < {base}) AS base, string_agg(said, ',' ORDER BY start, ord) AS spans FROM s GROUP BY doc_id)
+      SELECT d.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0)::BIGINT AS n_{r.kind}" for r in secret_scan.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g ON d.doc_id = g.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others have none: a trained model, codecs, a component search, a packing, or Spark's own hashes; tests/llm
+    compare them with brute force."""
+    return {"op1_secret_scans": _op1_sql()}
