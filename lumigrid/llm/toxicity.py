@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import json
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +25,8 @@ from lumigrid.llm import common
 
 #: The bound of the training sample: so many labelled documents, and so many characters of text, at most.
 MAX_TRAIN = 8_000
-MAX_TRAIN_CHARS = 60_000_000
-MAX_FEATURES = 8_000
+MAX_TRAIN_CHARS = 40_000_000
+MAX_FEATURES = 4_000
 THRESHOLD = 0.7
 SENTENCE = re.compile(r"[.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
@@ -44,35 +43,45 @@ def features(word: str) -> list[str]:
 
 def fit(texts: list[str], labels: list[int], steps: int = 300, rate: float = 0.2, decay: float = 1e-6, least: int = 5) -> dict:
     """Weights by feature and the bias, from documents and their labels."""
-    seen: Counter = Counter()
-    held: Counter = Counter()
-    bags = [[set(WORD.findall(s.lower())) for s in sentences(t)] for t in texts]
-    for bag, label in zip(bags, labels, strict=True):
-        own = {f for w in set().union(*bag) for f in features(w)}
-        seen.update(own)
-        if label:
-            held.update(own)
-    y = np.array(labels, dtype=float)
-    if not len(y) or y.min() == y.max():
+    # sentences become sorted numbers of distinct words at once, so that no text stays in memory as strings
+    number: dict[str, int] = {}
+    said, ends, doc_of, y = [], [0], [], np.array(labels, dtype=float)
+    for d, t in enumerate(texts):
+        for s in sentences(t):
+            ids = np.fromiter({number.setdefault(w, len(number)) for w in WORD.findall(s.lower())}, dtype=np.int32)
+            said.append(ids)
+            ends.append(ends[-1] + len(ids))
+            doc_of.append(d)
+    if not said or y.min() == y.max():
         return {"bias": -3.0, "weights": {}}
+    flat, doc_a = np.concatenate(said), np.array(doc_of, dtype=np.int32)
+    sentence = np.repeat(np.arange(len(doc_a), dtype=np.int32), np.diff(ends))
+    del said
+    # each word's features, and how many documents, and toxic ones, have each feature
+    names: dict[str, int] = {}
+    of_word = [[names.setdefault(f, len(names)) for f in features(w)] for w in number]
+    counts = np.array([len(x) for x in of_word], dtype=np.int32)
+    first, every = np.concatenate([[0], np.cumsum(counts)])[:-1], np.fromiter((i for x in of_word for i in x), dtype=np.int32)
+    del of_word
+    pairs = np.unique(doc_a[sentence].astype(np.int64) * len(number) + flat)
+    docs_, words_ = pairs // len(number), pairs % len(number)
+    reach = np.repeat(docs_, counts[words_]) * len(names) + every[_spread(first[words_], counts[words_])]
+    reach = np.unique(reach)
+    seen = np.bincount(reach % len(names), minlength=len(names))
+    held = np.bincount(reach % len(names), weights=y[reach // len(names)], minlength=len(names))
+    del pairs, docs_, words_, reach
+    # features are kept by how far their presence moves the odds of the label, in standard errors or so
     prior = y.mean()
-
-    def shift(f: str) -> float:
-        """How far the feature's presence moves the odds of the label, in standard errors or so."""
-        return abs(held[f] - prior * seen[f]) / np.sqrt(prior * seen[f] + 1)
-
-    names = sorted((f for f, n in seen.items() if n >= least), key=lambda f: (-shift(f), f))[:MAX_FEATURES]
-    index = {w: i for i, w in enumerate(names)}
-    known = {w: [i for i in map(index.get, features(w)) if i is not None] for w in {w for bag in bags for s in bag for w in s}}
-    cols, ends, doc_of = [], [0], []
-    for d, bag in enumerate(bags):
-        for s in bag:
-            for w in sorted(s):
-                cols += known[w]
-            ends.append(len(cols))
-            doc_of.append(d)
-    cols_a, doc_a = np.array(cols, dtype=np.int64), np.array(doc_of, dtype=np.int64)
-    rows = np.repeat(np.arange(len(doc_a)), np.diff(ends))
+    shift = np.where(seen >= least, np.abs(held - prior * seen) / np.sqrt(prior * seen + 1), -1.0)
+    best = np.argsort(-shift, kind="stable")[:MAX_FEATURES]
+    best = best[shift[best] > 0]
+    index = np.full(len(names), -1, dtype=np.int32)
+    index[best] = np.arange(len(best))
+    label_of = list(names)
+    names = [label_of[i] for i in best]
+    cols_a = index[every[_spread(first[flat], counts[flat])]]
+    rows = np.repeat(sentence, counts[flat])
+    rows, cols_a = rows[cols_a >= 0], cols_a[cols_a >= 0]
     w, b = np.zeros(len(names)), -6.0
     mw, vw, mb, vb = np.zeros(len(names)), np.zeros(len(names)), 0.0, 0.0
     for t in range(1, steps + 1):
@@ -90,6 +99,12 @@ def fit(texts: list[str], labels: list[int], steps: int = 300, rate: float = 0.2
     return {"bias": float(b), "weights": {n: round(float(x), 5) for n, x in zip(names, w, strict=True) if abs(x) > 0.05}}
 
 
+def _spread(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (counts[0] of them), first[1], ..."""
+    ends = np.cumsum(counts)
+    return np.repeat(first, counts) + np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts)
+
+
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(text, toxic) of the labelled rows that may be learnt from, the first MAX_TRAIN by hash of the id."""
     usable = labels.where(F.col("toxic").isin(0, 1) & (common.crc_mod("doc_id", 3) != 1)).groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max("toxic").alias("toxic"))
