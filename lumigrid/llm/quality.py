@@ -1,12 +1,13 @@
 """Quality rules by distribution divergence.
 
 Each text becomes two histograms: of character classes and of a language's common words. The references are the sums
-of these over all documents of a language. A document is kept while the mean Jensen-Shannon distance of both to its
-language's reference (its own language's, or for a language without one the nearest) stays within a threshold. Texts
+of these over all documents of a language, and even blends of two languages for texts that mix them. A document is kept
+while the mean Jensen-Shannon distance of both to the nearest reference that has its language (of a language without a
+reference: to the nearest of all) stays within a threshold. Texts
 under MIN_WORDS words say too little about their distribution, so only the base rules judge them.
 
-The texts are read once; counts and histograms are written as a narrow table, from which references are summed and
-verdicts are made with DataFrame functions.
+The texts are read once; counts and histograms are written as a narrow table, from which references are summed (by Spark)
+and distances are computed in Arrow batches.
 
 Defined results: null and empty texts have no words and fail the base rule; repeated rows are judged alike; an empty
 table gives an empty result; a null language is compared with every reference.
@@ -14,7 +15,6 @@ table gives an empty result; a null language is compared with every reference.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -138,31 +138,56 @@ def references(measured: DataFrame) -> DataFrame:
     return known.groupBy("lang").agg(F.array(*sums[:k]).alias("chars"), F.array(*sums[k:]).alias("words")).select("lang", _shares(F.col("chars")).alias("chars"), _shares(F.col("words")).alias("words"))
 
 
+def blends(refs: list) -> list[tuple[set[str], np.ndarray, np.ndarray]]:
+    """(languages, character shares, word shares) of the references and of the even blends of each two."""
+    rows = [(r["lang"], np.array(r["chars"]), np.array(r["words"])) for r in refs]
+    return [({a, b}, (pa_ + pb) / 2, (wa + wb) / 2) for i, (a, pa_, wa) in enumerate(rows) for b, pb, wb in rows[i:]]
+
+
 def _shares(counts: Column) -> Column:
     total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
     return F.transform(counts, lambda x: x / F.greatest(total, F.lit(1.0)))
 
 
-def distance(p: Column, q: Column) -> Column:
-    """Jensen-Shannon distance, from 0 to 1, of two arrays of shares."""
+def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Jensen-Shannon distances, from 0 to 1, of rows of shares p from shares q."""
+    mean = (p + q) / 2
+
+    def half(x: np.ndarray) -> np.ndarray:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(x > 0, x * np.log2(x / mean), 0.0).sum(axis=-1)
+
+    return np.sqrt(np.maximum(0.0, (half(p) + half(np.broadcast_to(q, p.shape))) / 2))
 
-    def half(x: Column, m: Column) -> Column:
-        return F.when(x > 0, x * F.log2(x / m)).otherwise(F.lit(0.0))
 
-    terms = F.zip_with(p, q, lambda x, y: (half(x, (x + y) / 2) + half(y, (x + y) / 2)) / 2)
-    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)))
+def nearest(measured: DataFrame, refs: list[tuple[set[str], np.ndarray, np.ndarray]]) -> DataFrame:
+    """measured with distance: to the nearest of refs that has the language, or of all if none has; null without refs."""
+    out = [x for x in MEASURES.split(", ")[:7]] + ["distance double"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = set().union(*[langs for langs, _, _ in refs]) if refs else set()
+        for b in batches:
+            shares = []
+            for k in (7, 8):
+                x = b.column(k).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).astype(float)
+                shares.append(x / np.maximum(x.sum(axis=1, keepdims=True), 1.0))
+            lang = np.array([x if x in known else "" for x in b.column(1).to_pylist()], dtype=object)
+            best = np.full(b.num_rows, np.inf)
+            for langs, chars, words in refs:
+                rows = np.flatnonzero(np.isin(lang, [*langs, ""]))
+                if len(rows):
+                    best[rows] = np.minimum(best[rows], (distance(shares[0][rows], chars) + distance(shares[1][rows], words)) / 2)
+            far = pa.array(best, mask=~np.isfinite(best))
+            yield pa.RecordBatch.from_arrays([*b.columns[:7], far], names=[x.split()[0] for x in out])
+
+    return measured.mapInArrow(run, ", ".join(out))
 
 
 def judged(docs: DataFrame, most: float = MAX_DISTANCE, chance: float = CHANCE, least_words: int = MIN_WORDS) -> DataFrame:
     """A row for each document: counts, base_failed, distance (null under the minimum length) and kept."""
     measured = common.written(measures(docs), "quality-measures")
-    refs = references(measured).agg(F.collect_list(F.struct("lang", "chars", "words")).alias("refs"))  # one row: at most a reference per word list
-    double = lambda c: F.transform(F.col(c), lambda x: x.cast("double"))
-    df = measured.join(F.broadcast(refs), F.lit(True), "left").withColumn("p", _shares(double("chars"))).withColumn("w", _shares(double("words")))
-    own = F.filter("refs", lambda r: r["lang"] == F.col("lang"))
-    against = F.when(F.size(own) > 0, own).otherwise(F.col("refs"))
-    far = F.array_min(F.transform(against, lambda r: (distance(F.col("p"), r["chars"]) + distance(F.col("w"), r["words"])) / 2))
-    df = df.withColumn("distance", F.when(F.col("n_words") >= least_words, far))
+    refs = blends(references(measured).orderBy("lang").collect())  # at most a row per word list
+    df = nearest(measured, refs).withColumn("distance", F.when(F.col("n_words") >= least_words, F.col("distance")))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     kept = F.when(failed, F.lit(False)).otherwise(F.coalesce(F.col("distance") <= most + chance / F.sqrt("n_words"), F.lit(True)))
     return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), kept.alias("kept"), "distance")

@@ -429,9 +429,10 @@ def test_quality_drops_what_diverges(spark):
     assert got[92]["distance"] is None
 
 
-def test_distance_of_equal_and_disjoint_shares(spark):
-    df = spark.createDataFrame([([1.0, 0.0], [1.0, 0.0]), ([1.0, 0.0], [0.0, 1.0])], "p array<double>, q array<double>")
-    assert [r[0] for r in df.select(quality.distance(F.col("p"), F.col("q"))).collect()] == [0.0, 1.0]
+def test_distance_of_equal_and_disjoint_shares():
+    p = np.array([[1.0, 0.0], [0.0, 1.0], [0.5, 0.5]])
+    assert quality.distance(p, np.array([1.0, 0.0]))[:2].tolist() == [0.0, 1.0]
+    assert 0 < quality.distance(p, np.array([1.0, 0.0]))[2] < 1
 
 
 # 9 suffix tree
