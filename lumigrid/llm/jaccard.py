@@ -7,8 +7,9 @@ n - ceil(n * threshold) + 1 shingles of the order), so classes that share a pref
 pair of candidates each fragment counts its partial overlap on its own, and the partial overlaps are summed per pair.
 
 Groups of near copies would have all their pairs as candidates. Links make components, and a pair inside a component
-can't change it, so verification runs in two steps: first each class against one hub, the first class of the buckets in
-which it occurs most; then every candidate pair between different components, which is exact.
+can't change it, so verification runs in steps: first, in a few rounds, each class against one hub of another component,
+the first class of the buckets in which it occurs most; then, for each class and each other component, the pair that shares most; then every candidate
+pair that is still between different components, which is exact.
 The frequent shingles (a bounded list) only shape the order: any order gives the same links.
 
 Defined results: a null text, or one without words, has an empty set, is linked with nothing and is its own component;
@@ -37,6 +38,8 @@ MAX_FREQUENT = 65_536
 FRAGMENTS = 8
 #: Shingles counted together in a task; a shingle must occur so often among them to count as frequent.
 TOGETHER, OFTEN = 1_500_000, 3
+#: How often each class meets a hub before all pairs between components are checked.
+ROUNDS = 4
 #: Bits of the filter that spares texts of no candidate; false hits are removed by a join.
 FILTER_BITS = 1 << 23
 
@@ -72,7 +75,7 @@ class Shingles:
         n = len(h) - width + 1
         s = np.full(n, width, dtype=np.uint64)
         for k in range(width):
-            s = s + _mixed(h[k : k + n] * _ODD[k] + np.uint64(k))
+            s += h[k : k + n] * _ODD[k]  # word hashes are random already, and odd factors tell the places apart
         return np.unique(_mixed(s))
 
 
@@ -230,29 +233,33 @@ def linked(docs: DataFrame) -> DataFrame:
     classes = sets.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
 
     by_shingle = Window.partitionBy("shingle")
-    in_order = by_shingle.orderBy("set_id")  # a hash, so that hubs are members like any other
-    rows = prefixes(base, frequent).withColumn("hub", F.first(F.struct("set_id", "n")).over(in_order)).withColumn("prior", F.lag("set_id").over(in_order))
+    rows = prefixes(base, frequent).withColumn("prior", F.lag("set_id").over(by_shingle.orderBy("set_id")))
     rows = rows.withColumn("low", F.min("set_id").over(by_shingle)).withColumn("high", F.max("set_id").over(by_shingle)).where("low < high")
     rows = rows.where("prior is null or prior <> set_id")  # equal sets come from different tasks
-    buckets = common.written(rows.select("shingle", "set_id", "n", F.col("hub.set_id").alias("hub"), F.col("hub.n").alias("hub_n")), "prefix-buckets")
-
-    # each class against the hub with which it shares most; a pair whose prefixes share too little has no chance
-    hubs = buckets.where("hub <> set_id").groupBy("set_id", "n", "hub", "hub_n").count()
-    most = hubs.groupBy(F.col("set_id").alias("b"), F.col("n").alias("nb")).agg(F.max_by(F.struct("hub", "hub_n"), F.struct("count", "hub")).alias("h"))
-    most = most.select(F.col("h.hub").alias("a"), "b", F.col("h.hub_n").alias("na"), "nb")
-    held = buckets.select("shingle", F.col("set_id").alias("b")).join(most, "b")
-    both = held.join(buckets.select("shingle", F.col("set_id").alias("a")), ["shingle", "a"])
-    first = both.groupBy("a", "b", "na", "nb").count().where(possible(F.col("count"))).drop("count")
-    links = common.written(checked(first, base, classes, frequent), "links")
-
-    # every candidate pair between the components so far
-    roots = graph.components(links)
-    placed = buckets.select("shingle", "set_id", "n").join(roots, F.col("set_id") == F.col("node"), "left").select("shingle", "set_id", "n", F.coalesce("root", "set_id").alias("root"))
-    mixed = common.written(placed.withColumn("low", F.min("root").over(by_shingle)).withColumn("high", F.max("root").over(by_shingle)).where("low < high").drop("low", "high"), "mixed-buckets")
+    buckets = common.written(rows.select("shingle", "set_id", "n"), "prefix-buckets")
+
+    # each class against one hub a round, of another component
+    mixed, links, roots = buckets.withColumn("root", F.col("set_id")), None, None
+    for seed in range(ROUNDS):
+        got = checked(hubs(mixed, seed), base, classes, frequent)
+        links = common.written(got if links is None else links.unionByName(got), "links")
+        roots = graph.components(links)
+        mixed = common.written(between(buckets, roots), "mixed-buckets")
+    # every candidate pair between the components so far: first, for each class and each other component, the pair that
+    # shares most; then, exactly, the pairs that are still between components
     x, y = mixed.alias("x"), mixed.alias("y")
     across = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.root") < F.col("y.root")) & (PER * F.least("x.n", "y.n") >= LEAST * F.greatest("x.n", "y.n")))
-    pairs = across.groupBy(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).agg(F.count(F.lit(1)).alias("count")).where(possible(F.col("count"))).drop("count")
-    more = common.written(checked(pairs, base, classes, frequent), "links")
+    columns = {"a": "x.set_id", "b": "y.set_id", "na": "x.n", "nb": "y.n", "ra": "x.root", "rb": "y.root"}
+    pairs = common.written(across.groupBy(*[F.col(c).alias(n) for n, c in columns.items()]).agg(F.count(F.lit(1)).alias("count")).where(possible(F.col("count"))), "cross-pairs")
+    pair = F.struct("a", "b", "na", "nb")
+    best = [pairs.groupBy(one, other).agg(F.max_by(pair, F.struct("count", "a", "b")).alias("p")).select("p.*") for one, other in (("a", "rb"), ("b", "ra"))]
+    tried = common.written(best[0].unionByName(best[1]).distinct(), "best-pairs")
+    links = common.written(links.unionByName(checked(tried, base, classes, frequent)), "links")
+    roots = graph.components(links)
+    now = {c: roots.select(F.col("node").alias(f"n{c}"), F.col("root").alias(f"r{c}")) for c in "ab"}
+    rest = pairs.select("a", "b", "na", "nb").join(tried.select("a", "b"), ["a", "b"], "left_anti").withColumnRenamed("na", "sa").withColumnRenamed("nb", "sb")
+    rest = rest.join(now["a"], F.col("a") == F.col("na"), "left").join(now["b"], F.col("b") == F.col("nb"), "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
+    more = common.written(checked(rest.select("a", "b", F.col("sa").alias("na"), F.col("sb").alias("nb")), base, classes, frequent), "links")
     roots = graph.components(links.unionByName(more)) if more.head(1) else roots
 
     whole = classes.join(roots, F.col("set_id") == F.col("node"), "left").select("set_id", "doc_id", F.coalesce("root", "set_id").alias("root"))
@@ -263,9 +270,31 @@ def linked(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("set_id").alias("class_id"))
 
 
+def between(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows (shingle, set_id, n, root) of buckets that hold more than one component."""
+    w = Window.partitionBy("shingle")
+    placed = buckets.select("shingle", "set_id", "n").join(roots, F.col("set_id") == F.col("node"), "left").select("shingle", "set_id", "n", F.coalesce("root", "set_id").alias("root"))
+    return placed.withColumn("low", F.min("root").over(w)).withColumn("high", F.max("root").over(w)).where("low < high").drop("low", "high")
+
+
+def hubs(rows: DataFrame, seed: int) -> DataFrame:
+    """(a, b, na, nb): at most one hub a for each class b of rows (shingle, set_id, n, root).
+
+    A bucket's hub is its first class in a seeded random order; a class takes the hub of another component in whose
+    buckets it occurs most, unless the prefixes of both share too little for a link."""
+    first = F.first(F.struct("set_id", "n", "root")).over(Window.partitionBy("shingle").orderBy(F.xxhash64(F.lit(seed), "set_id"), "set_id"))
+    met = rows.withColumn("hub", first).where("hub.root <> root").groupBy(F.col("set_id").alias("b"), F.col("n").alias("nb"), "hub").count()
+    most = met.groupBy("b", "nb").agg(F.max_by("hub", F.struct("count", "hub.set_id")).alias("h")).select(F.col("h.set_id").alias("a"), "b", F.col("h.n").alias("na"), "nb")
+    held = rows.select("shingle", F.col("set_id").alias("b")).join(most, "b")
+    both = held.join(rows.select("shingle", F.col("set_id").alias("a")), ["shingle", "a"])
+    return both.groupBy("a", "b", "na", "nb").count().where(possible(F.col("count"))).drop("count")
+
+
 def checked(pairs: DataFrame, base: DataFrame, classes: DataFrame, frequent: bytes) -> DataFrame:
     """verified(), with the fragments of the sets that the pairs need."""
     pairs = common.written(pairs, "pairs")
+    if not pairs.head(1):
+        return pairs.select("a", "b")
     needed = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
     wanted = common.written(classes.where("doc_id is not null").join(needed, "set_id"), "wanted")
     return verified(pairs, fragments(base, wanted, frequent))
