@@ -20,10 +20,16 @@ from lumigrid.llm import spans
 ROUNDS = 10
 #: Patterns, in the order in which they are replaced. Each begins and ends where no digit or letter goes on.
 MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
-DATE = r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})(?![0-9A-Za-z]|[./-][0-9])"
+DATE = r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})(?![0-9A-SU-Za-z]|T(?![0-9])|[./-][0-9])"
 ADDRESS = r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])"
-CARD = r"(?<![0-9A-Za-z-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]|[ -][0-9])"
-PHONE = r"(?<![0-9A-Za-z+])\+[0-9](?:[ -]?[0-9]){7,14}(?![0-9A-Za-z]|[ -][0-9])"
+#: A run of digit groups that may hold cards, one letter further so that cards() sees what its last group belongs to.
+CARD = r"(?<![0-9A-Za-z-])[0-9](?=(?:[ -]?[0-9]){12})[0-9 -]{12,}+[A-Za-z]?"
+#: Numbers with a country's code, those of North America in their own grouping first; without a code, the full groupings.
+PHONE = (
+    r"(?<![0-9A-Za-z+])(?:\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]{0,2}[0-9]{3}[ .-]?[0-9]{4}(?![0-9A-Za-z])"
+    r"|\+\(?[0-9](?:(?:\) ?[.-]? ?| ?[.-]? ?\(| - | {1,2}|[./-])?[0-9]){7,14}"
+    r"|(?<![.-])(?:1[ .-])?(?:\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4}|[0-9]{3}\.[0-9]{3}\.[0-9]{4})(?![.-][0-9]))(?![0-9A-Za-z])"
+)
 #: Dates are permuted within the 400 years from here: 146,097 days, 189 x 773.
 FIRST_DAY, DAY_A, DAY_B = "1800-01-01", 189, 773
 
@@ -94,6 +100,70 @@ def card(hit: Column, key: str, back: bool = False) -> Column:
     return F.when(_luhn(digits) % 10 == 0, _poured(F.concat(body, check), hit))
 
 
+def _let(value: Column, f) -> Column:
+    """f(value), with value worked out once."""
+    return F.element_at(F.transform(F.array(value), lambda x: f(x)), 1)
+
+
+def _cards(run: Column, use) -> Column:
+    """use(groups, spans) of a run of digit groups: each group with the mark after it, and the first and last group of each card.
+
+    From left to right, a group that is a card by itself is one; else the most groups that are one together, with 13 to
+    19 digits, and without a card by itself among them."""
+    end = lambda x: F.regexp_replace(x, "[ -]$", "")
+    valid = lambda x: F.length(_digits(x)).between(13, 19) & (_luhn(_digits(x)) % 10 == 0)
+    joined = lambda groups, a, n: end(F.array_join(F.slice(groups, a, n), ""))
+
+    def spans_of(groups: Column, alone: Column) -> Column:
+        def last(i: Column) -> Column:
+            def fits(k: Column) -> Column:
+                whole = joined(groups, i, k + 1)
+                return (i + k <= F.size(groups)) & ~F.exists(F.slice(alone, i, k + 1), lambda x: x) & F.rlike(whole, F.lit("^[0-9]+([ -][0-9]+)*$")) & valid(whole)
+
+            more = F.array_max(F.filter(F.sequence(F.lit(1), F.lit(18)), lambda k: fits(k)))
+            return F.when(F.element_at(alone, i), i).otherwise(F.coalesce(i + more, F.lit(0)))
+
+        def taken(lasts: Column) -> Column:
+            start = F.struct(F.lit(1).alias("next"), F.array().cast("array<struct<a:int,z:int>>").alias("spans"))
+
+            def step(acc: Column, i: Column) -> Column:
+                z = F.element_at(lasts, i)
+                more = F.concat(acc["spans"], F.array(F.struct(i.alias("a"), z.alias("z"))))
+                return F.when((i >= acc["next"]) & (z > 0), F.struct((z + 1).alias("next"), more.alias("spans"))).otherwise(acc)
+
+            return F.aggregate(F.sequence(F.lit(1), F.size(groups)), start, step, lambda acc: acc["spans"])
+
+        return _let(F.transform(F.sequence(F.lit(1), F.size(groups)), lambda i: last(i)), taken)
+
+    def by_groups(groups: Column) -> Column:
+        alone = F.transform(groups, lambda g: F.rlike(g, F.lit("^[0-9]{13,19}[ -]?$")) & valid(g))
+        return _let(alone, lambda x: _let(spans_of(groups, x), lambda spans_: use(groups, spans_)))
+
+    return _let(F.split(run, "(?<=[ -])", -1), by_groups)
+
+
+def cards(run: Column) -> Column:
+    """The cards in a run of digit groups."""
+    return _cards(run, lambda groups, found: F.transform(found, lambda s: F.regexp_replace(F.array_join(F.slice(groups, s["a"], s["z"] - s["a"] + 1), ""), "[ -]$", "")))
+
+
+def cards_rewritten(run: Column, key: str, back: bool = False) -> Column:
+    """The run with each card replaced by its pseudonym."""
+
+    def put(groups: Column, found: Column) -> Column:
+        def one(s: Column, i: Column) -> Column:
+            before = F.when(i == 0, F.lit(0)).otherwise(F.element_at(found, F.greatest(i, F.lit(1)))["z"])
+            own = F.array_join(F.slice(groups, s["a"], s["z"] - s["a"] + 1), "")
+            gap = F.array_join(F.slice(groups, before + 1, s["a"] - before - 1), "")
+            # the mark after the last group is outside the card
+            return F.concat(gap, card(F.regexp_replace(own, "[ -]$", ""), key, back), F.regexp_extract(own, "([ -]?)$", 1))
+
+        rest = F.coalesce(F.try_element_at(found, F.lit(-1))["z"], F.lit(0))
+        return F.concat(F.array_join(F.transform(found, one), ""), F.array_join(F.slice(groups, rest + 1, F.size(groups)), ""))
+
+    return _cards(run, put)
+
+
 def phone(hit: Column, key: str, back: bool = False) -> Column:
     """All but the first two digits, the country's, are permuted."""
     digits = _digits(hit)
@@ -112,13 +182,23 @@ def address(hit: Column, key: str, back: bool = False) -> Column:
 
 
 def date(hit: Column, key: str, back: bool = False) -> Column:
-    """Null unless it is a date of the calendar within the 400 years; year-month-day, or day and month before the year."""
+    """Null unless it is a date of the calendar within the 400 years; year-month-day, or day and month before the year.
+
+    The day is read first; where that is no date, the month. The latter are permuted among themselves: until the day is
+    above 12 again, so that the new date has no other reading either."""
     iso = hit.contains("-")
     mark = F.substring(hit, 3, 1)
-    said = F.when(iso, hit).otherwise(F.concat_ws("-", F.substring(hit, 7, 4), F.substring(hit, 4, 2), F.substring(hit, 1, 2)))
-    days = F.datediff(F.try_to_date(said, "yyyy-MM-dd"), F.lit(FIRST_DAY).cast("date"))
-    new = F.date_add(F.lit(FIRST_DAY).cast("date"), permuted(days.cast("long"), DAY_A, DAY_B, key, "date", back).cast("int"))
-    written = F.when(iso, F.date_format(new, "yyyy-MM-dd")).otherwise(F.concat(F.date_format(new, "dd"), mark, F.date_format(new, "MM"), mark, F.date_format(new, "yyyy")))
+    first, second, year = F.substring(hit, 1, 2), F.substring(hit, 4, 2), F.substring(hit, 7, 4)
+    month_first = ~iso & second.between("13", "31")
+    said = F.when(iso, hit).when(month_first, F.concat_ws("-", year, first, second)).otherwise(F.concat_ws("-", year, second, first))
+    days = F.datediff(F.try_to_date(said, "yyyy-MM-dd"), F.lit(FIRST_DAY).cast("date")).cast("long")
+    day = lambda n: F.date_add(F.lit(FIRST_DAY).cast("date"), n.cast("int"))
+    moved = lambda n: permuted(n, DAY_A, DAY_B, key, "date", back)
+    # two in five of all days are below 13, so that 64 more steps never fall short
+    again = lambda acc, i: F.when(F.dayofmonth(day(acc)) > 12, acc).otherwise(moved(acc))
+    new = _let(moved(days), lambda n: day(F.when(month_first, F.aggregate(F.sequence(F.lit(1), F.lit(64)), n, again)).otherwise(n)))
+    lead, then = F.when(month_first, F.date_format(new, "MM-dd")).otherwise(F.date_format(new, "dd-MM")), F.date_format(new, "yyyy")
+    written = F.when(iso, F.date_format(new, "yyyy-MM-dd")).otherwise(F.concat(F.substring(lead, 1, 2), mark, F.substring(lead, 4, 2), mark, then))
     return F.when(days.between(0, DAY_A * DAY_B - 1), written)
 
 
@@ -128,7 +208,7 @@ def mail(hit: Column, key: str) -> Column:
 
 KINDS = (("mail", MAIL, mail), ("date", DATE, date), ("address", ADDRESS, address), ("card", CARD, card), ("phone", PHONE, phone))
 #: What a text must hold for a kind to occur in it; quick to look for, so that the full patterns see few texts.
-HINTS = {"mail": "@", "date": "[0-9]{2}[./-][0-9]{2}", "address": r"[0-9]\.[0-9]", "card": "[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9]", "phone": r"\+[0-9]"}
+HINTS = {"mail": "@", "date": "[0-9]{2}[./-][0-9]{2}", "address": r"[0-9]\.[0-9]", "card": "[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9]", "phone": r"\+\(?[0-9]|[0-9]{3}[).-][ .-]?[0-9]{3}"}
 
 
 def pseudonymized(docs: DataFrame, key: str = "example key") -> DataFrame:
@@ -137,10 +217,12 @@ def pseudonymized(docs: DataFrame, key: str = "example key") -> DataFrame:
     none = F.array().cast("array<string>")
     for kind, pattern, new in KINDS:
         # one column a kind; a text without a match is passed on as it is
-        found = F.filter(spans.found(F.col("__now"), pattern), _accepts(new, key))
+        if kind == "card":  # a match may hold several
+            found, put = F.flatten(F.transform(spans.found(F.col("__now"), pattern), lambda x: cards(x))), _runs_replacer(key)
+        else:
+            found, put = F.filter(spans.found(F.col("__now"), pattern), _accepts(new, key)), _replacer(new, key)
         df = df.withColumn(f"__{kind}", F.when(F.rlike("__now", F.lit(HINTS[kind])), found).otherwise(none))
-        put = spans.rewritten(F.col("__now"), pattern, _replacer(new, key))
-        df = df.withColumn("__now", F.when(F.size(f"__{kind}") > 0, put).otherwise(F.col("__now")))
+        df = df.withColumn("__now", F.when(F.size(f"__{kind}") > 0, spans.rewritten(F.col("__now"), pattern, put)).otherwise(F.col("__now")))
     counts = [F.coalesce(F.size(f"__{kind}"), F.lit(0)).cast("long").alias(f"n_{kind}") for kind, _, _ in KINDS]
     every = F.concat(*[F.transform(F.coalesce(f"__{kind}", none), _labelled(kind)) for kind, _, _ in KINDS])
     return df.select("doc_id", F.size(every).cast("long").alias("n_pii"), *counts, every.alias("pii"), F.col("__now").alias("text"))
@@ -157,5 +239,9 @@ def _replacer(new, key: str):
     return lambda m: F.coalesce(new(m, key), m)
 
 
+def _runs_replacer(key: str):
+    return lambda m: cards_rewritten(m, key)
+
+
 def _labelled(kind: str):
     return lambda x: F.concat(F.lit(f"{kind}:"), x)

@@ -352,6 +352,46 @@ def test_pseudonyms_can_be_undone(spark):
         assert r["a"] == r["c"] and r["a"] != r["b"], name
 
 
+def test_pseudonyms_of_every_format(spark):
+    """The phone format of the given tables, cards beside other digits, timestamps, dates with the month first."""
+    card = "4539578763621486"
+    rows = {
+        "call +1 (743) 555-3824 now": ["phone:+1 (743) 555-3824"],
+        "+1 (743) 555-3824 12 times": ["phone:+1 (743) 555-3824"],
+        "(743) 555-3824, 743.555.3824, 743-555-3824": ["phone:(743) 555-3824", "phone:743.555.3824", "phone:743-555-3824"],
+        "+49 (0)170 - 1234567": ["phone:+49 (0)170 - 1234567"],
+        f"{card} 123": [f"card:{card}"],
+        f"12 {card} 123x": [f"card:{card}"],
+        f"{card} {card}": [f"card:{card}"] * 2,
+        "4539 5787 6362 1486 4539-5787-6362-1486 7": ["card:4539 5787 6362 1486", "card:4539-5787-6362-1486"],
+        "at 2024-01-02T10:00Z": ["date:2024-01-02"],
+        "on 12/25/2020": ["date:12/25/2020"],
+        f"{card}x 4539578763621487 13/32/2020 2024-01-02Tx 12-743-555-3824-1": [],
+    }
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pseudonyms.pseudonymized(df, "k").collect()}
+    for i, (text, want) in enumerate(rows.items()):
+        assert got[i]["pii"] == want, text
+        form = re.sub("[0-9]", "9", text)
+        assert re.sub("[0-9]", "9", got[i]["text"]) == form and all(x.split(":")[1] not in got[i]["text"] for x in want), got[i]["text"]
+    two = got[6]["text"].split(" ")
+    assert two[0] == two[1] == got[4]["text"].split(" ")[0]
+
+
+def test_pseudonyms_of_the_given_phones(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where(F.col("text").rlike(r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}"))
+    got = pseudonyms.pseudonymized(docs).collect()
+    assert sum(r["n_phone"] for r in got) >= 19
+    assert sum(x == y for r, t in [(r, r["text"]) for r in got] for x in r["pii"] for y in ["phone:" + m for m in re.findall(r"\+1 \(\d{3}\) \d{3}-\d{4}", t)]) == 0
+
+
+def test_month_first_dates_are_one_to_one(spark):
+    days = "date_add(date'1999-01-01', cast(id as int))"
+    df = spark.range(365).selectExpr(f"date_format({days}, 'MM/dd/yyyy') AS a", f"dayofmonth({days}) AS d").where("d > 12")
+    got = df.select("a", pseudonyms.date(F.col("a"), "k").alias("b")).withColumn("c", pseudonyms.date(F.col("b"), "k", True)).collect()
+    assert all(r["a"] == r["c"] and int(r["b"][3:5]) > 12 for r in got) and len({r["b"] for r in got}) == len(got)
+
+
 @pytest.mark.parametrize("a, b", [(10, 10), (7, 13)])
 def test_permutation_is_one_to_one(spark, a, b):
     df = spark.range(a * b).select(pseudonyms.permuted(F.col("id"), a, b, "k", "t").alias("p"))
