@@ -3,8 +3,9 @@
 Documents become token ids and are cut, if longer than a sequence, into pieces. All that the program needs is how many
 pieces have each length: at most `size` numbers. A configuration is a multiset of lengths that fits in one sequence.
 Multiplicative weights solve the covering program over configurations: each round prices the lengths, a knapsack
-dynamic program finds the configuration of the greatest price, and the prices of what it covers sink. The solution is
-rounded down, and what is left is packed best fit by descending length, again by whole configurations.
+dynamic program finds the configuration of the greatest price, and the prices of what it covers sink, until all lengths
+are covered and the solution is within GAP of its dual bound. The solution is rounded down, and what is left is packed
+best fit by descending length, again by whole configurations.
 
 Spark does what grows with the data: it counts words into pieces, ranks the pieces within their length, and looks up
 each rank in the table of configurations, whose rows are bounded by rounds and lengths.
@@ -15,6 +16,7 @@ empty table gives an empty result; a null id is kept.
 
 from __future__ import annotations
 
+import math
 import os
 import zlib
 from array import array
@@ -32,6 +34,8 @@ from lumigrid.llm import common
 SIZE, END_ID = 2048, 0
 #: Words whose ids a Python worker keeps at most.
 MAX_WORDS = 1_200_000
+#: The program ends this close to its lower bound; prices fall by exp(-RATE) until a length is covered.
+GAP, RATE = 0.01, 2.0
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -95,18 +99,19 @@ def pieces(docs: DataFrame, size: int = SIZE, path: str | None = None) -> DataFr
 
 
 def knapsack(prices: np.ndarray, size: int) -> list[int]:
-    """The lengths of a configuration of the greatest total price; prices[l] is that of length l, 0 for none."""
-    lengths = np.flatnonzero(prices > 0)
+    """The lengths of a configuration of the greatest total price, of equal ones the longest lengths; prices[l] is that of
+    length l, 0 for none."""
+    dense = np.full(size + 1, -np.inf)
+    dense[: len(prices)] = np.where(prices > 0, prices, -np.inf)[: size + 1]
+    falling = dense[::-1].copy()  # falling[size - l] is the price of length l
     best, last = np.zeros(size + 1), np.zeros(size + 1, dtype=np.int64)
-    values = prices[lengths]
     for c in range(1, size + 1):
-        n = bisect_right(lengths, c)
-        best[c], last[c] = best[c - 1], 0
-        if n:
-            ways = values[:n] + best[c - lengths[:n]]
-            k = int(ways.argmax())
-            if ways[k] > best[c]:
-                best[c], last[c] = ways[k], lengths[k]
+        ways = falling[size - c : size] + best[:c]  # lengths c, c - 1, ..., 1
+        k = int(ways.argmax())
+        if ways[k] > best[c - 1]:
+            best[c], last[c] = ways[k], c - k
+        else:
+            best[c] = best[c - 1]
     out, c = [], size
     while c > 0:
         if last[c]:
@@ -117,27 +122,44 @@ def knapsack(prices: np.ndarray, size: int) -> list[int]:
     return sorted(out, reverse=True)
 
 
-def solve(counts: np.ndarray, size: int, rounds: int = 150, step: float = 0.25, rate: float = 2.0) -> list[tuple[list[int], float]]:
-    """(configuration, how often) covering counts[l] pieces of each length l < size fractionally."""
+def cover(counts: np.ndarray, size: int, step: float, rate: float) -> tuple[list[tuple[list[int], float]], float]:
+    """(configuration, how often) covering all pieces of each length l < size fractionally, and a lower bound on how often.
+
+    A round gives its configuration the share step of what its scarcest length has left, but at least one sequence (or
+    all that is left): lengths run out one after the other, and the rounds end when none is left."""
     have = counts.astype(float)
     have[size:] = 0
-    natural = np.arange(len(have)) / size
-    covered = np.zeros(len(have))  # the share of each length that has been covered
-    out = []
-    for _ in range(rounds):
-        open_ = (have > 0) & (covered < 1)
-        if not open_.any():
-            break
-        config = knapsack(np.where(open_, natural * np.exp(-rate * covered), 0.0), size)
-        if not config:
-            break
+    natural = np.arange(len(have), dtype=float)  # whole numbers, so that ties are exact
+    rest = have.copy()
+    out, bound = [], 0.0
+    while (rest > 0).any():
+        open_ = rest > 0
+        prices = np.where(open_, natural * np.exp(-rate * (1 - rest / np.maximum(have, 1))), 0.0)
+        config = knapsack(prices, size)
         use = np.bincount(config, minlength=len(have))
         held = use > 0
-        most = (have[held] * (1 - covered[held]) / use[held]).min()
-        amount = max(min(most, 1.0), most * step) if most * step < 1 else most * step
+        # prices over the value of the best configuration are a feasible dual
+        bound = max(bound, float(prices @ have) / float(prices[held] @ use[held]))
+        most = (rest[held] / use[held]).min()
+        amount = max(min(most, 1.0), most * step)
         out.append((config, amount))
-        covered[held] += use[held] * amount / have[held]
-    return out
+        rest[held] -= use[held] * amount
+        rest[rest < 1e-9 * np.maximum(have, 1)] = 0
+    return out, bound
+
+
+def solve(counts: np.ndarray, size: int, gap: float = GAP, rate: float = RATE) -> tuple[list[tuple[list[int], float]], float]:
+    """The covering program's solution and its lower bound: steps are halved until both are within gap, or no step helps."""
+    best, bound, step = None, 0.0, 1.0
+    while True:
+        found, low = cover(counts, size, step, rate)
+        bound = max(bound, low)
+        before = math.inf if best is None else sum(a for _, a in best)
+        now = sum(a for _, a in found)
+        best = found if now < before else best
+        if min(now, before) <= (1 + gap) * bound or now >= before:
+            return best, bound
+        step /= 2
 
 
 def best_fit(left: np.ndarray, size: int) -> list[tuple[list[int], int]]:
@@ -172,16 +194,13 @@ def plan(counts: np.ndarray, size: int = SIZE) -> list[tuple[list[int], int]]:
     if counts[size:].any():
         rounded.append(([size], int(counts[size])))
         left[size] = 0
-    whole = left.copy()
-    for config, amount in solve(left, size):
+    for config, amount in solve(left, size)[0]:
         use = np.bincount(config, minlength=len(left))
-        times = int(min(amount + 1e-9, (left[use > 0] // use[use > 0]).min()))
+        times = int(min(amount + 1e-6, (left[use > 0] // use[use > 0]).min()))
         if times > 0:
             rounded.append((config, times))
             left -= use * times
-    mixed = rounded + best_fit(left, size)
-    plain = ([([size], int(counts[size]))] if counts[size] else []) + best_fit(whole, size)
-    return min(mixed, plain, key=lambda p: sum(t for _, t in p))
+    return rounded + best_fit(left, size)  # what rounding down has left
 
 
 def slots(configs: list[tuple[list[int], int]]) -> list[tuple[int, int, int, int, int, int]]:

@@ -318,6 +318,22 @@ def test_plans_hold_every_piece(seed):
     assert bound <= n <= 1.06 * bound + 1
 
 
+def test_program_converges_and_carries_the_packing(monkeypatch):
+    """The program covers every length within its gap, and best fit packs only what rounding leaves."""
+    rng = np.random.default_rng(3)
+    counts = np.bincount(np.minimum(np.exp(rng.normal(4, 1, 40_000)).astype(int) + 1, 400), minlength=513).astype(np.int64)
+    found, bound = packing.solve(counts, 512)
+    covered = sum(a * np.bincount(c, minlength=513) for c, a in found)
+    assert np.allclose(covered, counts)
+    assert bound <= sum(a for _, a in found) <= (1 + packing.GAP) * bound
+    packed, real = [], packing.best_fit
+    monkeypatch.setattr(packing, "best_fit", lambda left, size: packed.append(real(left, size)) or packed[-1])
+    n = sum(t for _, t in packing.plan(counts, 512))
+    assert len(packed) == 1 and sum(t for _, t in packed[0]) < 0.1 * n
+    assert n <= 1.01 * bound + 1
+    assert packing.knapsack(np.arange(21, dtype=float), 20) == [20]
+
+
 def test_knapsack_is_best():
     prices = np.zeros(21)
     prices[[3, 7, 8]] = [3.0, 7.5, 8.0]
