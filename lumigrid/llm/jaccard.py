@@ -1,210 +1,62 @@
 """N-gram Jaccard join with vertical partitioning.
 
-A document is the set of its distinct 5-word shingles (64-bit hashes). The global order of shingles puts frequent ones
-last, the rest by hash, and is cut into fragments. Documents of equal sets form one class, and only classes are
-compared. Two sets whose similarity reaches the threshold share a shingle in their prefixes (their first
-n - ceil(n * threshold) + 1 shingles of the order), so classes that share a prefix shingle are the candidates. For a
-pair of candidates each fragment counts its partial overlap on its own, and the partial overlaps are summed per pair.
-
-Groups of near copies would have all their pairs as candidates. Links make components, and a pair inside a component
-can't change it, so verification runs in steps: first, in a few rounds, each class against one hub of another component,
-the first class of the buckets in which it occurs most; then, for each class and each other component, the pair that shares most; then every candidate
-pair that is still between different components, which is exact.
-The frequent shingles (a bounded list) only shape the order: any order gives the same links.
+A document is the set of its distinct 5-word shingles (64-bit hashes; equal sets, by a 128-bit hash, are one class).
+The global order of shingles goes by how many sets hold them, rare ones first, and is cut into fragments. Shingles that
+one set alone holds head every set; they only count. A set that shares too little with all others together is left
+out. Two similar sets share one of their first n - ceil(n * threshold) + 1 shingles, so these prefixes meet by shingle;
+for the pairs so found each fragment counts its partial overlap on its own, and the partial overlaps are summed per pair.
+
+A group of near copies would have all its pairs as candidates. Links make components, and a pair inside one can't change
+it; so, in a few rounds, each class first meets one hub, the class that stands for the buckets in which it occurs.
+What then is left of a group, in other components, meets by differences: for sets x and y of one hub h, with the
+differences X = x ^ h and Y = y ^ h, |x ^ y| = |X| + |Y| - 2 |X & Y|, so that x and y link exactly if
+2 |X & Y| >= |X| + |Y| - (|x| + |y|) / 7. For any x that doesn't link with h the right side is positive: prefixes of the
+differences (what x adds before what it lacks) meet instead of those of the sets, and what all near copies share never
+does. Sets of different hubs, or of none, meet by their own prefixes. Hubs save work only; any choice gives the same
+links.
 
 Defined results: a null text, or one without words, has an empty set, is linked with nothing and is its own component;
 a row with a null id has its size and a null component; repeated rows and ids are in one class if their sets agree;
-an empty table gives an empty result.
+ties in the order are broken by hash; very long texts are hashed in slices, one text at a time; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lumigrid.llm import common, graph
+from lumigrid.llm.shingling import LEAST, PER, shared_sets
 
-WORDS = 5
-#: Two sets link when PER * intersection >= LEAST * union.
-LEAST, PER = 75, 100
-#: How many shingles are put last in the order at most; how many fragments the order is cut into.
-MAX_FREQUENT = 65_536
+#: Fragments of the global order: by powers of two of how many sets hold a shingle.
 FRAGMENTS = 8
-#: Shingles counted together in a task; a shingle must occur so often among them to count as frequent.
-TOGETHER, OFTEN = 1_500_000, 3
-#: How often each class meets a hub before all pairs between components are checked.
-ROUNDS = 4
-#: Bits of the filter that spares texts of no candidate; false hits are removed by a join.
-FILTER_BITS = 1 << 23
-
-_ODD = (np.random.default_rng(11).integers(1, 2**62, WORDS, dtype=np.int64).astype(np.uint64) << np.uint64(1)) + np.uint64(1)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
-class Shingles:
-    """Shingle sets of texts; keeps the hashes of words, up to a bound."""
-
-    class _Hashes(dict):
-        def __missing__(self, word: bytes) -> int:
-            if len(self) > 1_000_000:
-                self.clear()
-            x = self[word] = xxhash.xxh64_intdigest(word)
-            return x
-
-    def __init__(self):
-        self.hashes = self._Hashes()
-
-    def of(self, text: str) -> np.ndarray:
-        """The sorted distinct hashes of a text's shingles."""
-        words = text.encode("utf-8", "surrogatepass").lower().split()
-        if not words:
-            return np.empty(0, dtype=np.uint64)
-        h = np.fromiter(map(self.hashes.__getitem__, words), dtype=np.uint64, count=len(words))
-        width = min(WORDS, len(h))
-        n = len(h) - width + 1
-        s = np.full(n, width, dtype=np.uint64)
-        for k in range(width):
-            s += h[k : k + n] * _ODD[k]  # word hashes are random already, and odd factors tell the places apart
-        return np.unique(_mixed(s))
-
-
-def set_id(s: np.ndarray) -> int | None:
-    """A signed 64-bit hash of a set; None for the empty one."""
-    return int(np.int64(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), seed=len(s))).view(np.int64))) if len(s) else None
-
-
-def _batch(rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
-    cols = zip(*rows, strict=True) if rows else [[] for _ in kinds]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
-
-
-def sketched(base: DataFrame) -> DataFrame:
-    """From (doc_id, text): a row (doc_id, n, set_id) for each document, and rows (shingle, times) of shingles that
-    occur OFTEN in different sets seen together."""
-    kinds, names = [pa.int64()] * 5, ["doc_id", "n", "set_id", "shingle", "times"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, held, size = Shingles(), {}, 0
-
-        def frequent() -> pa.RecordBatch:
-            values, times = np.unique(np.concatenate(list(held.values())), return_counts=True)
-            values, times = values[times >= OFTEN].view(np.int64), times[times >= OFTEN]
-            none = pa.nulls(len(values), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, pa.array(values), pa.array(times.astype(np.int64))], names=names)
-
-        for b in batches:
-            rows = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                s = shingles.of(text)
-                key = set_id(s)
-                rows.append((doc_id, len(s), key, None, None))
-                if key is not None and key not in held:
-                    held[key] = s
-                    size += len(s)
-                    if size >= TOGETHER:
-                        yield frequent()
-                        held, size = {}, 0
-            yield _batch(rows, kinds, names)
-        if held:
-            yield frequent()
-
-    return base.mapInArrow(run, "doc_id long, n long, set_id long, shingle long, times long")
-
-
-def prefix_length(n: Column | int):
-    """How many of a set's first shingles hold one that any similar set shares."""
-    if isinstance(n, int):
-        return n - -(-LEAST * n // PER) + 1
-    return n - F.ceil(n * LEAST / PER) + 1
-
-
-def ordered(s: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, int]:
-    """A sorted set in the global order, and how many of its shingles are not frequent."""
-    at = np.minimum(np.searchsorted(frequent, s), max(len(frequent) - 1, 0))
-    last = frequent[at] == s if len(frequent) else np.zeros(len(s), dtype=bool)
-    return np.concatenate([s[~last], s[last]]), int((~last).sum())
-
-
-def prefixes(base: DataFrame, frequent: bytes) -> DataFrame:
-    """(shingle, set_id, n): the prefix of each set; equal sets of a task are given once."""
-    kinds, names = [pa.int64()] * 3, ["shingle", "set_id", "n"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, given, last = Shingles(), set(), np.frombuffer(frequent, dtype=np.uint64)
-        for b in batches:
-            parts = []
-            for text in b.column(1).to_pylist():
-                s = shingles.of(text)
-                key = set_id(s)
-                if key is None or key in given:
-                    continue
-                if len(given) > 1_000_000:
-                    given.clear()
-                given.add(key)
-                p = ordered(s, last)[0][: prefix_length(len(s))]
-                parts.append((p.view(np.int64), np.full(len(p), key), np.full(len(p), len(s))))
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), k) for c, k in zip(zip(*parts, strict=True), kinds, strict=True)], names=names)
-
-    return base.mapInArrow(run, "shingle long, set_id long, n long")
-
-
-def fragments(base: DataFrame, wanted: DataFrame, frequent: bytes) -> DataFrame:
-    """(set_id, fragment, part array<long>) of the wanted sets (set_id, doc_id of one document that has it).
-
-    A bit for each wanted document spares the other texts their shingling; the join then keeps wanted sets only."""
-    bit = F.pmod(F.col("doc_id"), F.lit(FILTER_BITS)) + 1
-    # at most FILTER_BITS / 32768 rows of 4 KB each, whatever the number of wanted sets
-    maps = wanted.select(F.bitmap_bucket_number(bit).alias("bucket"), F.bitmap_bit_position(bit).alias("at")).groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits")).collect()
-    filter_ = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-    for r in maps:
-        filter_[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
-    packed, kinds, names = filter_.tobytes(), [pa.int64(), pa.int32(), pa.list_(pa.int64())], ["set_id", "fragment", "part"]
-    sent = base.sparkSession.sparkContext.broadcast(packed)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, given, last = Shingles(), set(), np.frombuffer(frequent, dtype=np.uint64)
-        bits = np.frombuffer(sent.value, dtype=np.uint8)
-        step = np.uint64(2**64 // (FRAGMENTS - 1))
-        for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            at = ids % FILTER_BITS
-            hit = (bits[at // 8] >> (at % 8).astype(np.uint8)) & 1
-            rows = []
-            texts = b.column(1)
-            for i in np.flatnonzero(hit):
-                s = shingles.of(texts[int(i)].as_py())
-                key = set_id(s)
-                if key is None or key in given:
-                    continue
-                given.add(key)
-                order, rare = ordered(s, last)
-                cut = np.searchsorted(order[:rare] // step, np.arange(FRAGMENTS - 1).astype(np.uint64), side="left")
-                ends = [*cut[1:], rare, len(order)]
-                start = 0
-                for f, end in enumerate(ends):
-                    if end > start:
-                        rows.append((key, f, order[start:end].view(np.int64)))
-                    start = end
-                if len(rows) > 2000:
-                    yield _batch(rows, kinds, names)
-                    rows = []
-            if rows:
-                yield _batch(rows, kinds, names)
-
-    found = base.where("doc_id is not null").mapInArrow(run, "set_id long, fragment int, part array<long>")
-    return found.join(wanted.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id", "fragment"])
+#: How often each class meets a hub, and then a class that shares some of its difference from the hub.
+ROUNDS = 2
+
+
+def needed(na: Column, nb: Column) -> Column:
+    """The least intersection with which sets of these sizes link."""
+    return F.ceil((na + nb) * LEAST / (LEAST + PER))
+
+
+def links(both: Column) -> Column:
+    """Whether sets of sizes na and nb link, by the size of their intersection."""
+    return (LEAST + PER) * both >= LEAST * (F.col("na") + F.col("nb"))
+
+
+def apart_by_parity() -> Column:
+    """A lower bound of |x ^ y| from the parity maps of x and y: a bit that differs takes a shingle that differs, and what
+    a set alone holds always does."""
+    differ = F.aggregate(F.zip_with("x.parity", "y.parity", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda acc, x: acc + x)
+    return differ + F.col("x.n") - F.col("x.held") + F.col("y.n") - F.col("y.held")
+
+
+def fragments(sets: DataFrame) -> DataFrame:
+    """(set_id, fragment, part array<long>): the sets cut along the global order."""
+    cut = F.least(F.floor(F.log2("p.freqs")), F.lit(FRAGMENTS)).cast("int")
+    items = sets.select("set_id", F.explode(F.arrays_zip("items", "freqs")).alias("p"))
+    return items.groupBy("set_id", cut.alias("fragment")).agg(F.collect_list("p.items").alias("part"))  # at most one set
 
 
 def verified(pairs: DataFrame, parts: DataFrame) -> DataFrame:
@@ -212,96 +64,176 @@ def verified(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     left = parts.select(F.col("set_id").alias("a"), "fragment", F.col("part").alias("pa"))
     right = parts.select(F.col("set_id").alias("b"), "fragment", F.col("part").alias("pb"))
     partial = pairs.join(right, "b").join(left, ["a", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("pa", "pb")).alias("both"))
-    summed = partial.groupBy("a", "b", "na", "nb").agg(F.sum("both").alias("both"))
-    return summed.where(PER * F.col("both") >= LEAST * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
-
+    return partial.groupBy("a", "b", "na", "nb").agg(F.sum("both").alias("both")).where(links(F.col("both"))).select("a", "b")
 
-def possible(c: Column) -> Column:
-    """Whether sizes na, nb and c shared prefix shingles leave a pair its chance."""
-    na, nb = F.col("na"), F.col("nb")
-    beyond = F.greatest(na - prefix_length(na), nb - prefix_length(nb))
-    return (PER * F.least(na, nb) >= LEAST * F.greatest(na, nb)) & ((LEAST + PER) * (c + beyond) >= LEAST * (na + nb))
 
-
-def linked(docs: DataFrame) -> DataFrame:
-    """A row for each document: doc_id, n_shingles, component_id, class_id (null for an empty set)."""
-    spark, base = docs.sparkSession, common.corpus(docs)
-    seen = common.written(sketched(base), "shingle-sets")
-    top = seen.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "shingle").limit(MAX_FREQUENT).select("shingle").collect()
-    frequent = np.sort(np.array([r["shingle"] for r in top], dtype=np.int64).view(np.uint64)).tobytes()
-    sets = seen.where("shingle is null").select("doc_id", "n", "set_id")
-    classes = sets.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-
-    by_shingle = Window.partitionBy("shingle")
-    rows = prefixes(base, frequent).withColumn("prior", F.lag("set_id").over(by_shingle.orderBy("set_id")))
-    rows = rows.withColumn("low", F.min("set_id").over(by_shingle)).withColumn("high", F.max("set_id").over(by_shingle)).where("low < high")
-    rows = rows.where("prior is null or prior <> set_id")  # equal sets come from different tasks
-    buckets = common.written(rows.select("shingle", "set_id", "n"), "prefix-buckets")
-
-    # each class against one hub a round, of another component
-    mixed, links, roots = buckets.withColumn("root", F.col("set_id")), None, None
-    for seed in range(ROUNDS):
-        got = checked(hubs(mixed, seed), base, classes, frequent)
-        links = common.written(got if links is None else links.unionByName(got), "links")
-        roots = graph.components(links)
-        mixed = common.written(between(buckets, roots), "mixed-buckets")
-    # every candidate pair between the components so far: first, for each class and each other component, the pair that
-    # shares most; then, exactly, the pairs that are still between components
-    x, y = mixed.alias("x"), mixed.alias("y")
-    across = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.root") < F.col("y.root")) & (PER * F.least("x.n", "y.n") >= LEAST * F.greatest("x.n", "y.n")))
-    columns = {"a": "x.set_id", "b": "y.set_id", "na": "x.n", "nb": "y.n", "ra": "x.root", "rb": "y.root"}
-    pairs = common.written(across.groupBy(*[F.col(c).alias(n) for n, c in columns.items()]).agg(F.count(F.lit(1)).alias("count")).where(possible(F.col("count"))), "cross-pairs")
-    pair = F.struct("a", "b", "na", "nb")
-    best = [pairs.groupBy(one, other).agg(F.max_by(pair, F.struct("count", "a", "b")).alias("p")).select("p.*") for one, other in (("a", "rb"), ("b", "ra"))]
-    tried = common.written(best[0].unionByName(best[1]).distinct(), "best-pairs")
-    links = common.written(links.unionByName(checked(tried, base, classes, frequent)), "links")
-    roots = graph.components(links)
-    now = {c: roots.select(F.col("node").alias(f"n{c}"), F.col("root").alias(f"r{c}")) for c in "ab"}
-    rest = pairs.select("a", "b", "na", "nb").join(tried.select("a", "b"), ["a", "b"], "left_anti").withColumnRenamed("na", "sa").withColumnRenamed("nb", "sb")
-    rest = rest.join(now["a"], F.col("a") == F.col("na"), "left").join(now["b"], F.col("b") == F.col("nb"), "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
-    more = common.written(checked(rest.select("a", "b", F.col("sa").alias("na"), F.col("sb").alias("nb")), base, classes, frequent), "links")
-    roots = graph.components(links.unionByName(more)) if more.head(1) else roots
-
-    whole = classes.join(roots, F.col("set_id") == F.col("node"), "left").select("set_id", "doc_id", F.coalesce("root", "set_id").alias("root"))
-    heads = whole.groupBy("root").agg(F.min("doc_id").alias("head"))
-    ends = whole.join(heads, "root").select(F.col("set_id").alias("__set"), "head")
-    out = sets.join(ends, F.col("set_id") == F.col("__set"), "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("head", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("set_id").alias("class_id"))
+def posted(sets: DataFrame) -> DataFrame:
+    """(shingle, set_id, n, held, place) of each prefix: the shingles that other sets hold too, with their places in the order."""
+    alone = F.col("n") - F.size("items")
+    prefix = F.col("n") - F.ceil(F.col("n") * LEAST / PER) + 1 - alone
+    rows = sets.select("set_id", "n", F.size("items").alias("held"), F.posexplode(F.slice("items", F.lit(1), F.greatest(prefix, F.lit(0)).cast("int"))))
+    return rows.select(F.col("col").alias("shingle"), "set_id", "n", "held", (F.col("n") - F.col("held") + F.col("pos")).alias("place"))
 
 
-def between(buckets: DataFrame, roots: DataFrame) -> DataFrame:
-    """The rows (shingle, set_id, n, root) of buckets that hold more than one component."""
-    w = Window.partitionBy("shingle")
-    placed = buckets.select("shingle", "set_id", "n").join(roots, F.col("set_id") == F.col("node"), "left").select("shingle", "set_id", "n", F.coalesce("root", "set_id").alias("root"))
-    return placed.withColumn("low", F.min("root").over(w)).withColumn("high", F.max("root").over(w)).where("low < high").drop("low", "high")
+def rooted(rows: DataFrame, roots: DataFrame | None, keys: list[str]) -> DataFrame:
+    """rows with their root, of the buckets (equal keys) that hold more than one root."""
+    if roots is None:
+        placed = rows.withColumn("root", F.col("set_id"))
+    else:
+        placed = rows.join(roots, F.col("set_id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "set_id")).drop("node")
+    mixed = placed.groupBy(*keys).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select(*keys)
+    return placed.join(mixed, keys, "left_semi")
 
 
 def hubs(rows: DataFrame, seed: int) -> DataFrame:
     """(a, b, na, nb): at most one hub a for each class b of rows (shingle, set_id, n, root).
 
     A bucket's hub is its first class in a seeded random order; a class takes the hub of another component in whose
-    buckets it occurs most, unless the prefixes of both share too little for a link."""
-    first = F.first(F.struct("set_id", "n", "root")).over(Window.partitionBy("shingle").orderBy(F.xxhash64(F.lit(seed), "set_id"), "set_id"))
-    met = rows.withColumn("hub", first).where("hub.root <> root").groupBy(F.col("set_id").alias("b"), F.col("n").alias("nb"), "hub").count()
-    most = met.groupBy("b", "nb").agg(F.max_by("hub", F.struct("count", "hub.set_id")).alias("h")).select(F.col("h.set_id").alias("a"), "b", F.col("h.n").alias("na"), "nb")
-    held = rows.select("shingle", F.col("set_id").alias("b")).join(most, "b")
-    both = held.join(rows.select("shingle", F.col("set_id").alias("a")), ["shingle", "a"])
-    return both.groupBy("a", "b", "na", "nb").count().where(possible(F.col("count"))).drop("count")
+    buckets it occurs most."""
+    one = F.struct("set_id", "n", "root")
+    first = rows.groupBy("shingle").agg(F.min_by(one, F.struct(F.xxhash64(F.lit(seed), "set_id"), "set_id")).alias("hub"))
+    met = rows.join(first, "shingle").where((F.col("hub.root") != F.col("root")) & (PER * F.least("n", "hub.n") >= LEAST * F.greatest("n", "hub.n"))).groupBy(F.col("set_id").alias("b"), F.col("n").alias("nb"), "hub").count()
+    return met.groupBy("b", "nb").agg(F.max_by("hub", F.struct("count", "hub.set_id")).alias("h")).select(F.col("h.set_id").alias("a"), "b", F.col("h.n").alias("na"), "nb")
+
+
+def chosen_hubs(rows: DataFrame, linked: DataFrame, roots: DataFrame) -> DataFrame:
+    """(set_id, hub, hub_root): for the classes of rows the hub of one component each, if they meet any.
+
+    A component's hub is its class with most links. A bucket speaks for its largest component, and a class takes the
+    component for which most of its buckets speak."""
+    degree = linked.select(F.col("a").alias("node")).unionByName(linked.select(F.col("b").alias("node"))).groupBy("node").count()
+    whole = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    heads = whole.join(degree, "node").groupBy("root").agg(F.max_by("node", F.struct("count", -F.col("node"))).alias("hub"), F.count(F.lit(1)).alias("size"))
+    heads = heads.select(F.col("root").alias("hub_root"), "hub", "size")
+    told = rows.join(heads, F.col("root") == F.col("hub_root"))
+    spoken = told.groupBy("shingle").agg(F.max(F.struct("size", "hub_root", "hub")).alias("h"))
+    met = rows.select("shingle", "set_id").join(spoken, "shingle").groupBy("set_id", "h").count()
+    return met.groupBy("set_id").agg(F.max_by("h", F.struct("count", "h")).alias("h")).select("set_id", "h.hub", "h.hub_root")
+
+
+def differences(sets: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(set_id, n, hub, hub_root, hub_n, d, held, lacks, parity, more, less): d is the size of the difference from the hub, more what the
+    hub lacks and less what the set lacks, both without the shingles that one set alone holds; held counts what the set
+    shares with any other, lacks all that it lacks of the hub."""
+    of = chosen.select("hub").distinct().join(sets, F.col("hub") == F.col("set_id")).select("hub", F.col("n").alias("hub_n"), F.col("items").alias("theirs"))
+    own = chosen.join(sets.select("set_id", "n", "items", "parity"), "set_id").where("set_id <> hub").join(of, "hub")
+    both = F.size("items") - F.size("more")
+    got = own.withColumn("more", F.array_except("items", "theirs")).withColumn("less", F.array_except("theirs", "items"))
+    return got.select("set_id", "n", "hub", "hub_root", "hub_n", (F.col("n") + F.col("hub_n") - 2 * both).alias("d"), F.size("items").alias("held"), (F.col("hub_n") - both).alias("lacks"), "parity", "more", "less")
+
+
+def difference_buckets(apart: DataFrame, roots: DataFrame) -> DataFrame:
+    """(hub, shingle, set_id, n, d, held, parity, place, root): the prefixes of differences()."""
+    now = apart.join(roots, F.col("set_id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "set_id")).drop("node", "hub_root")
+    now = now.join(roots.select(F.col("node").alias("hub_node"), F.col("root").alias("hub_root")), F.col("hub") == F.col("hub_node"), "left").withColumn("hub_root", F.coalesce("hub_root", "hub")).drop("hub_node")
+    # of two sets in different components one doesn't link with the hub: its 7 d - n is above hub_n, the other's at least `least`
+    least = now.groupBy("hub").agg(F.min(7 * F.col("d") - F.col("n")).alias("least"))
+    now = now.join(least, "hub")
+    other = F.when(F.col("root") == F.col("hub_root"), F.col("hub_n") + 1).otherwise(F.col("least"))
+    need = F.greatest(F.ceil((7 * F.col("d") - F.col("n") + other) / 14), F.lit(1))
+    now = now.withColumn("alone", F.col("n") - F.col("held")).withColumn("prefix", F.col("d") - need + 1).where((F.col("prefix") > F.col("alone")) & (F.size("more") + F.col("lacks") >= need))
+    # what the hub alone holds comes last: all sets lack it, so its first shingle stands for all
+    order = F.concat("more", "less", F.array(F.col("hub")))
+    rows = now.select("hub", "set_id", "n", "d", "held", "parity", "alone", F.posexplode(F.slice(order, F.lit(1), (F.col("prefix") - F.col("alone")).cast("int"))))
+    rows = rows.select("hub", F.col("col").alias("shingle"), "set_id", "n", "d", "held", "parity", (F.col("alone") + F.col("pos")).alias("place"))
+    return common.written(rooted(rows, roots, ["hub", "shingle"]), "difference-buckets")
+
+
+def nearest(rows: DataFrame, seed: int) -> DataFrame:
+    """(a, b, na, nb): at most one class a for each class b of difference_buckets(): of the classes that stand for b's buckets,
+    the one that is nearest to b by what they share there. In round 0 the class nearest to the hub stands for a bucket, then
+    a random one."""
+    by = F.struct("d", "set_id") if seed == 0 else F.struct(F.xxhash64(F.lit(seed), "set_id"), "set_id")
+    first = rows.groupBy("hub", "shingle").agg(F.min_by(F.struct("set_id", "n", "d", "root"), by).alias("near"))
+    met = rows.join(first, ["hub", "shingle"]).where((F.col("near.root") != F.col("root")) & (PER * F.least("n", "near.n") >= LEAST * F.greatest("n", "near.n"))).groupBy(F.col("set_id").alias("b"), F.col("n").alias("nb"), "near").count()
+    best = met.groupBy("b", "nb").agg(F.max_by("near", F.struct(2 * F.col("count") - F.col("near.d"), F.col("near.set_id"))).alias("h"))
+    return best.select(F.col("h.set_id").alias("a"), "b", F.col("h.n").alias("na"), "nb")
+
+
+def across_differences(rows: DataFrame) -> DataFrame:
+    """The pairs (a, b, na, nb) of difference_buckets() in different components whose differences may share enough."""
+    x, y = rows.alias("x"), rows.alias("y")
+    least_both = F.greatest(F.ceil((7 * (F.col("x.d") + F.col("y.d")) - F.col("x.n") - F.col("y.n")) / 14), F.lit(1))
+    near = (PER * F.least("x.n", "y.n") >= LEAST * F.greatest("x.n", "y.n")) & (F.col("x.place") <= F.col("x.d") - least_both) & (F.col("y.place") <= F.col("y.d") - least_both)
+    near = near & (7 * apart_by_parity() <= F.col("x.n") + F.col("y.n"))
+    met = x.join(y, (F.col("x.hub") == F.col("y.hub")) & (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.root") < F.col("y.root")) & near)
+    return met.select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct()
+
+
+def across_prefixes(rows: DataFrame, chosen: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b, na, nb) of rows (shingle, set_id, n, held, place, root) in different components and of different hubs
+    whose prefixes meet early enough."""
+    hub = chosen.select(F.col("set_id").alias("hubbed"), "hub")
+    # without a hub, a set has its own number, below 0
+    rows = rows.join(hub, F.col("set_id") == F.col("hubbed"), "left").withColumn("hub", F.coalesce("hub", -F.col("set_id") - 1)).drop("hubbed")
+    mixed = rows.groupBy("shingle").agg(F.min("hub").alias("low"), F.max("hub").alias("high")).where("low < high").select("shingle")
+    rows = rows.join(mixed, "shingle", "left_semi").join(sets.select("set_id", "parity"), "set_id")
+    rows = common.written(rows, "mixed-buckets")
+    x, y = rows.alias("x"), rows.alias("y")
+    most = lambda s: F.col(f"{s}.n") - F.col(f"{s}.place")
+    near = (PER * F.least("x.n", "y.n") >= LEAST * F.greatest("x.n", "y.n")) & (F.least(most("x"), most("y")) >= needed(F.col("x.n"), F.col("y.n")))
+    near = near & (7 * apart_by_parity() <= F.col("x.n") + F.col("y.n"))
+    met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.root") < F.col("y.root")) & (F.col("x.hub") != F.col("y.hub")) & near)
+    return met.select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct()
+
+
+def linked_sets(sets: DataFrame) -> DataFrame:
+    """(node, root) of the sets (set_id, n, items, freqs, parity) that link with one of a less number: root is their component's least."""
+    parts = common.written(fragments(sets), "fragments")
+    rows = posted(sets)
+    buckets = common.written(rooted(rows, None, ["shingle"]), "prefix-buckets")
+    found, roots, mixed = None, None, buckets
+    for seed in range(ROUNDS):
+        got = verified(hubs(mixed, seed), parts)
+        found = common.written(got if found is None else found.unionByName(got), "links")
+        roots = graph.components(found)
+        mixed = common.written(rooted(buckets.drop("root"), roots, ["shingle"]), "mixed-buckets")
+    chosen = common.written(chosen_hubs(mixed, found, roots), "hubs")
+    apart = common.written(differences(sets, chosen), "differences")
+    near_hub = apart.where(7 * F.col("d") <= F.col("n") + F.col("hub_n")).select(F.col("hub").alias("a"), F.col("set_id").alias("b"))
+    found = common.written(found.unionByName(near_hub), "links")
+    roots = graph.components(found)
+    rows = difference_buckets(apart, roots)
+    for seed in range(ROUNDS):
+        found = common.written(found.unionByName(verified(nearest(rows, seed), parts)), "links")
+        roots = graph.components(found)
+        rows = common.written(rooted(rows.drop("root"), roots, ["hub", "shingle"]), "difference-buckets")
+    pairs = across_differences(rows).unionByName(across_prefixes(rooted(buckets.drop("root"), roots, ["shingle"]), chosen, sets)).distinct()
+    return graph.components(found.unionByName(verified(common.written(pairs, "pairs"), parts)))
+
+
+def joined(docs: DataFrame) -> DataFrame:
+    """A row for each document: doc_id, text_key, n_shingles, component_id, class_id (null for an empty set)."""
+    seen = shared_sets(docs)
+    sets = seen.where("items is not null").select("high", "low", "n", "items", "freqs", "parity").dropDuplicates(["high", "low"])
+    sets = common.written(sets.withColumn("set_id", F.monotonically_increasing_id()), "shared-sets")
+    roots = linked_sets(sets)
+    named = sets.select("set_id", "high", "low").join(roots, F.col("set_id") == F.col("node"), "left").select("high", "low", F.coalesce("root", "set_id").alias("root"))
+    rows = seen.where("items is null").select("doc_id", "text_key", "n", "high", "low")
+    firsts = rows.where("high is not null").groupBy("high", "low").agg(F.min("doc_id").alias("first"))
+    whole = firsts.join(named, ["high", "low"], "left")
+    heads = whole.where("root is not null").groupBy("root").agg(F.min("first").alias("head"))
+    ends = whole.join(heads, "root", "left").select(F.col("high").alias("__high"), F.col("low").alias("__low"), F.coalesce("head", "first").alias("head"))
+    out = rows.join(ends, (F.col("high") == F.col("__high")) & (F.col("low") == F.col("__low")), "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("head", "doc_id"))
+    name = F.concat(F.lpad(F.hex("high"), 16, "0"), F.lpad(F.hex("low"), 16, "0"))
+    return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), component.alias("component_id"), name.alias("class_id"))
 
 
-def checked(pairs: DataFrame, base: DataFrame, classes: DataFrame, frequent: bytes) -> DataFrame:
-    """verified(), with the fragments of the sets that the pairs need."""
-    pairs = common.written(pairs, "pairs")
-    if not pairs.head(1):
-        return pairs.select("a", "b")
-    needed = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
-    wanted = common.written(classes.where("doc_id is not null").join(needed, "set_id"), "wanted")
-    return verified(pairs, fragments(base, wanted, frequent))
+def linked(docs: DataFrame) -> DataFrame:
+    """A row for each document: doc_id, n_shingles, component_id, class_id (null for an empty set)."""
+    return joined(docs).drop("text_key")
 
 
 def kept(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, one for each component: its least id, and of repeated ids one row. Rows with a null id stay."""
-    heads = linked(docs).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct()
-    ided = docs.where("doc_id is not null")
-    return ided.join(heads, ided["doc_id"].cast("long") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """The rows of docs, all columns, one for each component: the one of its least id (of rows that share that id, the text
+    that hashes least; of rows that share both, any). Rows with a null id or an empty set stay, all of them."""
+    rows = common.written(joined(docs).where("doc_id is not null and class_id is not null").groupBy("component_id", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("times")), "components")
+    first = rows.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_key")).alias("f"))
+    named = rows.join(first, "component_id")
+    stays = (F.col("doc_id") == F.col("f.doc_id")) & (F.col("text_key") == F.col("f.text_key"))
+    marks = named.where(~stays | (F.col("times") > 1)).select(F.col("doc_id").alias("its_id"), F.col("text_key").alias("its_key"), stays.alias("stays"))
+    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("id"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("key"))
+    marked = own.join(marks, (F.col("id") == F.col("its_id")) & (F.col("key") == F.col("its_key")), "left")
+    repeated = marked.where("stays").dropDuplicates(["id", "key"])
+    return marked.where("stays is null").unionByName(repeated).select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumigrid.llm import graph, jaccard, media, mixing, packing, pseudonyms, quality, secret_scan, sharding, suffix_tree, toxicity
+from lumigrid.llm import graph, jaccard, media, mixing, packing, pseudonyms, quality, secret_scan, sharding, shingling, suffix_tree, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, size long, shard int, spans string, row string"
 LONG = "alpha beta gamma delta " * 30_000
@@ -241,15 +241,55 @@ def test_jaccard_equals_brute_force(spark, docs, none):
     assert {r["component_id"] for r in edge if r["doc_id"] in (1, 2, 3)} == {1}
 
 
-def test_jaccard_order_does_not_change_links(spark, monkeypatch):
-    rows = near_copies()
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
-    monkeypatch.setattr(jaccard, "MAX_FREQUENT", 7)
-    got = collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.linked(df).collect())
-    assert got == brute_components(rows)
+def one_large_group(n=160):
+    """Near copies of one text around the threshold, half of them with few edits that many share, and a common passage."""
+    rng = np.random.default_rng(9)
+    base, foot = text_of(300, 60).split(), text_of(301, 40)
+    rows = []
+    for i in range(n):
+        w = list(base)
+        for _ in range(int(rng.integers(0, 5))):
+            k = int(rng.integers(0, 12)) * 5
+            w[k] = "the" if rng.random() < 0.6 else f"own{i}"
+            if rng.random() < 0.2:
+                del w[k]
+        rows.append((i * 7, " ".join(w)))
+    return rows + [(5000 + i, text_of(400 + i, 25) + " " + foot) for i in range(20)]
+
+
+@pytest.mark.parametrize("rounds", [1, 2])
+def test_jaccard_of_one_large_group(spark, monkeypatch, rounds):
+    rows = one_large_group()
+    want = brute_components(rows)
+    assert 30 < len({c for _, _, c in want}) < len(rows) - 30  # some link and some don't
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(jaccard, "ROUNDS", rounds)
+    monkeypatch.setattr(shingling, "BLOCK", 900)  # several blocks in a task
+    assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.linked(df).collect()) == want
+
+
+def test_shingle_sets_of_long_words_and_slices(monkeypatch):
+    texts = ["x" * 5000 + " y " + "Z" * 9000, "a b c d e f g " * 50, "", " ", "ä Ä é\tÉ A"]
+    whole = list(shingling.sets_of(texts))
+    monkeypatch.setattr(shingling, "SLICE", 64)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, shingling.sets_of(texts), strict=True))
+    assert [len(s) for s in whole] == [len(shingles(t)) for t in texts]
+
+
+def test_hashes_survive_squeezing():
+    s = np.sort(np.random.default_rng(4).integers(2**61, 2**61 + 2**50, 500, dtype=np.uint64))
+    assert np.array_equal(shingling.stretched(shingling.squeezed(s, 2**61), 2**61), s) and not len(shingling.stretched(b"", 5))
+
+
+def test_jaccard_keeps_unlike_texts_of_one_id(spark):
+    a, b = text_of(500, 40), text_of(501, 40)
+    rows = [(3, a, 1), (5, a + " more", 2), (5, b, 3), (5, b, 4), (6, b, 5), (None, b, 6)]
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in jaccard.kept(spark.createDataFrame(rows, "doc_id long, text string, __id int")).collect())
+    assert got == [(0, b), (3, a), (5, b)]
 
 
 def test_jaccard_keeps_one_of_each_group(docs):
+    assert jaccard.kept(docs.limit(0)).count() == 0
     kept = jaccard.kept(docs)
     ids = [r["doc_id"] for r in kept.collect()]
     assert kept.columns == docs.columns
