@@ -35,6 +35,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, bucketed by key: later groupings by key shuffle the other side only."""
+    spark, table = df.sparkSession, f"lumigrid_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").option("path", fresh_path(spark, name)).bucketBy(buckets, key).saveAsTable(table)
+    out = spark.table(table)
+    out.schema  # noqa: B018  resolved before the name goes; the files stay
+    spark.sql(f"DROP TABLE {table}")
+    return out
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes the files of a table made by written() that no later plan reads."""
     spark = df.sparkSession

@@ -2,8 +2,8 @@
 
 A source's target is its weight's share of all words, capped at a multiple of what it has; the excess is shared anew by
 weight. A source first gives whole epochs; the fraction that remains is filled in the order of exponential keys
--ln(u) / quality, where u is a hash of the document's id, so that reruns agree. Keys are dealt into cells of equal
-range, sums of cells are added up in front, and words are prefix-summed within a cell only: no task holds a source.
+-ln(u) / quality, where u is a hash of the document's id, so that reruns agree. Keys are dealt into cells in which
+documents of high and of low quality are spread alike, sums of cells are added up in front, and words are prefix-summed within a cell only: no task holds a source.
 
 Defined results: a null text has size 0; a document without words is never taken; null is a source of its own, the
 last; sources without words get target 0; repeated rows are taken one by one; an empty table gives an empty result.
@@ -21,6 +21,8 @@ from lumigrid.llm import common
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
 CELLS = 1024
+#: Qualities from the least to the greatest; keys of documents of any of them spread over the cells.
+GRADES = (0.05, 0.1, 0.2, 0.5, 1.0)
 #: Characters that speak against a text, for its quality weight.
 NOISE = "#*$%&|<>!{}[]\\^~=0123456789"
 
@@ -63,7 +65,8 @@ def mix(docs: DataFrame, seed: int = 42, keep: list[str] | None = None) -> DataF
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), common.n_words(text).alias("size"), (-F.log(u) / quality(text)).alias("key"), *kept)
     # a key without nulls: plain equality lets the join find the rows where the window has put them
     base = base.withColumn("from", F.concat(F.when(F.col("source").isNull(), "-").otherwise("+"), F.coalesce("source", F.lit(""))))
-    base = base.withColumn("cell", F.least(F.lit(CELLS - 1), F.floor((1 - F.exp(-F.col("key"))) * CELLS)).cast("int"))
+    share = sum((1 - F.exp(-q * F.col("key")) for q in GRADES), F.lit(0.0)) / len(GRADES)
+    base = base.withColumn("cell", F.least(F.lit(CELLS - 1), F.floor(share * CELLS)).cast("int"))
     sums = common.written(base.groupBy("from", "source", "cell").agg(F.sum("size").alias("words")), "mix-cells")  # at most sources x CELLS rows
     sizes = sums.groupBy("source").agg(F.sum("words").alias("source_size"))
     front = F.coalesce(F.sum("words").over(Window.partitionBy("from").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

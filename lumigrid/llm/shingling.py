@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumigrid.llm import common
+from lumigrid.llm.compact import packed, squeezed, stretched, unpacked
 
 WORDS = 5
 #: Two sets link when PER * intersection >= LEAST * union.
@@ -50,9 +51,9 @@ _PLACE = _factors(0, 1 << 12)
 _TURN = _factors(1 << 20, (1 << 20) + WORDS)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of texts that lie one after the other in data, beginning at starts: all words' hashes, and each text's first word
-    (and the end of the last)."""
+def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts that lie one after the other in data, beginning at starts: all words' hashes and bytes, and each text's first
+    word (and the end of the last)."""
     letter = ~_BREAK[data]
     begins = letter.copy()
     begins[1:] &= ~letter[:-1]
@@ -61,26 +62,26 @@ def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     at = np.cumsum(letter) - 1
     heads = np.flatnonzero(begins)
     if not len(heads):
-        return np.empty(0, dtype=_U), np.zeros(len(starts) + 1, dtype=np.int64)
+        return np.empty(0, dtype=_U), np.empty(0, dtype=np.int64), np.zeros(len(starts) + 1, dtype=np.int64)
     first = at[heads]
     sizes = np.diff(np.append(first, at[-1] + 1))
     place = np.arange(at[-1] + 1) - np.repeat(first, sizes)
     longest = int(sizes.max())
     factors = _PLACE if longest <= len(_PLACE) else _factors(0, longest)
     h = _mixed(np.add.reduceat(_LETTER[data[letter]] * factors[place], first))
-    return h, np.append(np.searchsorted(heads, starts), len(h))
+    return h, sizes, np.append(np.searchsorted(heads, starts), len(h))
 
 
-def _of_long(raw: bytes) -> np.ndarray:
-    """The hashes of a long text's words, a slice at a time; slices end between words."""
+def _of_long(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes and bytes of a long text's words, a slice at a time; slices end between words."""
     out, at = [], 0
     while at < len(raw):
         end = min(at + SLICE, len(raw))
         while end < len(raw) and not _BREAK[raw[end]]:
             end += 1
-        out.append(word_hashes(np.frombuffer(raw, dtype=np.uint8, count=end - at, offset=at), np.zeros(1, dtype=np.int64))[0])
+        out.append(word_hashes(np.frombuffer(raw, dtype=np.uint8, count=end - at, offset=at), np.zeros(1, dtype=np.int64))[:2])
         at = end
-    return np.concatenate(out)
+    return tuple(map(np.concatenate, zip(*out, strict=True)))
 
 
 def _set_of(h: np.ndarray) -> np.ndarray:
@@ -96,15 +97,15 @@ def _set_of(h: np.ndarray) -> np.ndarray:
     return s[np.concatenate([[True], s[1:] != s[:-1]])]
 
 
-def sets_of(texts: list[str]) -> Iterator[np.ndarray]:
-    """The sorted distinct hashes of each text's shingles."""
+def hashed(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The hashes of each text's lower-cased words, and how many bytes each word has."""
     some, size = [], 0
 
-    def done() -> Iterator[np.ndarray]:
+    def done() -> Iterator[tuple[np.ndarray, np.ndarray]]:
         starts = np.cumsum([0, *map(len, some)])[:-1]
-        h, first = word_hashes(np.frombuffer(b"".join(some), dtype=np.uint8), starts)
+        h, sizes, first = word_hashes(np.frombuffer(b"".join(some), dtype=np.uint8), starts)
         for a, z in zip(first[:-1], first[1:], strict=True):
-            yield _set_of(h[a:z])
+            yield h[a:z], sizes[a:z]
 
     for text in texts:
         raw = text.encode("utf-8", "surrogatepass")
@@ -112,7 +113,7 @@ def sets_of(texts: list[str]) -> Iterator[np.ndarray]:
             yield from done()
             some, size = [], 0
         if len(raw) > SLICE:
-            yield _set_of(_of_long(raw))
+            yield _of_long(raw)
         else:
             some.append(raw)
             size += len(raw)
@@ -120,6 +121,11 @@ def sets_of(texts: list[str]) -> Iterator[np.ndarray]:
         yield from done()
 
 
+def sets_of(texts: list[str]) -> Iterator[np.ndarray]:
+    """The sorted distinct hashes of each text's shingles."""
+    return (_set_of(h) for h, _ in hashed(texts))
+
+
 def set_key(s: np.ndarray) -> tuple[int, int]:
     """A signed 128-bit hash of a set, in two halves."""
     x = xxhash.xxh3_128_intdigest(s.tobytes())
@@ -131,24 +137,6 @@ def parity(s: np.ndarray) -> list[int]:
     return np.packbits(odd).view("<i8").tolist()
 
 
-def squeezed(s: np.ndarray, base: int) -> bytes:
-    """Sorted hashes from base up, as differences in as few bytes as the largest needs."""
-    if not len(s):
-        return b""
-    d = np.diff(s, prepend=_U(base))
-    width = max(1, (int(d.max()).bit_length() + 7) // 8)
-    return bytes([width]) + d.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
-
-
-def stretched(b: bytes, base: int) -> np.ndarray:
-    if not b:
-        return np.empty(0, dtype=_U)
-    planes = np.frombuffer(b, dtype=np.uint8, offset=1).reshape(b[0], -1)
-    d = np.zeros((planes.shape[1], 8), dtype=np.uint8)
-    d[:, : b[0]] = planes.T
-    return np.cumsum(d.view("<u8").ravel(), dtype=_U) + _U(base)
-
-
 #: range: the upper bits of a hash. once, at: hashes that one set of the block holds, and its place in the block. many,
 #: times: hashes that more of its sets hold, and how many. The rest is in a block's first row only: its documents with the
 #: place of their set (null for none); its sets' sizes and keys; and what the sets hold of `many`, by hash.
@@ -186,7 +174,7 @@ def pieces(base: DataFrame, bits: int) -> DataFrame:
             times = np.diff(np.append(np.flatnonzero(new), len(every)))
             single = np.repeat(times == 1, times)
             once, at = every[single], place[single]
-            many, times = every[new][times > 1], times[times > 1].astype("<u4")
+            many, times = every[new][times > 1], times[times > 1]
             head = {"ids": [d[0] for d in docs], "texts": [d[1] for d in docs], "places": [d[2] for d in docs], "sizes": sizes.tolist(), "highs": [k[0] for k in sets], "lows": [k[1] for k in sets], "held": squeezed(every[~single], 0), "held_at": place[~single].tobytes()}
             step = 64 - bits
             cuts = [np.append(np.searchsorted(x, np.arange(1 << bits, dtype=_U) << _U(step)), len(x)) for x in (once, many)]
@@ -194,7 +182,7 @@ def pieces(base: DataFrame, bits: int) -> DataFrame:
             for r in range(1 << bits):
                 (a, z), (b, y) = ((c[r], c[r + 1]) for c in cuts)
                 if z > a or y > b:
-                    rows.append({"range": r, "block": block, "once": squeezed(once[a:z], r << step), "at": at[a:z].tobytes(), "many": squeezed(many[b:y], r << step), "times": times[b:y].tobytes()})
+                    rows.append({"range": r, "block": block, "once": squeezed(once[a:z], r << step), "at": at[a:z].tobytes(), "many": squeezed(many[b:y], r << step), "times": packed(times[b:y])})
             if rows:
                 rows[0] |= head
             else:
@@ -230,10 +218,10 @@ def answers(found: DataFrame, bits: int) -> DataFrame:
     def one(whole: pa.Table) -> pa.Table:
         base = whole.column("range")[0].as_py() << (64 - bits)
         rows = whole.to_pylist()
-        once = [stretched(r["once"] or b"", base) for r in rows]
-        many = [stretched(r["many"] or b"", base) for r in rows]
+        once = [stretched(r["once"], base) for r in rows]
+        many = [stretched(r["many"], base) for r in rows]
         every = np.concatenate([*once, *many])
-        weight = np.concatenate([np.ones(sum(map(len, once)), dtype=np.int64), *[np.frombuffer(r["times"] or b"", dtype="<u4").astype(np.int64) for r in rows]])
+        weight = np.concatenate([np.ones(sum(map(len, once)), dtype=np.int64), *[unpacked(r["times"]) for r in rows]])
         order = np.argsort(every, kind="stable")
         sorted_ = every[order]
         new = np.concatenate([[True], sorted_[1:] != sorted_[:-1]])[: len(every)]
@@ -241,7 +229,7 @@ def answers(found: DataFrame, bits: int) -> DataFrame:
         sums = np.add.reduceat(weight[order], heads) if len(heads) else weight
         sets = np.empty(len(every), dtype=np.int64)
         sets[order] = np.repeat(sums, np.diff(np.append(heads, len(every))))
-        sets = np.minimum(sets, 2**31 - 1).astype("<i4")
+        sets = np.minimum(sets, 2**31 - 1)
         out, a, b = [], 0, sum(map(len, once))
         for r, x, y in zip(rows, once, many, strict=True):
             s, m = sets[a : a + len(x)], sets[b : b + len(y)]
@@ -249,7 +237,7 @@ def answers(found: DataFrame, bits: int) -> DataFrame:
             shared = s > 1
             at = np.frombuffer(r["at"] or b"", dtype="<u2")
             if shared.any() or len(y) or r["ids"] is not None:
-                kept = {"range": r["range"], "block": r["block"], "once": squeezed(x[shared], base), "at": at[shared].tobytes(), "sets": s[shared].tobytes(), "many": squeezed(y, base), "many_sets": m.tobytes()}
+                kept = {"range": r["range"], "block": r["block"], "once": squeezed(x[shared], base), "at": at[shared].tobytes(), "sets": packed(s[shared]), "many": squeezed(y, base), "many_sets": packed(m)}
                 out.append(kept | {k: r[k] for k in ("ids", "texts", "places", "sizes", "highs", "lows", "held", "held_at")})
         return pa.Table.from_batches([_table(out, ANSWERS)])
 
@@ -264,13 +252,13 @@ def ordered(told: DataFrame, bits: int) -> DataFrame:
         head = next(r for r in rows if r["ids"] is not None)
         base = [r["range"] << (64 - bits) for r in rows]
         many = np.concatenate([stretched(r["many"], b) for r, b in zip(rows, base, strict=True)])
-        many_sets = np.concatenate([np.frombuffer(r["many_sets"], dtype="<i4") for r in rows])
+        many_sets = np.concatenate([unpacked(r["many_sets"]) for r in rows])
         order = np.argsort(many)
         many, many_sets = many[order], many_sets[order]
         held, held_at = stretched(head["held"], 0), np.frombuffer(head["held_at"], dtype="<u2")
         item = np.concatenate([held, *[stretched(r["once"], b) for r, b in zip(rows, base, strict=True)]])
         place = np.concatenate([held_at, *[np.frombuffer(r["at"], dtype="<u2") for r in rows]]).astype(np.int64)
-        freq = np.concatenate([many_sets[np.searchsorted(many, held)] if len(many) else np.empty(0, dtype=np.int32), *[np.frombuffer(r["sets"], dtype="<i4") for r in rows]])
+        freq = np.concatenate([many_sets[np.searchsorted(many, held)] if len(many) else many_sets, *[unpacked(r["sets"]) for r in rows]])
         n = np.array(head["sizes"], dtype=np.int64)
         enough = PER * np.bincount(place, minlength=len(n)) >= LEAST * n
         item, place, freq = (x[enough[place]] for x in (item, place, freq))

@@ -1,299 +1,300 @@
-"""Language-model scores from a probabilistic suffix tree.
-
-A text is its lower-cased words and one end; a word is its UTF-8 bytes and a word end. Above, a word has its share of
-the training tokens; below, for what that escapes (Witten-Bell again), it is spelled by the tree, so unseen words have
-probabilities too and all words and the end sum to 1. The tree predicts the next symbol from a context of the preceding
-symbols of the word, back to its start: up to DEPTH of them. A context is retained if it
-is frequent enough and its next-symbol distribution diverges from that of its longest proper suffix. Distributions are
-smoothed towards that of the retained suffix (Witten-Bell), and the longest retained context predicts each symbol.
-
-Words' counts are summed over all training documents; contexts are counted from them, tested and pruned with DataFrame
-operations. A context must hold the share MIN_SHARE of all symbols, so at most (DEPTH + 1) / MIN_SHARE contexts of at
-most 258 symbols remain, whatever the corpus; they are sent to each task. Texts are read once: blocks of documents are
-written as word numbers with a list of the block's words; the lists are shuffled by word once, which gives each word its
-count, and go back to their blocks with counts and log probabilities, from which a block's documents are summed up.
+"""Language-model scores from a probabilistic suffix tree over words.
+
+A text is the sequence of its lower-cased words and one end. The tree's nodes are contexts of up to DEPTH preceding words
+of the text. A context of the training documents is retained if it occurs LEAST times and diverges from its longest proper
+suffix: the summed logarithms of its next words' probabilities, each predicted without its own occurrence, exceed those
+that the suffix gives by MIN_DIVERGENCE. Each word is scored by the longest retained suffix of the text before it, whose
+distribution is smoothed towards that of its own longest retained suffix, and so on up to the root: single words' shares
+of all tokens, and for what these escape (Witten-Bell) the spelling, at equal odds for each byte and the word's end.
+
+The tree grows with the corpus and is never in one place. Blocks of documents are written once, as word numbers, and
+bucketed by block. Each block sends its distinct words and n-grams, as sorted hashes with their counts, to ranges of
+hashes, which sum them up and answer in the same order; then it sends for each context what its occurrences gain, and
+learns which contexts are retained. So a frequent word or context takes one entry a block, and only hashes, counts and
+gains are shuffled; blocks stay where they are. n-grams of two and more words are hashed to SPARE bits more than
+their number needs: about one in 2 ** SPARE shares its hash with another one.
 
 Defined results: a null or empty text is its end token alone; a row with a null id is not held out (it is learnt from);
-without training documents counts are 0 and symbols equally likely; repeated rows score alike; an empty table gives an
-empty result.
+without training documents counts are 0 and only spelling counts; repeated rows score alike; a very long text is a block
+of its own; ties can't occur; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lumigrid.llm import common
+from lumigrid.llm.compact import from_planes, packed, planes, squeezed, stretched, unpacked
+from lumigrid.llm.shingling import _mixed, hashed
 
-DEPTH = 6
-#: A context's least share of all symbols, and its least divergence (in nats, times its count) from its suffix.
-MIN_SHARE, MIN_DIVERGENCE = 1e-5, 12.0
-#: Codes: bytes are 1 to 256; a context is a number of 9 bits a symbol, the latest lowest.
-WORD_END, TEXT_END, START, BITS = 257, 258, 259, 9
-SYMBOLS = 258
-#: How many uses of words a task packs together.
-USES = 1_000_000
-#: A block's bounds: bytes of text, and documents.
-BLOCK_BYTES, BLOCK_DOCS = 12 << 20, 50_000
+#: Words of the longest context; a context's least count, and its least gain over its suffix, in nats.
+DEPTH, LEAST, MIN_DIVERGENCE = 2, 2, 4.0
+#: How many occurrences the suffix's distribution counts for.
+WEIGHT = 1.0
+#: Gains are sent in these parts of a nat.
+PARTS = 16
+#: A block's bounds: tokens (and one text), and documents. Entries behind a range of hashes.
+BLOCK, BLOCK_DOCS, RANGE = 1_500_000, 50_000, 2_000_000
+SPARE = 12
+#: The hash that stands for a text's end.
+END = np.uint64(0x5851F42D4C957F2D)
+_U = np.uint64
+_TURN = _U(0x9E3779B97F4A7C15)
 
+BLOCKS = "block long, docs array<long>, helds array<boolean>, sizes array<long>, ids binary, words binary, letters binary, train long"
+ASKED = "range int, block long, words binary, word_values binary, grams binary, gram_values binary"
+ANSWERS = "round int, range int, block long, words binary, grams binary, distinct long"
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
 
-def blocks(base: DataFrame) -> DataFrame:
-    """From (doc_id, text, held): (block, docs, helds, sizes, ids, words, train), bounded by BLOCK_BYTES and one text.
 
-    ids are the documents' word numbers, one after the other; train has how often training documents use each word."""
-    schema = "block long, docs array<long>, helds array<boolean>, sizes array<int>, ids binary, words array<string>, train array<long>"
+def blocks(base: DataFrame) -> DataFrame:
+    """From (doc_id, text, held): BLOCKS. ids number the words in the order of their hashes; letters are the words' bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number, context = 0, TaskContext.get()
-        start = context.partitionId() << 32
-
-        class Numbers(dict):
-            def __missing__(self, word: bytes) -> int:
-                n = self[word] = len(self)
-                return n
-
-        def done(docs, helds, parts, numbers) -> pa.RecordBatch:
-            train = np.zeros(len(numbers), dtype=np.int64)
-            for held, ids in zip(helds, parts, strict=True):
-                if not held and len(ids):
-                    top = np.bincount(ids)
-                    train[: len(top)] += top
-            cols = [
-                pa.array([start + number], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([helds], pa.list_(pa.bool_())),
-                pa.array([[len(x) for x in parts]], pa.list_(pa.int32())), pa.array([np.concatenate(parts).astype("<u4").tobytes()], pa.binary()),
-                pa.array([[w.decode() for w in numbers]], pa.list_(pa.string())), pa.array([train], pa.list_(pa.int64())),
-            ]
-            return pa.RecordBatch.from_arrays(cols, names=["block", "docs", "helds", "sizes", "ids", "words", "train"])
-
-        docs, helds, parts, numbers, size = [], [], [], Numbers(), 0
+        block = TaskContext.get().partitionId() << 32
+        kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.int64())
+
+        def done() -> pa.RecordBatch:
+            words, first, ids = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+            sizes = [len(h) for h in hashes]
+            train = sum(n for n, held in zip(sizes, helds, strict=True) if not held)
+            row = [block, docs, helds, sizes, planes(ids.astype(_U), max(1, len(words).bit_length())), squeezed(words, 0), packed(np.concatenate(letters)[first]), train]
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=_names(BLOCKS))
+
+        docs, helds, hashes, letters, size = [], [], [], [], 0
         for b in batches:
-            for doc_id, text, held in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                raw = text.encode().lower()
-                words = raw.split()
+            for doc_id, held, (h, n) in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), hashed(b.column(1).to_pylist()), strict=True):
                 docs.append(doc_id)
                 helds.append(held)
-                parts.append(np.fromiter(map(numbers.__getitem__, words), dtype=np.uint32, count=len(words)))
-                size += len(raw)
-                if size >= BLOCK_BYTES or len(docs) >= BLOCK_DOCS:
-                    yield done(docs, helds, parts, numbers)
-                    number += 1
-                    docs, helds, parts, numbers, size = [], [], [], Numbers(), 0
+                hashes.append(np.append(h, END))
+                letters.append(np.append(n, 0))
+                size += len(h) + 1
+                if size >= BLOCK or len(docs) >= BLOCK_DOCS:
+                    yield done()
+                    block += 1
+                    docs, helds, hashes, letters, size = [], [], [], [], 0
         if docs:
-            yield done(docs, helds, parts, numbers)
+            yield done()
+
+    return base.mapInArrow(run, BLOCKS)
+
+
+class Block:
+    """A block's tokens: their words' numbers, places in their texts, and the n-grams that end at them."""
+
+    def __init__(self, row: dict, bits: int):
+        self.row, self.sizes = row, np.array(row["sizes"], dtype=np.int64)
+        n = int(self.sizes.sum())
+        self.words = stretched(row["words"], 0)
+        self.ids = from_planes(row["ids"], n, max(1, len(self.words).bit_length())).astype(np.int64)
+        starts = np.cumsum(self.sizes) - self.sizes
+        self.starts, self.place = starts, np.arange(n) - np.repeat(starts, self.sizes)
+        self.trains = np.repeat(~np.array(row["helds"], dtype=bool), self.sizes)
+        h = self.words[self.ids]
+        grams, at, key = [], [], h
+        for k in range(1, DEPTH + 1):  # of k + 1 words; mixed anew for each length
+            key = np.concatenate([np.zeros(1, dtype=_U), _mixed(key[:-1] * _TURN + h[1:])])
+            at.append(np.flatnonzero(self.place >= k))
+            grams.append(key[at[-1]] >> _U(64 - bits))
+        every = np.concatenate(grams)
+        order = np.argsort(every, kind="stable")
+        new = np.ones(len(every), dtype=bool)
+        new[1:] = every[order[1:]] != every[order[:-1]]
+        self.grams, number = every[order[new]], np.empty(len(every), dtype=np.int64)
+        number[order] = np.cumsum(new) - 1
+        #: For n-grams of k + 2 words: where they end, and their numbers.
+        self.at, self.of = at, np.split(number, np.cumsum([len(x) for x in at])[:-1])
+
+    def seen(self) -> tuple[np.ndarray, np.ndarray]:
+        """How often training texts hold each word and each n-gram."""
+        grams = np.zeros(len(self.grams), dtype=np.int64)
+        for at, of in zip(self.at, self.of, strict=True):
+            grams += np.bincount(of[self.trains[at]], minlength=len(grams))
+        return np.bincount(self.ids[self.trains], minlength=len(self.words)), grams
+
+    def asked(self, word_counts: np.ndarray, gram_counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words and n-grams that may be retained contexts, by number: frequent, and of at most DEPTH words, none an end."""
+        context = np.zeros(len(self.grams), dtype=bool)
+        for of in self.of[: DEPTH - 1]:
+            context[of] = True
+        return np.flatnonzero((word_counts >= LEAST) & (self.words != END)), np.flatnonzero(context & (gram_counts >= LEAST))
+
+    def spread(self, word_values: np.ndarray, gram_values: np.ndarray) -> list[np.ndarray]:
+        """For k = 1, 2, ... the values of the k-grams that end at each token; 0 where the text is shorter."""
+        out = [word_values[self.ids]]
+        for at, of in zip(self.at, self.of, strict=True):
+            x = np.zeros(len(self.ids), dtype=gram_values.dtype)
+            x[at] = gram_values[of]
+            out.append(x)
+        return out
+
+    def contexts(self, values: list[np.ndarray], d: int) -> np.ndarray:
+        """Of spread() values, those of the d words before each token; 0 where the text is shorter."""
+        x = np.concatenate([np.zeros(1, dtype=values[d - 1].dtype), values[d - 1][:-1]])
+        return np.where(self.place >= d, x, 0)
 
-    return base.mapInArrow(run, schema)
 
+def root(counts: np.ndarray, letters: np.ndarray, tokens: int, distinct: int) -> np.ndarray:
+    """Natural logarithms of single words' probabilities."""
+    spelled = -(letters + 1) * np.log(257.0)
+    if not tokens:
+        return spelled
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(counts > 0, np.log(counts + distinct * np.exp(spelled)), np.log(distinct) + spelled) - np.log(tokens + distinct)
 
-def spelled(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of words, one after the other: the symbols (bytes and a word end), each symbol's place in its word, and its word."""
-    raw = [w.encode() for w in words]
-    sizes = np.array([len(w) + 1 for w in raw], dtype=np.int64)
-    ends = np.cumsum(sizes)
-    symbols = np.empty(int(ends[-1]) if len(ends) else 0, dtype=np.int64)
-    last = np.zeros(len(symbols), dtype=bool)
-    last[ends - 1] = True
-    symbols[last] = WORD_END
-    symbols[~last] = np.frombuffer(b"".join(raw), dtype=np.uint8).astype(np.int64) + 1
-    place = np.arange(len(symbols)) - np.repeat(ends - sizes, sizes)
-    return symbols, place, np.repeat(np.arange(len(raw)), sizes)
 
+def smoothed(both: np.ndarray, context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """The logarithm of a word's probability after a context, from their counts and from that after the context's suffix."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(both > 0, np.log(both + WEIGHT * np.exp(suffix)), np.log(WEIGHT) + suffix) - np.log(context + WEIGHT)
 
-def contexts(symbols: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
-    """For d = 0 to DEPTH the last d symbols before each one, back to the word's start mark; -1 where there are fewer."""
-    out = [np.zeros(len(symbols), dtype=np.int64)]
+
+def gains(block: Block, counts: list[np.ndarray], letters: np.ndarray, tokens: int, distinct: int) -> list[np.ndarray]:
+    """For contexts of d = 1, 2, ... words before each token what they gain over their suffix, in PARTS of a nat; 0 in
+    texts that are held out. Each occurrence is predicted from all others."""
+    out, before = [], root(counts[0] - 1, letters, tokens - 1, distinct)
     for d in range(1, DEPTH + 1):
-        before = np.full(len(symbols), -1, dtype=np.int64)
-        far = place >= d  # the d-th symbol back is a byte
-        at = np.flatnonzero(far)
-        before[at] = symbols[at - d]
-        before[place == d - 1] = START
-        out.append(np.where((before >= 0) & (out[-1] >= 0), out[-1] + (np.maximum(before, 0) << (BITS * (d - 1))), -1))
+        context = block.contexts(counts, d)
+        use = block.trains & (block.place >= d) & (context > 0)
+        now = np.where(use, smoothed(np.clip(counts[d] - 1, 0, np.maximum(context - 1, 0)), np.maximum(context - 1, 0), before), before)
+        out.append(np.where(use, np.rint(PARTS * (now - before)), 0).astype(np.int64))
+        before = now
     return out
 
 
-def grams(counts: DataFrame) -> DataFrame:
-    """(context, symbol, n) at the longest context, from (word, c)."""
+def cut(keys: np.ndarray, values: np.ndarray, bits: int, ranges: int, kind: str) -> list[tuple[bytes, bytes]]:
+    """Sorted keys of so many bits, and their values, by range."""
+    step = bits - ranges
+    ends = np.append(np.searchsorted(keys, np.arange(1 << ranges, dtype=_U) << _U(step)), len(keys))
+    return [(squeezed(keys[a:z], r << step), packed(values[a:z], kind)) if z > a else (b"", b"") for r, (a, z) in enumerate(zip(ends[:-1], ends[1:], strict=True))]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            symbols, place, word = spelled(b.column(0).to_pylist())
-            weight = b.column(1).to_numpy(zero_copy_only=False)[word]
-            best = np.zeros(len(symbols), dtype=np.int64)
-            for c in contexts(symbols, place):
-                best = np.where(c >= 0, c, best)
-            key = (best << BITS) | symbols
-            order = np.argsort(key, kind="stable")
-            k, w = key[order], weight[order]
-            first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.empty(0, dtype=np.int64)
-            total = np.add.reduceat(w, first) if len(k) else np.empty(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(k[first] >> BITS), pa.array(k[first] & (2**BITS - 1)), pa.array(total.astype(np.int64))], names=["context", "symbol", "n"])
-
-    return counts.where("c > 0").select("word", "c").mapInArrow(run, "context long, symbol long, n long").groupBy("context", "symbol").agg(F.sum("n").alias("n"))
-
-
-def retained(counted: DataFrame, trained: int) -> DataFrame:
-    """(context, symbol, n) of the root and of each context that passes the tests."""
-    spark = counted.sparkSession
-    masks = F.array(*[F.lit((1 << (BITS * d)) - 1).cast("long") for d in range(DEPTH + 1)])
-    depth = sum((F.when(F.col("context") >= (1 << (BITS * d)), 1).otherwise(0) for d in range(DEPTH)), F.lit(0))
-    shorter = F.transform(F.slice(masks, F.lit(1), depth + 1), lambda m: F.col("context").bitwiseAND(m))
-    ends = spark.createDataFrame([(START, TEXT_END, trained)], "context long, symbol long, n long")
-    whole = counted.unionByName(ends).select(F.explode(shorter).alias("context"), "symbol", "n")
-    nodes = common.written(whole.groupBy("context", "symbol").agg(F.sum("n").alias("n")), "contexts")
-    totals = nodes.groupBy("context").agg(F.sum("n").alias("total"))
-    all_ = totals.where("context = 0").agg(F.max("total")).first()[0] or 0
-    likely = totals.where(F.col("total") >= max(2.0, MIN_SHARE * all_))
-    some = nodes.join(likely, "context").where("n > 0")
-    # a context's longest proper suffix leaves out its earliest symbol
-    suffix = F.col("context").bitwiseAND(F.element_at(masks, F.greatest(depth, F.lit(1))))
-    of_suffix = some.select(F.col("context").alias("suffix"), "symbol", F.col("n").alias("sn"), F.col("total").alias("stotal"))
-    apart = some.where("context <> 0").withColumn("suffix", suffix).join(of_suffix, ["suffix", "symbol"])
-    gain = F.sum(F.col("n") * F.log((F.col("n") / F.col("total")) / (F.col("sn") / F.col("stotal"))))
-    good = apart.groupBy("context").agg(gain.alias("gain")).where(F.col("gain") >= MIN_DIVERGENCE).select("context")
-    return some.join(good.unionByName(spark.createDataFrame([(0,)], "context long")), "context").select("context", "symbol", "n")
-
-
-class Tree:
-    """The retained contexts: keys (context, symbol) with probabilities, and each context's share for unseen symbols."""
-
-    def __init__(self, context: np.ndarray, symbol: np.ndarray, n: np.ndarray):
-        self.nodes, at = np.unique(np.concatenate([[0], context]), return_inverse=True)
-        at = at[1:]
-        total = np.bincount(at, weights=n, minlength=len(self.nodes))
-        kinds = np.bincount(at, minlength=len(self.nodes))
-        self.unseen = np.where(total > 0, kinds / np.maximum(total + kinds, 1), 1.0)
-        order = np.argsort((context << BITS) | symbol)
-        context, symbol, n, at = context[order], symbol[order], n[order], at[order]
-        self.keys = (context << BITS) | symbol
-        self.logs = np.full(len(self.keys), np.nan)
-        length = np.zeros(len(context), dtype=np.int64)
-        rest = context.copy()
-        while rest.any():
-            length += rest > 0
-            rest >>= BITS
-        for d in range(DEPTH + 1):  # a context's suffixes are shorter, so their probabilities are there already
-            rows = np.flatnonzero(length == d)
-            if not len(rows):
-                continue
-            views = [np.where(k < d, context[rows] & ((1 << (BITS * k)) - 1), -1) for k in range(d)]
-            shorter = 10.0 ** self.log10(views, symbol[rows])
-            t, u = total[at[rows]], kinds[at[rows]]
-            self.logs[rows] = np.log10((n[rows] + u * shorter) / (t + u))
-
-    def log10(self, views: list[np.ndarray], symbols: np.ndarray) -> np.ndarray:
-        """log10 probabilities of symbols after contexts given by length, longest last; -1 where there is none."""
-        out, open_, factor = np.zeros(len(symbols)), np.ones(len(symbols), dtype=bool), np.zeros(len(symbols))
-        for c in reversed(views):
-            i = np.flatnonzero(open_ & (c >= 0))
-            if not len(i) or not len(self.keys):
-                continue
-            at = np.minimum(np.searchsorted(self.nodes, c[i]), len(self.nodes) - 1)
-            known = self.nodes[at] == c[i]
-            i, at = i[known], at[known]
-            key = (c[i] << BITS) | symbols[i]
-            k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            hit = self.keys[k] == key
-            out[i[hit]] = factor[i[hit]] + self.logs[k[hit]]
-            open_[i[hit]] = False
-            factor[i[~hit]] += np.log10(self.unseen[at[~hit]])
-        out[open_] = factor[open_] - math.log10(SYMBOLS)
-        return out
 
-    def words(self, words: list[str]) -> np.ndarray:
-        symbols, place, word = spelled(words)
-        return np.bincount(word, weights=self.log10(contexts(symbols, place), symbols), minlength=len(words))
+def messages(block: int, words: list[tuple[bytes, bytes]], grams: list[tuple[bytes, bytes]]) -> pa.Table:
+    rows = [(r, block, *w, *g) for r, (w, g) in enumerate(zip(words, grams, strict=True)) if w[0] or g[0]]
+    kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 4)
+    return pa.Table.from_arrays([pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds)], names=_names(ASKED))
 
-    def text_end(self) -> float:
-        return float(self.log10([np.array([0]), np.array([START])], np.array([TEXT_END]))[0])
 
+def counted(told: DataFrame, bits: int, ranges: int) -> DataFrame:
+    """ASKED: each block's words and n-grams, with their counts in training texts."""
 
-def grown(counts: DataFrame, trained: int) -> Tree:
-    rows = retained(grams(counts), trained).toArrow()
-    return Tree(*[rows.column(c).to_numpy() for c in ("context", "symbol", "n")])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in (r for i in range(b.num_rows) for r in b.slice(i, 1).to_pylist()):
+                block = Block(row, bits)
+                words, grams = block.seen()
+                yield from messages(row["block"], cut(block.words, words, 64, ranges, "<u1"), cut(block.grams, grams, bits, ranges, "<u1")).to_batches()
+
+    return told.mapInArrow(run, ASKED)
+
+
+def answered(found: DataFrame, bits: int, ranges: int, round_: int) -> DataFrame:
+    """ANSWERS to ASKED: the sums of all blocks' values in the order in which they were sent; in round 1 whether these reach
+    MIN_DIVERGENCE."""
+
+    def one(whole: pa.Table) -> pa.Table:
+        r, out, distinct = whole.column("range")[0].as_py(), [], 0
+        kind = "<u2" if round_ else "<u1"
+        for name, width in (("word", 64), ("gram", bits)):
+            keys = [stretched(x, r << (width - ranges)) for x in whole.column(f"{name}s").to_pylist()]
+            values = np.concatenate([unpacked(x, kind) for x in whole.column(f"{name}_values").to_pylist()])
+            every = np.concatenate(keys)
+            order = np.argsort(every, kind="stable")
+            new = np.ones(len(every), dtype=bool)
+            new[1:] = every[order[1:]] != every[order[:-1]]
+            heads = np.flatnonzero(new)
+            sums = np.add.reduceat(values[order], heads) if len(heads) else values
+            distinct = distinct or (int((sums > 0).sum()) if name == "word" else 0)
+            all_ = np.empty(len(every), dtype=np.int64)
+            all_[order] = np.repeat(sums, np.diff(np.append(heads, len(every))))
+            ends = np.cumsum([0, *map(len, keys)])
+            parts = [all_[a:z] for a, z in zip(ends[:-1], ends[1:], strict=True)]
+            out.append([np.packbits(x >= MIN_DIVERGENCE * PARTS).tobytes() if round_ else packed(x) for x in parts])
+        n = whole.num_rows
+        cols = [pa.array([round_] * n, pa.int32()), whole.column("range"), whole.column("block"), pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array([distinct, *[0] * (n - 1)], pa.int64())]
+        return pa.Table.from_arrays(cols, names=_names(ANSWERS))
+
+    return found.groupBy("range").applyInArrow(one, ANSWERS)
+
+
+def sums_of(answers: list[dict]) -> list[np.ndarray]:
+    rows = sorted((r for r in answers if r["round"] == 0), key=lambda r: r["range"])
+    return [np.concatenate([np.empty(0, dtype=np.int64), *[unpacked(r[k]) for r in rows]]) for k in ("words", "grams")]
+
+
+def gained(told: DataFrame, sums: DataFrame, bits: int, ranges: int, tokens: int, distinct: int) -> DataFrame:
+    """ASKED: each block's contexts, with what their occurrences gain."""
+
+    def one(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.to_pylist()[0]
+        block, (words, grams) = Block(row, bits), sums_of(right.to_pylist())
+        counts = block.spread(words, grams)
+        got = gains(block, counts, unpacked(row["letters"])[block.ids], tokens, distinct)
+        before = block.ids[np.maximum(np.arange(len(block.ids)) - 1, 0)]
+        of_words = np.bincount(before, weights=got[0], minlength=len(words)).astype(np.int64)
+        of_grams = np.zeros(len(grams), dtype=np.int64)
+        for at, of, x in zip(block.at, block.of, got[1:], strict=False):
+            inside = at[at + 1 < len(x)]
+            of_grams += np.bincount(of[: len(inside)], weights=x[inside + 1], minlength=len(grams)).astype(np.int64)
+        w, g = block.asked(words, grams)
+        return messages(row["block"], cut(block.words[w], of_words[w], 64, ranges, "<u2"), cut(block.grams[g], of_grams[g], bits, ranges, "<u2"))
+
+    return told.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(one, ASKED)
+
+
+def scored(told: DataFrame, answers: DataFrame, bits: int, ranges: int, tokens: int, distinct: int) -> DataFrame:
+    """SCORES of the blocks' documents."""
+
+    def one(left: pa.Table, right: pa.Table) -> pa.Table:
+        row, said = left.to_pylist()[0], right.to_pylist()
+        block, (words, grams) = Block(row, bits), sums_of(said)
+        flags = {r["range"]: r for r in said if r["round"] == 1}
+        retained = []
+        for name, keys, width, chosen, n in zip(("words", "grams"), (block.words, block.grams), (64, bits), block.asked(words, grams), (len(words), len(grams)), strict=True):
+            whole = np.zeros(n, dtype=bool)
+            if len(chosen):
+                of = (keys[chosen] >> _U(width - ranges)).astype(np.int64)
+                heads = np.flatnonzero(np.diff(of, prepend=-1))
+                whole[chosen] = np.concatenate([np.unpackbits(np.frombuffer(flags[int(of[a])][name], dtype=np.uint8), count=z - a) for a, z in zip(heads, np.append(heads[1:], len(of)), strict=True)]).astype(bool)
+            retained.append(whole)
+        counts, kept = block.spread(words, grams), block.spread(*retained)
+        log = root(counts[0], unpacked(row["letters"])[block.ids], tokens, distinct)
+        for d in range(1, DEPTH + 1):
+            context = block.contexts(counts, d)
+            log = np.where(block.contexts(kept, d) & (context > 0), smoothed(np.minimum(counts[d], context), context, log), log)
+        total = lambda x: np.add.reduceat(x, block.starts)  # noqa: E731  each text has its end at least
+        base = np.log10((counts[0] + 1) / (tokens + distinct + 1))
+        n = len(block.sizes)
+        cols = [pa.array(row["docs"], pa.int64()), pa.array(row["helds"], pa.bool_()), pa.array(block.sizes), pa.array(total((counts[0] > 0).astype(np.int64))), pa.array(np.full(n, tokens)), pa.array(total(base)), pa.array(total(log) / np.log(10.0))]
+        return pa.Table.from_arrays(cols, names=_names(SCORES))
+
+    return told.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(one, SCORES)
 
 
 def score(docs: DataFrame) -> DataFrame:
     """A row for each document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
     held = F.coalesce(common.crc_mod("doc_id", 7) == 2, F.lit(False))
-    told = common.written(blocks(common.corpus(docs).select("doc_id", "text", held.alias("held"))), "blocks")
-    words = told.select("block", F.posexplode(F.arrays_zip("words", "train"))).select("block", F.col("pos").alias("i"), F.col("col.words").alias("word"), F.col("col.train").alias("n"))
-    # a word has a row for each block that uses it; the first of them stands for the word
-    by_word = Window.partitionBy("word")
-    used = common.written(words.select("block", "i", "word", F.sum("n").over(by_word).alias("c"), (F.row_number().over(by_word.orderBy("block")) == 1).alias("first")), "word-uses")
-    counts = used.where("first").select("word", "c")
-    trained = told.agg(F.sum(F.size(F.filter("helds", lambda h: ~h)))).first()[0] or 0
-    sums = counts.agg(F.sum("c"), F.sum((F.col("c") > 0).cast("long"))).first()
-    tokens, distinct = (sums[0] or 0) + trained, (sums[1] or 0) + (trained > 0)
-    sent = spark.sparkContext.broadcast(grown(counts, trained))
-
-    def whole_word(c, spelled_log10):
-        """log10 of a word's probability: its share of the tokens, and what escapes to its spelling."""
-        return np.log10((c + distinct * 10.0**spelled_log10) / (tokens + distinct)) if tokens else spelled_log10
-
-    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (block, i, c, p) packed by block, for so many uses at a time."""
-        parts, size = [], 0
-
-        def packed() -> pa.RecordBatch:
-            block, i, c, p = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.argsort(block, kind="stable")
-            block, i, c, p = block[order], i[order].astype("<i4"), c[order].astype("<i8"), p[order].astype("<f8")
-            heads, starts = np.unique(block, return_index=True)
-            ends = [*starts[1:], len(block)]
-            cols = [pa.array([x[a:z].tobytes() for a, z in zip(starts, ends, strict=True)], pa.binary()) for x in (i, c, p)]
-            return pa.RecordBatch.from_arrays([pa.array(heads), *cols], names=["block", "i", "c", "p"])
-
-        for b in batches:
-            coded = pa.array(b.column(2)).dictionary_encode()  # rows of a word follow each other: it is spelled once
-            c = b.column(3).to_numpy(zero_copy_only=False)
-            at = coded.indices.to_numpy()
-            parts.append((b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False), c, whole_word(c, sent.value.words(coded.dictionary.to_pylist())[at])))
-            size += len(at)
-            if size >= USES:
-                yield packed()
-                parts, size = [], 0
-        if parts:
-            yield packed()
-
-    lists = used.select("block", "i", "word", "c").mapInArrow(likely, "block long, i binary, c binary, p binary").groupBy("block")
-    lists = lists.agg(F.collect_list(F.struct("i", "c", "p")).alias("f"))  # a list is bounded by its block
-    lists = lists.select("block", F.col("f.i").alias("i"), F.col("f.c").alias("c"), F.col("f.p").alias("p"))
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end = float(whole_word(trained, sent.value.text_end()))
-        base_of = lambda c: np.log10((c + 1) / (tokens + distinct + 1))
-        for whole in batches:
-            for r in range(whole.num_rows):
-                docs_, helds, sizes, ids, i, c, p = (whole.column(k)[r] for k in range(7))
-                sizes = np.array(sizes.as_py(), dtype=np.int64)
-                at = np.frombuffer(ids.as_buffer(), dtype="<u4")
-                order, values, logs = (np.frombuffer(b"".join(x.as_py() or []), kind) for x, kind in ((i, "<i4"), (c, "<i8"), (p, "<f8")))
-                count, prob = np.zeros(len(order), dtype=np.int64), np.zeros(len(order))
-                count[order], prob[order] = values, logs
-                full = sizes > 0
-                starts = (np.cumsum(sizes) - sizes)[full]
-
-                def summed(x: np.ndarray, at: np.ndarray = at, full: np.ndarray = full, starts: np.ndarray = starts) -> np.ndarray:
-                    out = np.zeros(len(full))
-                    if len(starts):
-                        out[full] = np.add.reduceat(x[at], starts)
-                    return out
-
-                known = summed((count > 0).astype(np.int64)).astype(np.int64) + (trained > 0)
-                cols = [
-                    docs_.values, helds.values, pa.array(sizes + 1), pa.array(known), pa.array(np.full(len(sizes), tokens)),
-                    pa.array(summed(base_of(count.astype(float))) + base_of(float(trained))), pa.array(summed(prob) + end),
-                ]
-                yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in schema.split(", ")])
-
-    return told.select("block", "docs", "helds", "sizes", "ids").join(lists, "block", "left").select("docs", "helds", "sizes", "ids", "i", "c", "p").mapInArrow(total, schema)
+    told = common.bucketed(blocks(common.corpus(docs).select("doc_id", "text", held.alias("held"))), "blocks", "block")
+    sums = told.agg(F.sum("train"), F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda acc, x: acc + x))).first()
+    tokens, every = sums[0] or 0, sums[1] or 0
+    bits = min(64, max(32, (every * DEPTH).bit_length() + SPARE))
+    ranges = min(20, max(6, (every * (DEPTH + 1) // RANGE).bit_length()))
+    counts = common.written(answered(counted(told, bits, ranges), bits, ranges, 0), "gram-counts")
+    distinct = counts.agg(F.sum("distinct")).first()[0] or 0
+    flags = common.written(answered(gained(told, counts, bits, ranges, tokens, distinct), bits, ranges, 1), "contexts")
+    out = common.written(scored(told, counts.unionByName(flags), bits, ranges, tokens, distinct), "scores")
+    for table in (told, counts, flags):
+        common.dropped(table)
+    return out

@@ -21,12 +21,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lumigrid.llm import common
 
 #: The bound of the training sample: so many labelled documents, and so many characters of text, at most.
 MAX_TRAIN = 8_000
 MAX_TRAIN_CHARS = 40_000_000
+MAX_TEXT_CHARS = 1_000_000
 MAX_FEATURES = 4_000
 THRESHOLD = 0.7
 SENTENCE = re.compile(r"[.!?\n]+")
@@ -107,11 +109,15 @@ def _spread(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic) of the labelled rows that may be learnt from, the first MAX_TRAIN by hash of the id."""
+    """(doc_id, text, toxic) of the labelled rows that may be learnt from, the first MAX_TRAIN by hash of the id, and of these as
+    many as have MAX_TRAIN_CHARS characters together; ids of more than MAX_TEXT_CHARS are passed over."""
     usable = labels.where(F.col("toxic").isin(0, 1) & (common.crc_mod("doc_id", 3) != 1)).groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max("toxic").alias("toxic"))
     sample = usable.orderBy(F.xxhash64("__id"), "__id").limit(MAX_TRAIN)
     base = common.corpus(docs)
-    return base.join(F.broadcast(sample), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "toxic")
+    sizes = base.select("doc_id", F.length("text").alias("chars")).join(F.broadcast(sample), F.col("doc_id") == F.col("__id")).groupBy("__id", "toxic").agg(F.sum("chars").alias("chars"))
+    running = F.sum("chars").over(Window.orderBy(F.xxhash64("__id"), "__id"))  # over MAX_TRAIN rows at most
+    chosen = sizes.where(F.col("chars") <= MAX_TEXT_CHARS).withColumn("running", running).where(F.col("running") <= MAX_TRAIN_CHARS).select("__id", "toxic")
+    return base.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "toxic")
 
 
 def train(docs: DataFrame, labels: DataFrame) -> dict:
@@ -119,14 +125,7 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((hash_, text, int(label)) for b in batches for hash_, text, label in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True))
-        texts, marks, chars = [], [], 0
-        for _, text, label in rows:
-            chars += len(text)
-            if chars > MAX_TRAIN_CHARS:
-                break
-            texts.append(text)
-            marks.append(label)
-        yield pa.RecordBatch.from_pydict({"model": [json.dumps(fit(texts, marks))]})
+        yield pa.RecordBatch.from_pydict({"model": [json.dumps(fit([r[1] for r in rows], [r[2] for r in rows]))]})
 
     sample = training_rows(docs, labels).select(F.xxhash64("doc_id").alias("h"), "text", "toxic")
     row = sample.repartition(1).mapInArrow(run, "model string").first()

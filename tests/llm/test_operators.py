@@ -5,6 +5,7 @@ import collections
 import hashlib
 import math
 import re
+import time
 import zipfile
 import zlib
 
@@ -12,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumigrid.llm import graph, jaccard, media, mixing, packing, pseudonyms, quality, secret_scan, sharding, shingling, suffix_tree, toxicity
+from lumigrid.llm import compact, graph, jaccard, media, mixing, packing, pseudonyms, quality, secret_scan, sharding, shingling, suffix_tree, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, size long, shard int, spans string, row string"
 LONG = "alpha beta gamma delta " * 30_000
@@ -66,6 +67,14 @@ def test_secrets_equal_brute_force(docs, none):
     assert secret_scan.digest(none).count() == 0
 
 
+def test_secrets_of_one_text_with_very_many(spark):
+    text = " ".join(f"é token={i:08d}" for i in range(100_000))
+    began = time.time()
+    got = secret_scan.digest(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert time.time() - began < 60 and got["n_assign"] == 100_000
+    assert got["base_sha256"] == hashlib.sha256(base_spans(text).encode()).hexdigest()
+
+
 def test_trigram_queries_are_necessary():
     for rule, hit in zip(secret_scan.RULES, ["API_KEY='abcdef'", "AKIA" + "Q" * 16, "0" * 24, "-----BEGIN RSA PRIVATE KEY-----", "ghp_" + "a" * 36, "xoxb-1234567890", "AIza" + "b" * 35, "eyJhb.eyJzd.sig_aaaaaaaaaaaaaaaaaaaaaaaaa"], strict=True):
         assert re.search(rule.pattern, hit), rule.kind
@@ -130,6 +139,13 @@ def test_toxicity_edges(spark, docs, none):
     assert toxicity.offending(train, model).count() > 0
 
 
+def test_very_long_texts_leave_room_for_others(spark):
+    rows = [(i, "bad word. " * (20 if i % 9 else 200_000)) for i in range(60)]
+    marks = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    got = [len(r["text"]) for r in toxicity.training_rows(spark.createDataFrame(rows, "doc_id long, text string"), marks).collect()]
+    assert len(got) > 25 and max(got) < toxicity.MAX_TEXT_CHARS
+
+
 def test_training_never_reads_held_out_rows(spark):
     texts, labels = toxic_corpus(300)
     train = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
@@ -278,7 +294,11 @@ def test_shingle_sets_of_long_words_and_slices(monkeypatch):
 
 def test_hashes_survive_squeezing():
     s = np.sort(np.random.default_rng(4).integers(2**61, 2**61 + 2**50, 500, dtype=np.uint64))
-    assert np.array_equal(shingling.stretched(shingling.squeezed(s, 2**61), 2**61), s) and not len(shingling.stretched(b"", 5))
+    assert np.array_equal(compact.stretched(compact.squeezed(s, 2**61), 2**61), s) and not len(compact.stretched(b"", 5))
+    far = np.array([0, 1, 2**63, 2**64 - 1], dtype=np.uint64)
+    assert np.array_equal(compact.stretched(compact.squeezed(far, 0), 0), far)
+    v = np.array([0, 1, 254, 255, 70_000, -3, 2**40])
+    assert all(np.array_equal(compact.unpacked(compact.packed(v, k), k), v) for k in ("<u1", "<u2")) and not len(compact.unpacked(b""))
 
 
 def test_jaccard_keeps_unlike_texts_of_one_id(spark):
@@ -549,30 +569,78 @@ def test_suffix_tree_base_equals_brute_force(docs, none):
     assert sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 5)) for r in got) == want
     assert all(r["score"] < 0 for r in got)
     assert suffix_tree.score(none).count() == 0
-
-
-def test_suffix_tree_distributions_sum_to_one(spark):
-    counts = spark.createDataFrame([(w, n) for w, n in (("the", 900), ("then", 80), ("other", 300), ("élan", 40), ("x", 0))], "word string, c long")
-    tree = suffix_tree.grown(counts, 25)
-    assert len(tree.nodes) > 3
-    every = np.arange(1, suffix_tree.SYMBOLS + 1)
-    for c in (0, suffix_tree.START, ord("t") + 1, ((ord("t") + 1) << 9) + ord("h") + 1, (suffix_tree.START << 9) + ord("t") + 1):
-        chain, rest = [c], c
-        size = max(1, -(-c.bit_length() // 9))
-        views = [np.full(len(every), c & ((1 << (9 * d)) - 1)) for d in range(size + 1)] if c else [np.zeros(len(every), dtype=np.int64)]
-        assert (10 ** tree.log10(views, every)).sum() == pytest.approx(1.0), (chain, rest)
-    p = tree.words(["the", "then", "zzz"])
-    assert p[0] > p[1] > p[2]
-    first = lambda w: np.array([s for s in w.encode()] )
-    assert len(first("the")) == 3
-
-
-def test_contexts_reach_back_to_the_word():
-    symbols, place, word = suffix_tree.spelled(["ab", ""])
-    assert symbols.tolist() == [98, 99, suffix_tree.WORD_END, suffix_tree.WORD_END] and word.tolist() == [0, 0, 0, 1]
-    c = suffix_tree.contexts(symbols, place)
-    assert c[1].tolist() == [suffix_tree.START, 98, 99, suffix_tree.START]
-    assert c[2].tolist() == [-1, (suffix_tree.START << 9) + 98, (98 << 9) + 99, -1]
+    assert suffix_tree.score(docs.where("crc32(cast(doc_id as string)) % 7 = 2")).where("score < 0 and train_tokens = 0 and n_known = 0").count() == sum(held(d) for d, _ in TEXTS)
+
+
+class NaiveTree:
+    """The same model, from dictionaries."""
+
+    def __init__(self, texts, held):
+        self.n = collections.Counter()
+        train = [t for t, h in zip(texts, held, strict=True) if not h]
+        for t in train:
+            for i in range(len(t)):
+                for k in range(min(i, suffix_tree.DEPTH) + 1):
+                    self.n[t[i - k : i + 1]] += 1
+        self.tokens, self.distinct = sum(map(len, train)), sum(len(k) == 1 for k in self.n)
+        gain = collections.Counter()
+        for t in train:
+            for i in range(len(t)):
+                p = self.word(t[i], 1)
+                for d in range(1, min(i, suffix_tree.DEPTH) + 1):
+                    c = t[i - d : i]
+                    q = (self.n[(*c, t[i])] - 1 + suffix_tree.WEIGHT * p) / (self.n[c] - 1 + suffix_tree.WEIGHT)
+                    gain[c] += round(suffix_tree.PARTS * math.log(q / p))
+                    p = q
+        self.kept = {c for c, g in gain.items() if self.n[c] >= suffix_tree.LEAST and g >= suffix_tree.PARTS * suffix_tree.MIN_DIVERGENCE}
+
+    def word(self, w, without=0):
+        spelled = 257.0 ** -(len(w) + 1)
+        return (self.n[(w,)] - without + self.distinct * spelled) / (self.tokens - without + self.distinct)
+
+    def after(self, context, w):
+        p = self.word(w)
+        for d in range(1, min(len(context), suffix_tree.DEPTH) + 1):
+            c = context[len(context) - d :]
+            if c in self.kept:
+                p = (self.n[(*c, w)] + suffix_tree.WEIGHT * p) / (self.n[c] + suffix_tree.WEIGHT)
+        return p
+
+
+def prose():
+    """Texts in which some words depend on the one or two before them; word and end as bytes, the end empty."""
+    rng, out = np.random.default_rng(8), []
+    for i in range(140):
+        t = []
+        while len(t) < 40:
+            w = str(rng.choice(["red", "blue", "sea", "sky", "a", "of", "the"]))
+            t += [w, "fish"] if w == "red" else [w, "sky", "high"] if t[-1:] == ["of"] and w == "the" else [w]
+        out.append((i, " ".join(t).upper() if i % 5 == 0 else " ".join(t)))
+    return [*out, (200, ""), (201, None), (202, "unseen Ünseen red"), (203, out[0][1])]
+
+
+def test_suffix_tree_equals_a_naive_one(spark, monkeypatch):
+    monkeypatch.setattr(suffix_tree, "BLOCK", 900)
+    rows = prose()
+    texts = [(*(t or "").encode().lower().split(), b"") for _, t in rows]
+    held = [zlib.crc32(str(d).encode()) % 7 == 2 for d, _ in rows]
+    tree = NaiveTree(texts, held)
+    assert (b"red",) in tree.kept and {len(c) for c in tree.kept} == {1, 2}
+    want = {d: sum(math.log10(tree.after(t[:i], t[i])) for i in range(len(t))) for (d, _), t in zip(rows, texts, strict=True)}
+    got = {r["doc_id"]: r["score"] for r in suffix_tree.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == pytest.approx(want, abs=1e-9)
+    seen = {k[0] for k in tree.n if len(k) == 1}
+    for c in [(), (b"red",), (b"of", b"the"), (b"unseen",)]:  # known words, and the share of all spellings of others
+        rest = 1 - sum(257.0 ** -(len(w) + 1) for w in seen)
+        none = tree.after(c, b"qqqq") / 257.0**-5
+        assert sum(tree.after(c, w) for w in seen) + rest * none == pytest.approx(1.0)
+
+
+def test_word_order_changes_scores(spark):
+    rows = prose()
+    mixed = [(1000 + d, " ".join(np.random.default_rng(d).permutation((t or "").split()))) for d, t in rows]
+    got = {r["doc_id"]: r["score"] for r in suffix_tree.score(spark.createDataFrame(rows + mixed, "doc_id long, text string")).collect()}
+    assert sum(got[d] > got[1000 + d] + 1 for d, _ in rows) > 130
 
 
 # 10 sharding
