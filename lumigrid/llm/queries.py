@@ -44,7 +44,7 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumigrid.llm import pseudonyms
 
-    return pseudonyms.pseudonymized(table(spark, sf_dir, "documents"))
+    return pseudonyms.pseudonymized(table(spark, sf_dir, "documents"), spark.conf.get(pseudonyms.KEY, "example key"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

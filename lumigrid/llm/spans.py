@@ -55,10 +55,3 @@ def placed(text: Column, pattern: str, group: int, least: int, order: int, kind:
         return F.when(F.size(said) > 0, let(sums, by_runs)).otherwise(none)
 
     return let(steps, of)
-
-
-def rewritten(text: Column, pattern: str, new: Callable[[Column], Column]) -> Column:
-    """The text with every match m of the pattern replaced by new(m)."""
-    whole = found(text, pattern)
-    parts = F.zip_with(gaps(text, pattern), whole, lambda g, m: F.concat(g, F.coalesce(new(m), F.lit(""))))
-    return F.when(F.size(whole) > 0, F.array_join(parts, "")).otherwise(text)
