@@ -6,10 +6,20 @@ ties by the candidate, so results are repeatable; average precision over all ran
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lumigrid.operators import products
+
+#: Scores of pairs are compared at this many places.
+PLACES = 4
+#: Queries of a block whose scores are counted: each has a count for each distinct score.
+COUNTED = 512
+
 
 def ranked(pairs: DataFrame) -> DataFrame:
     """pairs with rk (rank in the query), pos (relevant candidates of the query) and hits (relevant up to the rank)."""
@@ -19,8 +29,13 @@ def ranked(pairs: DataFrame) -> DataFrame:
 
 def ap_at_k(pairs: DataFrame, k: int) -> DataFrame:
     """(q, ap) of the queries with relevant candidates: precision at each hit among the first k, over min(relevant, k)."""
+    return ap_of_ranks(ranked(pairs), k)
+
+
+def ap_of_ranks(ranks: DataFrame, k: int) -> DataFrame:
+    """ap_at_k() of rows that have their ranks already, the first k of each query at least."""
     hit = F.when((F.col("y") == 1) & (F.col("rk") <= k), F.col("hits").cast("double") / F.col("rk")).otherwise(0.0)
-    return ranked(pairs).where("pos > 0").groupBy("q").agg((F.sum(hit) / F.least(F.max("pos"), F.lit(k))).alias("ap"))
+    return ranks.where("pos > 0").groupBy("q").agg((F.sum(hit) / F.least(F.max("pos"), F.lit(k))).alias("ap"))
 
 
 def ap_full(pairs: DataFrame) -> DataFrame:
@@ -38,8 +53,12 @@ def mean_ap(aps: DataFrame, name: str = "map") -> DataFrame:
 def precision_at(pairs: DataFrame, most: int = 20) -> DataFrame:
     """(k, precision) for k = 1 to most: the mean over queries with relevant candidates of the share of relevant ones
     among the first k (or as many as there are)."""
-    top = ranked(pairs).where(f"pos > 0 and rk <= {most}").select("q", "rk", "y")
-    ks = pairs.sparkSession.range(1, most + 1).select(F.col("id").alias("k"))
+    return precision_of_ranks(ranked(pairs), most)
+
+
+def precision_of_ranks(ranks: DataFrame, most: int = 20) -> DataFrame:
+    top = ranks.where(f"pos > 0 and rk <= {most}").select("q", "rk", "y")
+    ks = ranks.sparkSession.range(1, most + 1).select(F.col("id").alias("k"))
     per = top.join(F.broadcast(ks), F.col("rk") <= F.col("k")).groupBy("q", "k").agg(F.avg("y").alias("p"))
     return per.groupBy("k").agg(F.avg("p").alias("precision"))
 
@@ -71,6 +90,119 @@ def mean_pr_curve(pairs: DataFrame, points: int = 100) -> DataFrame:
     return interpolated(grid, best, "q").groupBy(F.col("x").alias("recall")).agg(F.avg("y").alias("precision"))
 
 
+# the same over all rows as queries and candidates: scores come from products of blocks, and no pair has a row
+
+
+def _labelled(rows: DataFrame, columns: dict[str, Column], size: int) -> tuple[DataFrame, int]:
+    """Blocks of rows (id, label and what columns need); a null label is relevant to none."""
+    return products.packed(rows, columns | {"label": F.coalesce(F.xxhash64("label"), F.lit(0)), "known": F.col("label").isNotNull()}, size)
+
+
+def _relevant(q: products.Arrays, c: products.Arrays) -> np.ndarray:
+    same = (q["label"][:, None] == c["label"][None, :]) & q["known"][:, None] & c["known"][None, :]
+    return (same & (q["id"][:, None] != c["id"][None, :])).astype(np.int64)
+
+
+Score = Callable[[products.Arrays, products.Arrays], np.ndarray]
+
+
+def cosines(q: products.Arrays, c: products.Arrays) -> np.ndarray:
+    return products.product(products.unit(q["v"], 0.0), products.unit(c["v"], 0.0))
+
+
+def top_ranks(rows: DataFrame, columns: dict[str, Column], score: Score, k: int, places: int = PLACES, size: int = products.SIZE) -> DataFrame:
+    """(q, c, rk, sim, y, pos, hits): the first k candidates of each query, as ranked() gives them."""
+    blocks, n = _labelled(rows, columns, size)
+
+    def meet(sums: list, q: products.Arrays, c: products.Arrays) -> list:
+        y = _relevant(q, c)
+        sums[0].add(products.whole(score(q, c), places), c["id"], y, q["id"][:, None] == c["id"][None, :])
+        sums[1] += y.sum(1)
+        return sums
+
+    def finish(sums: list, q: products.Arrays) -> dict:
+        out = sums[0].rows(q["id"], places)
+        keep = sums[0].score != np.iinfo(np.int64).min
+        return out | {"rk": out["rank"], "pos": np.broadcast_to(sums[1][:, None], keep.shape)[keep], "hits": np.cumsum(sums[0].y, axis=1)[keep]}
+
+    return products.met(blocks, n, lambda q: [products.Best(len(q["id"]), k), np.zeros(len(q["id"]), dtype=np.int64)], meet, finish, "q long, c long, rk long, sim double, y long, pos long, hits long")
+
+
+def _counted(rows: DataFrame, columns: dict[str, Column], score: Score, finish: Callable, schema: str, places: int, size: int) -> DataFrame:
+    """finish(queries, query, score, relevant, all) of a block's counts by query (its number) and score, best scores first."""
+    blocks, n = _labelled(rows, columns, size)
+    wide = 2 * 10**places * 64  # scores reach from -64 to 64
+
+    def merged(code: np.ndarray, yy: np.ndarray, every: np.ndarray) -> tuple:
+        order = np.argsort(code)
+        code = code[order]
+        heads = np.flatnonzero(np.diff(code, prepend=code[0] - 1)) if len(code) else np.empty(0, dtype=np.int64)
+        add = lambda x: np.add.reduceat(x[order], heads) if len(heads) else x
+        return code[heads], add(yy), add(every)
+
+    def meet(sums: tuple, q: products.Arrays, c: products.Arrays) -> tuple:
+        y, other = _relevant(q, c), q["id"][:, None] != c["id"][None, :]
+        code = np.arange(len(q["id"]))[:, None] * wide + (wide // 2 - products.whole(score(q, c), places))
+        return merged(*[np.concatenate([old, new[other]]) for old, new in zip(sums, (code, y, np.ones_like(y)), strict=True)])
+
+    def end(sums: tuple, q: products.Arrays) -> dict:
+        code, yy, every = sums
+        return finish(q, code // wide, (wide // 2 - code % wide) / 10.0**places + 0.0, yy, every)
+
+    return products.met(blocks, n, lambda q: tuple(np.empty(0, dtype=np.int64) for _ in range(3)), meet, end, schema)
+
+
+def _running(query: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Sums up to each row, within its query."""
+    total = np.cumsum(x)
+    heads = np.flatnonzero(np.diff(query, prepend=-1))
+    return total - np.repeat(total[heads] - x[heads], np.diff(np.append(heads, len(x))))
+
+
+def _totals(query: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
+    return np.bincount(query, weights=x, minlength=n)
+
+
+def all_ap_full(rows: DataFrame, columns: dict[str, Column], score: Score, places: int = PLACES, size: int = COUNTED) -> DataFrame:
+    """ap_full() of all pairs of rows."""
+
+    def finish(q: products.Arrays, query: np.ndarray, sim: np.ndarray, yy: np.ndarray, every: np.ndarray) -> dict:
+        n = len(q["id"])
+        pos, tp, nn = _totals(query, yy, n), _running(query, yy), _running(query, every)
+        ap, have = _totals(query, yy / np.maximum(pos[query], 1) * tp / nn, n), pos > 0
+        return {"q": q["id"][have], "ap": ap[have]}
+
+    return _counted(rows, columns, score, finish, "q long, ap double", places, size)
+
+
+def all_pr_points(rows: DataFrame, columns: dict[str, Column], score: Score, places: int = PLACES, size: int = COUNTED) -> DataFrame:
+    """pr_points() of all pairs of rows."""
+
+    def finish(q: products.Arrays, query: np.ndarray, sim: np.ndarray, yy: np.ndarray, every: np.ndarray) -> dict:
+        pos, tp, nn = _totals(query, yy, len(q["id"])), _running(query, yy), _running(query, every)
+        keep, start = pos[query] > 0, np.flatnonzero(pos > 0)
+        return {"q": np.concatenate([q["id"][query[keep]], q["id"][start]]), "recall": np.concatenate([tp[keep] / pos[query[keep]], np.zeros(len(start))]), "precision": np.concatenate([tp[keep] / nn[keep], np.ones(len(start))])}
+
+    return _counted(rows, columns, score, finish, "q long, recall double, precision double", places, size)
+
+
+def all_mean_pr_curve(rows: DataFrame, columns: dict[str, Column], score: Score, points: int = 100, places: int = PLACES, size: int = COUNTED) -> DataFrame:
+    """mean_pr_curve() of all pairs of rows: each block gives the sums of its queries' curves."""
+
+    def finish(q: products.Arrays, query: np.ndarray, sim: np.ndarray, yy: np.ndarray, every: np.ndarray) -> dict:
+        pos, tp, nn = _totals(query, yy, len(q["id"])), _running(query, yy), _running(query, every)
+        grid, total, curves = np.arange(points) / float(points - 1), np.zeros(points), 0
+        for a, z in zip(heads := np.flatnonzero(np.diff(query, prepend=-1)), np.append(heads[1:], len(query)), strict=True):
+            if p := pos[query[a]]:
+                x, first = np.unique(np.append(0.0, tp[a:z] / p), return_index=True)
+                y = np.maximum.reduceat(np.append(1.0, tp[a:z] / nn[a:z]), first)  # recalls don't fall, so equal ones are together
+                total, curves = total + np.interp(grid, x, y), curves + 1
+        return {"recall": grid, "total": total, "curves": np.full(points, curves)}
+
+    sums = _counted(rows, columns, score, finish, "recall double, total double, curves long", places, size)
+    return sums.groupBy("recall").agg((F.sum("total") / F.sum("curves")).alias("precision"))
+
+
 def separation_sample(pairs: DataFrame, seed: int = 42, factor: int = 2) -> DataFrame:
     """All relevant pairs, and per query `factor` times as many others, chosen by a seeded hash."""
     w = Window.partitionBy("q").orderBy(F.xxhash64(F.lit(seed), "q", "c"), "c")
@@ -92,15 +224,17 @@ def labels_per_query(labels: DataFrame, images: DataFrame) -> DataFrame:
     return per.agg(F.avg(F.coalesce("n", F.lit(0))).alias("avg_labels"))
 
 
-def report(aps: DataFrame, queries: DataFrame, split: float = 0.5) -> DataFrame:
+def report(aps: DataFrame, queries: DataFrame, split: float = 0.5, cells: int = 1000) -> DataFrame:
     """(side, rank, q, ap): every query (q), those without relevant candidates with AP 0; ranks count from the worst and
-    from the best before queries are dealt into worst (below split) and best. Ranks are dealt out over the whole list of
-    queries, as wide as the evaluated set."""
-    every = queries.join(aps, "q", "left").select("q", F.coalesce("ap", F.lit(0.0)).alias("ap"))
-    up, down = Window.orderBy("ap", "q"), Window.orderBy(F.desc("ap"), F.desc("q"))
-    r = every.withColumn("worst", F.row_number().over(up)).withColumn("best", F.row_number().over(down))
-    low = F.col("ap") < split
-    return r.select(F.when(low, "worst").otherwise("best").alias("side"), F.when(low, F.col("worst")).otherwise(F.col("best")).cast("long").alias("rank"), "q", "ap")
+    from the best before queries are dealt into worst (below split) and best. Queries are ranked within cells of equal AP
+    ranges; only the cells' counts meet."""
+    every = queries.join(aps, "q", "left").select("q", F.coalesce("ap", F.lit(0.0)).alias("ap")).withColumn("cell", F.floor(F.col("ap") * cells))
+    counts = every.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    all_ = Window.orderBy("cell")  # cells + 1 rows at most
+    front = counts.select(F.col("cell").alias("c"), F.coalesce(F.sum("n").over(all_.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("front"), F.sum("n").over(Window.partitionBy(F.lit(0))).alias("total"))
+    r = every.withColumn("r", F.row_number().over(Window.partitionBy("cell").orderBy("ap", "q"))).join(front, F.col("cell") == F.col("c"))
+    worst, low = F.col("front") + F.col("r"), F.col("ap") < split
+    return r.select(F.when(low, "worst").otherwise("best").alias("side"), F.when(low, worst).otherwise(F.col("total") + 1 - worst).cast("long").alias("rank"), "q", "ap")
 
 
 def pareto(trials: DataFrame) -> DataFrame:

@@ -2,60 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumigrid.functions import names, vectors
+from lumigrid.operators import products
 
-#: Rows of a block of vectors in the blocked product.
-BLOCK = 2048
-
-
-def blocks(df: DataFrame, id_col: str, vector: str, size: int = BLOCK) -> DataFrame:
-    """(block, ids, matrix): unit vectors packed into float64 matrices of about `size` rows, dealt by a hash of the id.
-
-    The number of blocks follows the count of rows, so a block stays near `size` at any scale."""
-    rows = df.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector).alias("v"))
-    n = max(1, -(-rows.count() // size))
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        x = np.array(pdf["v"].tolist(), dtype=np.float64)
-        x /= np.linalg.norm(x, axis=1, keepdims=True) + 1e-9
-        return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "ids": [pdf["id"].tolist()], "matrix": [x.tobytes()]})
-
-    return rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).groupBy("block").applyInPandas(pack, "block int, ids array<long>, matrix binary")
-
-
-def neighbours(df: DataFrame, id_col: str, vector: str, k: int = 20, size: int = BLOCK) -> DataFrame:
+def neighbours(df: DataFrame, id_col: str, vector: str, k: int = 20, size: int = products.SIZE) -> DataFrame:
     """(q, c, rank, sim): each row's k nearest rows by cosine, itself included; sims are rounded to 6 places and ties go
-    to the lower id.
-
-    Blocks meet pairwise: one task's work is a product of two blocks, of which each row's k best survive, so the final
-    window sees k rows for each row and block."""
-    b = blocks(df, id_col, vector, size)
-    left = b.select(F.col("ids").alias("qi"), F.col("matrix").alias("qm"))
-    # every block meets every block: an exact search has as many products; blocks, not rows, are crossed
-    met = left.join(b.select(F.col("ids").alias("ci"), F.col("matrix").alias("cm")), F.lit(True))
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for qi, qm, ci, cm in batch.itertuples(index=False):
-                q, c = np.frombuffer(qm).reshape(len(qi), -1), np.frombuffer(cm).reshape(len(ci), -1)
-                sims = np.round(q @ c.T, 6) + 0.0
-                order = np.lexsort((np.broadcast_to(np.asarray(ci), sims.shape), -sims), axis=1)[:, :k]
-                yield pd.DataFrame({"q": np.repeat(np.asarray(qi), order.shape[1]), "c": np.asarray(ci)[order].ravel(), "sim": np.take_along_axis(sims, order, 1).ravel()})
-
-    w = Window.partitionBy("q").orderBy(F.desc("sim"), "c")
-    return met.mapInPandas(best, "q long, c long, sim double").withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+    to the lower id. Blocks of rows meet, and each task keeps the k best of its queries."""
+    rows = df.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector).alias("v"))
+    blocks, n = products.packed(rows, {"v": F.col("v").cast("array<double>")}, size)
+    return products.met(
+        blocks, n, lambda q: products.Best(len(q["id"]), k),
+        lambda sums, q, c: sums.add(products.whole(products.product(products.unit(q["v"], 1e-9), products.unit(c["v"], 1e-9)), 6), c["id"]),
+        lambda sums, q: sums.rows(q["id"], 6), "q long, c long, rank long, sim double",
+    )
 
 
-def knn_ground_truth(images: DataFrame, vector: str, k: int = 20, size: int = BLOCK) -> DataFrame:
+def knn_ground_truth(images: DataFrame, vector: str, k: int = 20, size: int = products.SIZE) -> DataFrame:
     """(cluster_key, pos, file_name): for each image with a vector the files of its k nearest, keys from "1" by id.
 
     Keys are positions in the id order, so images are ranked within ranges of ids; only counts of ranges meet."""
@@ -151,44 +118,56 @@ def set_objective(chosen: DataFrame, per_cluster: int = 20) -> DataFrame:
     return out.select("quality", "diversity", "overlap", (1.5 * F.col("quality") + F.col("diversity") - 5.0 * F.col("overlap")).alias("objective"))
 
 
-def diverse(cands: DataFrame, n: int = 100, per_cluster: int = 20, swaps: int = 3000, seed: int = 42, pool: int = 5000) -> tuple[list[str], float, float]:
+def proposals(cands: DataFrame, swaps: int, seed: int) -> DataFrame:
+    """As many candidates as there are swaps (or all, if they are fewer), drawn by a seeded hash from all of them, in its order."""
+    return cands.orderBy(F.xxhash64(F.lit(seed), "cluster_key"), "cluster_key").limit(swaps)
+
+
+def diverse(cands: DataFrame, n: int = 100, per_cluster: int = 20, swaps: int = 3000, seed: int = 42) -> tuple[list[str], float, float]:
     """(cluster keys, objective at the start, objective at the end) of a seeded hill climb by single swaps.
 
-    The search is sequential, so it runs on the driver over the `pool` best candidates; each swap updates the sums it
-    changes instead of scoring all pairs anew."""
-    rows = initial_set(cands, pool).collect()
-    if len(rows) < n:
-        raise ValueError(f"only {len(rows)} valid clusters of {per_cluster} images; {n} are needed")
+    The search starts from the n best and tries `swaps` candidates, drawn from all. It is sequential, so the driver gets
+    these n + swaps rows, however many candidates there are; each swap updates the sums it changes instead of scoring all
+    pairs anew."""
+    first, drawn = initial_set(cands, n).collect(), proposals(cands, swaps, seed).collect()
+    if len(first) < n:
+        raise ValueError(f"only {len(first)} valid clusters of {per_cluster} images; {n} are needed")
+    place = {r["cluster_key"]: i for i, r in enumerate(first)}
+    rows = first + [r for r in drawn if r["cluster_key"] not in place]
+    place = {r["cluster_key"]: i for i, r in enumerate(rows)}
     rng = np.random.default_rng(seed)
     vec = np.array([r["q_vec"] for r in rows])
-    sims, score, imgs = vec @ vec.T, np.array([r["score"] for r in rows]), [r["images"] for r in rows]
+    score, imgs = np.array([r["score"] for r in rows]), [r["images"] for r in rows]
     chosen = list(range(n))
     times: dict[str, int] = {}
     for i in chosen:
         for x in imgs[i]:
             times[x] = times.get(x, 0) + 1
+    sims = vec[chosen] @ vec[chosen].T
 
-    def objective(ids: list[int], unique: int) -> float:
-        s = sims[np.ix_(ids, ids)][np.triu_indices(len(ids), 1)]
+    def objective(s: np.ndarray, ids: list[int], unique: int) -> float:
+        s = s[np.triu_indices(len(ids), 1)]
         spread = 1.0 - (0.7 * s.mean() + 0.3 * s.max()) if len(s) else 1.0
         return 1.5 * score[ids].mean() + spread - 5.0 * (n * per_cluster - unique) / (n * per_cluster)
 
-    now = start = objective(chosen, len(times))
-    for at, new in zip(rng.integers(0, n, swaps), rng.integers(0, len(rows), swaps), strict=True):
-        if int(new) in chosen:
+    now = start = objective(sims, chosen, len(times))
+    for t, at in enumerate(rng.integers(0, n, swaps)):
+        new = place[drawn[t % len(drawn)]["cluster_key"]]
+        if new in chosen:
             continue
-        old = chosen[at]
-        trial = [*chosen]
-        trial[at] = int(new)
+        old, trial = chosen[at], [*chosen]
+        trial[at] = new
         change = dict.fromkeys([*imgs[old], *imgs[new]], 0)
         for x in imgs[old]:
             change[x] -= 1
         for x in imgs[new]:
             change[x] += 1
         unique = len(times) + sum((times.get(x, 0) + d > 0) - (times.get(x, 0) > 0) for x, d in change.items())
-        got = objective(trial, unique)
+        moved = sims.copy()
+        moved[at] = moved[:, at] = vec[trial] @ vec[new]
+        got = objective(moved, trial, unique)
         if got > now:
-            chosen, now = trial, got
+            chosen, now, sims = trial, got, moved
             for x, d in change.items():
                 times[x] = times.get(x, 0) + d
                 if not times[x]:

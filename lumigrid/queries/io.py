@@ -25,9 +25,9 @@ def json_weights(spark, sf_dir):
     return J.exploded(texts, "value", J.WEIGHTS).select(F.col("key").alias("feature"), F.col("value").alias("weight"))
 
 
-@query("json_cache", "SELECT 'img_' || vec_id AS key, 'c' || label AS category, 1::BIGINT AS n FROM embeddings WHERE vec_id < 50")
+@query("json_cache", "SELECT 'img_' || vec_id AS key, 'c' || label AS category, 1::BIGINT AS n FROM embeddings")
 def json_cache(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").where("vec_id < 50")
+    e = table(spark, sf_dir, "embeddings")
     value = F.struct(F.concat(F.lit("c"), "label").alias("category"), F.lit("d").alias("description"), F.array(F.lit("e")).alias("entities"))
     texts = e.select(F.to_json(F.create_map(F.concat(F.lit("img_"), "vec_id"), value)).alias("value"))
     return J.exploded(texts, "value", J.CACHE).select("key", F.col("value.category").alias("category"), F.size("value.entities").cast("long").alias("n"))

@@ -13,18 +13,25 @@ from lumigrid.queries.base import CORPUS, MEMBERS, query, r6
 from lumigrid.queries.search import HELD, _cos, offline_sql
 
 _C = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
-_PAIRS = f"s AS (SELECT a.vec_id AS q, b.vec_id AS c, (a.label = b.label)::INT AS y, round({_C}, 4) + 0.0 AS sim FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id < 200)"
+_PAIRS = f"s AS (SELECT a.vec_id AS q, b.vec_id AS c, (a.label = b.label)::INT AS y, round({_C}, 4) + 0.0 AS sim FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)"
 _RANKED = "r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, c) AS rk, sum(y) OVER (PARTITION BY q) AS pos FROM s), h AS (SELECT *, sum(y) OVER (PARTITION BY q ORDER BY rk ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hits FROM r)"
 _STEPS = "g AS (SELECT q, sim, sum(y) AS yy, count(*) AS n, max(pos) AS pos FROM r WHERE pos > 0 GROUP BY q, sim), t AS (SELECT *, sum(yy) OVER w AS tp, sum(n) OVER w AS nn FROM g WINDOW w AS (PARTITION BY q ORDER BY sim DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"
 _AP5 = "ap5 AS (SELECT q, sum(CASE WHEN y = 1 AND rk <= 5 THEN hits::DOUBLE / rk ELSE 0 END) / least(max(pos), 5) AS ap FROM h WHERE pos > 0 GROUP BY q)"
 EVAL = (_PAIRS, _RANKED)
 
 
+def labelled(spark, sf_dir):
+    """All rows as queries and candidates, by the cosine of their vectors."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").cast("array<double>").alias("v"))
+    return rows, {"v": F.col("v")}, E.cosines
+
+
 def pairs(spark, sf_dir):
+    """The rows whose id 100 divides against all rows, a row for each pair."""
     e = table(spark, sf_dir, "embeddings").withColumn("n", V.norm(F.col("embedding")))
-    a, b = e.where("vec_id < 200").alias("a"), e.alias("b")
+    a, b = e.where("vec_id % 100 = 0").alias("a"), e.alias("b")
     sim = F.round(V.cosine(F.col("a.embedding"), F.col("b.embedding"), F.col("a.n"), F.col("b.n")), 4) + F.lit(0.0)
-    return b.join(F.broadcast(a), F.col("a.vec_id") != F.col("b.vec_id")).select(F.col("a.vec_id").alias("q"), F.col("b.vec_id").alias("c"), (F.col("a.label") == F.col("b.label")).cast("int").alias("y"), sim.alias("sim"))
+    return b.join(a, F.col("a.vec_id") != F.col("b.vec_id")).select(F.col("a.vec_id").alias("q"), F.col("b.vec_id").alias("c"), (F.col("a.label") == F.col("b.label")).cast("int").alias("y"), sim.alias("sim"))
 
 
 @query("knn_ground_truth", f"SELECT q, c, rank, sim FROM (SELECT q, c, sim, row_number() OVER (PARTITION BY q ORDER BY sim DESC, c) AS rank FROM (SELECT a.vec_id AS q, b.vec_id AS c, {r6('list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / ((sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) + 1e-9) * (sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])) + 1e-9))')} AS sim FROM embeddings a, embeddings b)) WHERE rank <= 20")
@@ -70,11 +77,11 @@ def stats_histogram_cases(spark, sf_dir):
     return G.histogram(spark.createDataFrame([(-0.37,), (1.0,), (0.55,)], "mean double"))
 
 
-_LINES = "lines AS (SELECT l_orderkey::VARCHAR AS cluster_key, l_linenumber AS pos, 'p' || l_partkey AS file_name FROM lineitem WHERE l_quantity < 20)"
+_LINES = "lines AS (SELECT l_orderkey::VARCHAR AS cluster_key, l_linenumber AS pos, 'p' || l_partkey AS file_name FROM lineitem)"
 
 
 def _appear(spark, sf_dir):
-    return G.appearances(table(spark, sf_dir, "lineitem").where("l_quantity < 20").select(F.col("l_orderkey").cast("string").alias("cluster_key"), F.col("l_linenumber").alias("pos"), F.concat(F.lit("p"), "l_partkey").alias("file_name")))
+    return G.appearances(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("cluster_key"), F.col("l_linenumber").alias("pos"), F.concat(F.lit("p"), "l_partkey").alias("file_name")))
 
 
 @query("stats_appearances", "SELECT file_name, count(*)::BIGINT AS count FROM lines GROUP BY file_name", (_LINES,))
@@ -117,18 +124,18 @@ def diverse_objective(spark, sf_dir):
 @query("diverse_hill_climb")
 def diverse_hill_climb(spark, sf_dir):
     near = G.knn_ground_truth(corpus(spark, sf_dir), "dreamsim_vector", 20)
-    keys, start, end = G.diverse(G.candidates(near, corpus(spark, sf_dir), "dreamsim_vector"), n=20, swaps=500)
+    keys, start, end = G.diverse(G.candidates(near, corpus(spark, sf_dir), "dreamsim_vector"))
     return spark.createDataFrame([(i, k, round(start, 6), round(end, 6)) for i, k in enumerate(sorted(keys))], "i long, cluster_key string, start_objective double, end_objective double")
 
 
 @query("eval_ap_at_5", f"SELECT q, {r6('ap')} AS ap FROM ap5", (*EVAL, _AP5))
 def eval_ap_at_5(spark, sf_dir):
-    return E.ap_at_k(pairs(spark, sf_dir), 5).select("q", V.rounded(F.col("ap")).alias("ap"))
+    return E.ap_of_ranks(E.top_ranks(*labelled(spark, sf_dir), k=5), 5).select("q", V.rounded(F.col("ap")).alias("ap"))
 
 
 @query("eval_ap_full", f"SELECT q, {r6('sum(yy::DOUBLE / pos * tp::DOUBLE / nn)')} AS ap FROM t GROUP BY q", (*EVAL, _STEPS))
 def eval_ap_full(spark, sf_dir):
-    return E.ap_full(pairs(spark, sf_dir)).select("q", V.rounded(F.col("ap")).alias("ap"))
+    return E.all_ap_full(*labelled(spark, sf_dir)).select("q", V.rounded(F.col("ap")).alias("ap"))
 
 
 def _map_at(k: int) -> str:
@@ -136,12 +143,12 @@ def _map_at(k: int) -> str:
 
 
 for _k in (5, 10):
-    query(f"eval_map_at_{_k}", _map_at(_k), EVAL)(lambda spark, sf_dir, k=_k: E.mean_ap(E.ap_at_k(pairs(spark, sf_dir), k)).select(V.rounded(F.col("map")).alias("map"), "n"))
+    query(f"eval_map_at_{_k}", _map_at(_k), EVAL)(lambda spark, sf_dir, k=_k: E.mean_ap(E.ap_of_ranks(E.top_ranks(*labelled(spark, sf_dir), k=k), k)).select(V.rounded(F.col("map")).alias("map"), "n"))
 
 
 @query("eval_map", f"SELECT {r6('avg(ap)')} AS map, count(*)::BIGINT AS n FROM (SELECT q, sum(yy::DOUBLE / pos * tp::DOUBLE / nn) AS ap FROM t GROUP BY q)", (*EVAL, _STEPS))
 def eval_map(spark, sf_dir):
-    return E.mean_ap(E.ap_full(pairs(spark, sf_dir))).select(V.rounded(F.col("map")).alias("map"), "n")
+    return E.mean_ap(E.all_ap_full(*labelled(spark, sf_dir))).select(V.rounded(F.col("map")).alias("map"), "n")
 
 
 @query("eval_ap_cases", "SELECT * FROM (VALUES (1, 0.555556::DOUBLE, 0.722222::DOUBLE), (2, 0.233333, 0.478260), (3, 1.0, 0.833333)) t(q, ap5, ap)")
@@ -153,43 +160,47 @@ def eval_ap_cases(spark, sf_dir):
 
 @query("eval_precision_at", f"SELECT k, {r6('avg(p)')} AS precision FROM (SELECT h.q, ks.k, avg(h.y) AS p FROM h JOIN (SELECT range AS k FROM range(1, 21)) ks ON h.rk <= ks.k WHERE h.pos > 0 GROUP BY h.q, ks.k) GROUP BY k", EVAL)
 def eval_precision_at(spark, sf_dir):
-    return E.precision_at(pairs(spark, sf_dir)).select("k", V.rounded(F.col("precision")).alias("precision"))
+    return E.precision_of_ranks(E.top_ranks(*labelled(spark, sf_dir), k=20)).select("k", V.rounded(F.col("precision")).alias("precision"))
 
 
 @query("eval_pr_points", f"SELECT q, {r6('tp::DOUBLE / pos')} AS recall, {r6('tp::DOUBLE / nn')} AS precision FROM t UNION ALL SELECT DISTINCT q, 0.0, 1.0 FROM t", (*EVAL, _STEPS))
 def eval_pr_points(spark, sf_dir):
-    return E.pr_points(pairs(spark, sf_dir)).select("q", V.rounded(F.col("recall")).alias("recall"), V.rounded(F.col("precision")).alias("precision"))
+    return E.all_pr_points(*labelled(spark, sf_dir)).select("q", V.rounded(F.col("recall")).alias("recall"), V.rounded(F.col("precision")).alias("precision"))
+
 
+_CURVE = """pts AS (SELECT q, x, max(y) AS y FROM (SELECT q, tp::DOUBLE / pos AS x, tp::DOUBLE / nn AS y FROM t UNION ALL SELECT DISTINCT q, 0.0, 1.0 FROM t) GROUP BY q, x),
+  legs AS (SELECT *, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM pts WINDOW w AS (PARTITION BY q ORDER BY x)), grid AS (SELECT range / 99.0::DOUBLE AS g FROM range(100))"""
 
-@query("eval_pr_curve")
+
+@query("eval_pr_curve", f"SELECT {r6('g')} AS recall, {r6('avg(CASE WHEN x2 IS NULL OR g <= x THEN y ELSE y + (y2 - y) / (x2 - x) * (g - x) END)')} AS precision FROM legs JOIN grid ON g >= x AND (x2 IS NULL OR g < x2) GROUP BY g", (*EVAL, _STEPS, _CURVE))
 def eval_pr_curve(spark, sf_dir):
-    return E.mean_pr_curve(pairs(spark, sf_dir).where("q < 40")).select(V.rounded(F.col("recall")).alias("recall"), V.rounded(F.col("precision")).alias("precision"))
+    return E.all_mean_pr_curve(*labelled(spark, sf_dir)).select(V.rounded(F.col("recall")).alias("recall"), V.rounded(F.col("precision")).alias("precision"))
 
 
-@query("eval_separation_counts", "SELECT q, sum(y)::BIGINT AS positives, least(count(*) - sum(y), 2 * sum(y))::BIGINT AS negatives FROM s GROUP BY q HAVING sum(y) > 0", EVAL)
+@query("eval_separation_counts", "SELECT q, sum(y)::BIGINT AS positives, least(count(*) - sum(y), 2 * sum(y))::BIGINT AS negatives FROM s WHERE q % 100 = 0 GROUP BY q HAVING sum(y) > 0", EVAL)
 def eval_separation_counts(spark, sf_dir):
     return E.separation_sample(pairs(spark, sf_dir)).groupBy("q").agg(F.sum("y").cast("long").alias("positives"), F.sum(1 - F.col("y")).cast("long").alias("negatives"))
 
 
-@query("eval_relevance", "SELECT c1.id AS q, c2.id AS c, coalesce(c1.label = c2.label AND c1.id <> c2.id, false)::INT AS y FROM corpus c1, corpus c2 WHERE c1.id <= 40 AND c2.id <= 200", CORPUS)
+@query("eval_relevance", "SELECT c1.id AS q, c2.id AS c, coalesce(c1.label = c2.label AND c1.id <> c2.id, false)::INT AS y FROM corpus c1, corpus c2 WHERE c1.id % 100 = 0", CORPUS)
 def eval_relevance(spark, sf_dir):
     c = corpus(spark, sf_dir).select("id", "label")
-    sims = c.where("id <= 200").select(F.col("id").alias("c")).join(F.broadcast(c.where("id <= 40").select(F.col("id").alias("q"))), F.lit(True)).withColumn("sim", F.lit(0.0))
+    sims = c.select(F.col("id").alias("c")).join(c.where("id % 100 = 0").select(F.col("id").alias("q")), F.lit(True)).withColumn("sim", F.lit(0.0))
     return E.relevance(sims, c).select("q", "c", "y")
 
 
-@query("eval_labels_per_query", f"SELECT {r6('avg(coalesce(n, 0))')} AS avg_labels FROM part LEFT JOIN (SELECT l_partkey AS id, min(l_suppkey) AS label FROM lineitem WHERE l_quantity < 10 GROUP BY 1) l ON p_partkey = l.id LEFT JOIN (SELECT label, count(*) - 1 AS n FROM (SELECT l_partkey AS id, min(l_suppkey) AS label FROM lineitem WHERE l_quantity < 10 GROUP BY 1) GROUP BY label) USING (label)")
+@query("eval_labels_per_query", f"SELECT {r6('avg(coalesce(n, 0))')} AS avg_labels FROM part LEFT JOIN (SELECT l_partkey AS id, min(l_suppkey) AS label FROM lineitem GROUP BY 1) l ON p_partkey = l.id LEFT JOIN (SELECT label, count(*) - 1 AS n FROM (SELECT l_partkey AS id, min(l_suppkey) AS label FROM lineitem GROUP BY 1) GROUP BY label) USING (label)")
 def eval_labels_per_query(spark, sf_dir):
-    labels = table(spark, sf_dir, "lineitem").where("l_quantity < 10").groupBy(F.col("l_partkey").alias("id")).agg(F.min("l_suppkey").alias("label"))
+    labels = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("id")).agg(F.min("l_suppkey").alias("label"))
     return E.labels_per_query(labels, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))).select(V.rounded(F.col("avg_labels")).alias("avg_labels"))
 
 
-_REPORT = "every AS (SELECT v.vec_id AS q, round(coalesce(ap, 0), 6) AS ap FROM embeddings v LEFT JOIN ap5 ON v.vec_id = ap5.q WHERE v.vec_id < 220), ro AS (SELECT *, row_number() OVER (ORDER BY ap, q) AS worst, row_number() OVER (ORDER BY ap DESC, q DESC) AS best FROM every)"
+_REPORT = "every AS (SELECT v.vec_id AS q, round(coalesce(ap, 0), 6) AS ap FROM embeddings v LEFT JOIN ap5 ON v.vec_id = ap5.q), ro AS (SELECT *, row_number() OVER (ORDER BY ap, q) AS worst, row_number() OVER (ORDER BY ap DESC, q DESC) AS best FROM every)"
 
 
 def _report(spark, sf_dir):
-    aps = E.ap_at_k(pairs(spark, sf_dir), 5).select("q", F.round("ap", 6).alias("ap"))
-    return E.report(aps, table(spark, sf_dir, "embeddings").where("vec_id < 220").select(F.col("vec_id").alias("q")))
+    aps = E.ap_of_ranks(E.top_ranks(*labelled(spark, sf_dir), k=5), 5).select("q", F.round("ap", 6).alias("ap"))
+    return E.report(aps, table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("q")))
 
 
 @query("eval_report", f"SELECT CASE WHEN ap < 0.5 THEN 'worst' ELSE 'best' END AS side, CASE WHEN ap < 0.5 THEN worst ELSE best END AS rank, q, {r6('ap')} AS ap FROM ro", (*EVAL, _AP5, _REPORT))
@@ -235,10 +246,10 @@ def eval_exported(spark, sf_dir):
 _OFF = ", ".join(f"{r6(offline_sql(m, c))} AS {n}" for n, (c, m) in HELD.items())
 
 
-@query("store_pair_table", f"SELECT q.id AS q, r.id AS c, (q.label = r.label)::INT AS y, {_OFF} FROM corpus q JOIN corpus r ON q.id <> r.id WHERE q.id <= 40 AND r.id <= 40", CORPUS)
+@query("store_pair_table", f"SELECT q.id AS q, r.id AS c, (q.label = r.label)::INT AS y, {_OFF} FROM corpus q JOIN corpus r ON q.id <> r.id WHERE q.id % 100 = 0", CORPUS)
 def store_pair_table(spark, sf_dir):
-    c = corpus(spark, sf_dir).where("id <= 40")
-    t = O.pair_table(c.withColumn("label", F.col("label").cast("string")), HELD)
+    c = corpus(spark, sf_dir)
+    t = O.pair_table(c.where("id % 100 = 0"), c, HELD)
     return t.select("q", "c", "y", *[V.rounded(F.col(n)).alias(n) for n in HELD])
 
 
@@ -250,22 +261,18 @@ _WP = f"s AS (SELECT q.id AS q, r.id AS c, (q.label = r.label)::INT AS y, {r6(_S
 @query("store_map_of_weights", _map_at(5), (*CORPUS, _WP, _RANKED))
 def store_map_of_weights(spark, sf_dir):
     df = corpus(spark, sf_dir)
-    t = O.pair_table(O.store(df, memberships(spark, sf_dir)), {n: HELD[n] for n in _W})
-    return O.mean_ap(t, _W).select(V.rounded(F.col("map")).alias("map"), "n")
+    return O.mean_ap(O.store(df, memberships(spark, sf_dir)), {n: HELD[n] for n in _W}, _W).select(V.rounded(F.col("map")).alias("map"), "n")
 
 
-@query("store_long_sims", f"SELECT feature, i, j, sim FROM (SELECT q.id AS i, r.id AS j, unnest(['brightness', 'hog']) AS feature, unnest([{r6(offline_sql('scalar', 'brightness'))}, {r6(offline_sql('cosine', 'hog_vector'))}]) AS sim FROM corpus q JOIN corpus r ON q.id <> r.id WHERE q.id <= 30 AND r.id <= 30)", CORPUS)
+@query("store_long_sims", f"SELECT feature, i, j, sim FROM (SELECT q.id AS i, r.id AS j, unnest(['brightness', 'hog']) AS feature, unnest([{r6(offline_sql('scalar', 'brightness'))}, {r6(offline_sql('cosine', 'hog_vector'))}]) AS sim FROM corpus q JOIN corpus r ON q.id <> r.id WHERE q.id % 100 = 0)", CORPUS)
 def store_long_sims(spark, sf_dir):
-    c = corpus(spark, sf_dir).where("id <= 30").withColumn("label", F.col("label").cast("string"))
-    return O.blocks_of_sims(c, {n: HELD[n] for n in ("brightness", "hog")}).select("feature", "i", "j", V.rounded(F.col("sim")).alias("sim"))
+    c = corpus(spark, sf_dir)
+    return O.blocks_of_sims(c.where("id % 100 = 0"), c, {n: HELD[n] for n in ("brightness", "hog")}).select("feature", "i", "j", V.rounded(F.col("sim")).alias("sim"))
 
 
 @query("weights_optimized")
 def weights_optimized(spark, sf_dir):
-    c = corpus(spark, sf_dir).where("id <= 160").withColumn("label", F.col("label").cast("string")).withColumn("category", F.concat(F.lit("c"), F.col("label").cast("int") % 5))
-    feats = {n: HELD[n] for n in ("brightness", "hog", "category")}
-    t = O.pair_table(c, feats).persist()
-    best, base, top = O.optimize(t, list(feats), n_trials=20)
-    t.unpersist()
+    c = corpus(spark, sf_dir).withColumn("category", F.concat(F.lit("c"), F.col("label").cast("int") % 5))
+    best, base, top = O.optimize(c, {n: HELD[n] for n in ("brightness", "hog", "category")})
     return spark.createDataFrame([(n, round(w, 6), round(base, 6), round(top, 6)) for n, w in sorted(best.items())], "feature string, weight double, base_map double, best_map double")
 

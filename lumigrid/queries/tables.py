@@ -216,10 +216,10 @@ def join_basename_row(spark, sf_dir):
     return p.groupBy("name").agg(F.max_by("page_id", "page_id").alias("page_id"))
 
 
-@query("join_same_label", "SELECT a.id AS i, b.id AS j FROM corpus a JOIN corpus b ON a.label = b.label AND a.id <> b.id WHERE a.id <= 60", CORPUS)
+@query("join_same_label", "SELECT a.id AS i, b.id AS j FROM corpus a JOIN corpus b ON a.label = b.label AND a.id <> b.id", CORPUS)
 def join_same_label(spark, sf_dir):
     c = corpus(spark, sf_dir).select("id", "label")
-    a, b = c.where("id <= 60").alias("a"), c.alias("b")
+    a, b = c.alias("a"), c.alias("b")
     return a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.id") != F.col("b.id"))).select(F.col("a.id").alias("i"), F.col("b.id").alias("j"))
 
 
