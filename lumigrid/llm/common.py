@@ -7,25 +7,21 @@ never clash with what they add.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Used only where the session names no shared folder (tests, a laptop).
-LOCAL_WORK = "/tmp/checkpoints/lumigrid"
+from lumigrid.sources import shared
 
 #: Words are runs of anything but these characters.
 WORD_BREAKS = "\\x20\\x09-\\x0D"
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir where it is set."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_WORK
-
-
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{work_dir(spark).rstrip('/')}/lumigrid/{name}-{uuid.uuid4().hex}"
+    return f"{shared.folder(spark)}/lumigrid/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -55,8 +51,24 @@ def dropped(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches of a few rows: what a task makes of their texts is short-lived."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+        pa.default_memory_pool().release_unused()
+
+
+def bounded(spark: SparkSession) -> None:
+    """Smaller Arrow batches than Spark's own, which are made for short rows: texts are long. Settings of the user's stay."""
+    for key, usual, value in (("maxRecordsPerBatch", ("10000",), "1000"), ("maxBytesPerBatch", ("67108864b", "64MB"), "8m")):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}", usual[0]) in usual:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", value)
+
+
 def corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id long, text string) with null texts as empty ones; every other column is left behind."""
+    bounded(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 

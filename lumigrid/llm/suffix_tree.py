@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumigrid.llm import common
-from lumigrid.llm.compact import from_planes, packed, planes, squeezed, stretched, unpacked
+from lumigrid.llm.compact import from_planes, packed, planes, sorted_places, squeezed, stretched, unpacked
 from lumigrid.llm.shingling import _mixed, hashed
 
 #: Words of the longest context; a context's least count, and its least gain over its suffix, in nats.
@@ -40,7 +40,7 @@ WEIGHT = 1.0
 #: Gains are sent in these parts of a nat.
 PARTS = 16
 #: A block's bounds: tokens (and one text), and documents. Entries behind a range of hashes.
-BLOCK, BLOCK_DOCS, RANGE = 1_500_000, 50_000, 2_000_000
+BLOCK, BLOCK_DOCS, RANGE = 1_000_000, 50_000, 2_000_000
 SPARE = 12
 #: The hash that stands for a text's end.
 END = np.uint64(0x5851F42D4C957F2D)
@@ -74,7 +74,7 @@ def blocks(base: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=_names(BLOCKS))
 
         docs, helds, hashes, letters, size = [], [], [], [], 0
-        for b in batches:
+        for b in common.sliced(batches):
             for doc_id, held, (h, n) in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), hashed(b.column(1).to_pylist()), strict=True):
                 docs.append(doc_id)
                 helds.append(held)
@@ -109,10 +109,10 @@ class Block:
             at.append(np.flatnonzero(self.place >= k))
             grams.append(key[at[-1]] >> _U(64 - bits))
         every = np.concatenate(grams)
-        order = np.argsort(every, kind="stable")
+        every, order = sorted_places(every, bits)
         new = np.ones(len(every), dtype=bool)
-        new[1:] = every[order[1:]] != every[order[:-1]]
-        self.grams, number = every[order[new]], np.empty(len(every), dtype=np.int64)
+        new[1:] = every[1:] != every[:-1]
+        self.grams, number = every[new], np.empty(len(every), dtype=np.int64)
         number[order] = np.cumsum(new) - 1
         #: For n-grams of k + 2 words: where they end, and their numbers.
         self.at, self.of = at, np.split(number, np.cumsum([len(x) for x in at])[:-1])
@@ -205,15 +205,14 @@ def answered(found: DataFrame, bits: int, ranges: int, round_: int) -> DataFrame
     MIN_DIVERGENCE."""
 
     def one(whole: pa.Table) -> pa.Table:
-        r, out, distinct = whole.column("range")[0].as_py(), [], 0
+        out, distinct = [], 0
         kind = "<u2" if round_ else "<u1"
         for name, width in (("word", 64), ("gram", bits)):
-            keys = [stretched(x, r << (width - ranges)) for x in whole.column(f"{name}s").to_pylist()]
+            keys = [stretched(x, 0) for x in whole.column(f"{name}s").to_pylist()]  # from the range's first hash on
             values = np.concatenate([unpacked(x, kind) for x in whole.column(f"{name}_values").to_pylist()])
-            every = np.concatenate(keys)
-            order = np.argsort(every, kind="stable")
+            every, order = sorted_places(np.concatenate(keys), width - ranges)
             new = np.ones(len(every), dtype=bool)
-            new[1:] = every[order[1:]] != every[order[:-1]]
+            new[1:] = every[1:] != every[:-1]
             heads = np.flatnonzero(new)
             sums = np.add.reduceat(values[order], heads) if len(heads) else values
             distinct = distinct or (int((sums > 0).sum()) if name == "word" else 0)
