@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -93,6 +95,23 @@ def statistics(members: DataFrame, images: DataFrame, vector: str) -> dict[str,
     }
 
 
+def cached_statistics(spark: SparkSession, ground_truth: str, cache: str, compute: Callable[[], DataFrame], force: bool = False) -> DataFrame:
+    """compute(), kept below the folder `cache` for as long as the ground truth's file or folder doesn't change: the entry's name
+    has the time of its last change. Entries of earlier times are removed when a new one is written."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    store = path(ground_truth).getFileSystem(conf)
+    when = store.getFileStatus(path(ground_truth)).getModificationTime()
+    name = path(ground_truth).getName()
+    entry, kept = f"{cache}/{name}-{when}", path(cache).getFileSystem(conf)
+    if force or not kept.exists(path(f"{entry}/_SUCCESS")):
+        new = compute()
+        for old in kept.globStatus(path(f"{cache}/{name}-*")) or []:
+            kept.delete(old.getPath(), True)
+        new.write.mode("overwrite").parquet(entry)
+    return spark.read.parquet(entry)
+
+
 def candidates(members: DataFrame, images: DataFrame, vector: str, per_cluster: int = 20) -> DataFrame:
     """(ordinal, cluster_key, score, images, q_vec) of the clusters with at least per_cluster members whose query has a
     vector: score is the mean similarity of the first per_cluster members."""

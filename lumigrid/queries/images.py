@@ -103,3 +103,19 @@ image("gaussian_histogram", f"SELECT img_id, bin::INT AS bin, {r6('w / (sum(w) O
 image("joint_histogram", f"SELECT img_id, r // 64 AS rb, g // 64 AS gb, b // 64 AS bb, {r6('count(*) / sum(count(*)) OVER (PARTITION BY img_id)')} AS share FROM pixels GROUP BY 1, 2, 3, 4", PIXELS, "img_id", "rb", "gb", "bb")(X.joint_histogram)
 _CH = "hn AS (SELECT img_id, cell, channel, floor(value / 32)::BIGINT AS bin, count(*) AS n FROM ch WHERE channel <> 'gray' GROUP BY 1, 2, 3, 4)"
 image("cell_histograms", f"SELECT img_id, cell, channel, bin, {r6('n / sum(n) OVER (PARTITION BY img_id, cell, channel)')} AS share, {r6('sum(n) OVER (PARTITION BY img_id, cell, channel ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / sum(n) OVER (PARTITION BY img_id, cell, channel)')} AS cdf FROM hn", (*LONG, _CH), "img_id", "cell", "channel", "bin")(X.cell_histograms)
+
+
+@query("image_extractors")
+def image_extractors(spark, sf_dir):
+    """Every NumPy extractor over images given as bytes: (img_id, feature, place, value)."""
+    from lumigrid.functions.extractors import EXTRACTORS
+    from lumigrid.plans.corpus import pixels
+    from lumigrid.sources import images
+
+    at = pixels(spark).select("img_id", F.struct("y", "x").alias("at"), F.concat(*[F.lpad(F.hex(c), 2, "0") for c in "bgr"]).alias("said"))
+    hexed = at.groupBy("img_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "said"))), lambda x: x["said"]), "").alias("all"))
+    files = hexed.select(F.col("img_id").cast("string").alias("origin"), F.lit(16).alias("height"), F.lit(16).alias("width"), F.lit(3).alias("channels"), F.unhex("all").alias("data"))
+    wide = images.extracted(files, scale=1).where("error is null")
+    each = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("v")) for f in EXTRACTORS])
+    long = wide.select(F.col("origin").cast("long").alias("img_id"), F.explode(each).alias("e")).select("img_id", "e.feature", F.posexplode("e.v").alias("place", "value"))
+    return long.withColumn("value", F.round(F.col("value").cast("double"), 4) + F.lit(0.0))

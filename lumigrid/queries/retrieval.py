@@ -264,6 +264,32 @@ def store_map_of_weights(spark, sf_dir):
     return O.mean_ap(O.store(df, memberships(spark, sf_dir)), {n: HELD[n] for n in _W}, _W).select(V.rounded(F.col("map")).alias("map"), "n")
 
 
+_HELD3 = {n: HELD[n] for n in ("brightness", "hog", "category")}
+_W3 = {"brightness": 0.25, "hog": 0.5, "category": 0.25}
+_SUM3 = " + ".join(f"{offline_sql(HELD[n][1], HELD[n][0])} * {w!r}" for n, w in _W3.items())
+_WP3 = f"s AS (SELECT q.id AS q, r.id AS c, (q.label = r.label)::INT AS y, {r6(_SUM3)} AS sim FROM corpus q JOIN corpus r ON q.id <> r.id)"
+
+
+def _learning_result(spark, sf_dir):
+    from lumigrid.operators import flows
+
+    return flows.learning_result(corpus(spark, sf_dir), _HELD3, _W3, memberships(spark, sf_dir))
+
+
+@query("weights_result_metrics", f"""SELECT 'folder' AS gt_model, (SELECT {r6('avg(ap)')} FROM (SELECT q, sum(yy::DOUBLE / pos * tp::DOUBLE / nn) AS ap FROM t GROUP BY q)) AS map,
+  (SELECT map FROM ({_map_at(5)})) AS map5, (SELECT map FROM ({_map_at(10)})) AS map10, (SELECT {r6('avg(n - 1)')} FROM (SELECT count(*) OVER (PARTITION BY label) AS n FROM corpus)) AS avg_labels, (SELECT count(*) FROM members)::BIGINT AS total_images""", (*MEMBERS, _WP3, _RANKED, _STEPS))
+def weights_result_metrics(spark, sf_dir):
+    m = _learning_result(spark, sf_dir)["metrics"]
+    names = {"map": "test_map_after", "map5": "test_map5_after", "map10": "test_map10_after", "avg_labels": "avg_labels_per_query"}
+    return m.select("gt_model", *[V.rounded(F.col(c)).alias(n) for n, c in names.items()], "total_images")
+
+
+@query("weights_result_queries", f"""SELECT CASE WHEN ap < 0.5 THEN 'worst' ELSE 'best' END AS side, CASE WHEN ap < 0.5 THEN worst ELSE best END AS rank, id AS image_id, file_name, round(ap, 4) + 0.0 AS map5, pos::BIGINT AS n_positives_in_gt
+  FROM (SELECT id, file_name, coalesce(ap, 0) AS ap, count(*) OVER (PARTITION BY label) - 1 AS pos, row_number() OVER (ORDER BY coalesce(ap, 0), id) AS worst, row_number() OVER (ORDER BY coalesce(ap, 0) DESC, id DESC) AS best FROM corpus LEFT JOIN ap5 ON id = q)""", (*CORPUS, _WP3, _RANKED, _AP5))
+def weights_result_queries(spark, sf_dir):
+    return _learning_result(spark, sf_dir)["queries"].withColumn("map5", F.col("map5") + F.lit(0.0))
+
+
 @query("store_long_sims", f"SELECT feature, i, j, sim FROM (SELECT q.id AS i, r.id AS j, unnest(['brightness', 'hog']) AS feature, unnest([{r6(offline_sql('scalar', 'brightness'))}, {r6(offline_sql('cosine', 'hog_vector'))}]) AS sim FROM corpus q JOIN corpus r ON q.id <> r.id WHERE q.id % 100 = 0)", CORPUS)
 def store_long_sims(spark, sf_dir):
     c = corpus(spark, sf_dir)
