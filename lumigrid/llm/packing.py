@@ -4,8 +4,8 @@ Documents become token ids and are cut, if longer than a sequence, into pieces.
 pieces have each length: at most `size` numbers. A configuration is a multiset of lengths that fits in one sequence.
 Multiplicative weights solve the covering program over configurations: each round prices the lengths, a knapsack
 dynamic program finds the configuration of the greatest price, and the prices of what it covers sink, until all lengths
-are covered and the solution is within GAP of its dual bound. The solution is rounded down, and what is left is packed
-best fit by descending length, again by whole configurations.
+are covered and the solution is within GAP of its dual bound. The solution's full configurations are rounded down, and
+what is left is packed best fit by descending length, again by whole configurations.
 
 Spark does what grows with the data: it counts words into pieces, ranks the pieces within their length, and looks up
 each rank in the table of configurations, whose rows are bounded by rounds and lengths.
@@ -197,7 +197,7 @@ def plan(counts: np.ndarray, size: int = SIZE) -> list[tuple[list[int], int]]:
     for config, amount in solve(left, size)[0]:
         use = np.bincount(config, minlength=len(left))
         times = int(min(amount + 1e-6, (left[use > 0] // use[use > 0]).min()))
-        if times > 0:
+        if times > 0 and sum(config) == size:  # what a sequence would waste is better packed with what rounding leaves
             rounded.append((config, times))
             left -= use * times
     return rounded + best_fit(left, size)  # what rounding down has left
