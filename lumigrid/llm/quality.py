@@ -103,8 +103,8 @@ class Measurer:
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         low = points < len(self.table)
         chars = np.bincount(self.table[points[low]], minlength=len(CLASSES))
-        for c in points[~low]:
-            chars[CLASSES.index("accented" if chr(c).isalpha() else "other")] += 1
+        for c, times in zip(*np.unique(points[~low], return_counts=True), strict=True):
+            chars[CLASSES.index("accented" if chr(c).isalpha() else "other")] += times
         h = np.fromiter(map(hash, words), dtype=np.int64, count=len(words))
         at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
         hit = self.keys[at] == h
@@ -117,11 +117,12 @@ class Measurer:
 
 def measures(docs: DataFrame) -> DataFrame:
     """Counts and histograms of docs (doc_id, text, lang)."""
+    common.bounded(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Measurer()
-        for b in batches:
+        for b in common.sliced(batches):
             rows = [m.measure(t) for t in b.column(1).to_pylist()]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
             arrays = [b.column(0), b.column(2), *[pa.array(c, pa.int64()) for c in cols[:5]], *[pa.array(c, pa.list_(pa.int32())) for c in cols[5:]]]
