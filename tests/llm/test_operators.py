@@ -139,6 +139,35 @@ def test_toxicity_edges(spark, docs, none):
     assert toxicity.offending(train, model).count() > 0
 
 
+def test_scores_equal_plain_python(spark):
+    """Sentences, their words' features and the noisy-or once more, one sentence after the other, over the given texts."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    texts, labels = toxic_corpus(300)
+    model = toxicity.fit(texts, labels)
+    model["weights"] |= {f: 0.7 for w in ("the", "und", "que", "of") for f in toxicity.features(w)}
+    got = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
+    for r in docs.collect():
+        clean, worst = 1.0, (0.0, -1)
+        for i, s in enumerate(toxicity.sentences(r["text"] or "")):
+            z = model["bias"] + sum(model["weights"].get(f, 0.0) for w in set(toxicity.WORD.findall(s.lower())) for f in toxicity.features(w))
+            p = 1 / (1 + math.exp(-z))
+            clean *= 1 - p
+            worst = max(worst, (p, -i))
+        want = 1 - clean if toxicity.sentences(r["text"] or "") else 1 / (1 + math.exp(-model["bias"]))
+        assert got[r["doc_id"]]["score"] == pytest.approx(want, abs=1e-9)
+        assert got[r["doc_id"]]["worst_score"] == pytest.approx(worst[0], abs=1e-9)
+
+
+def test_the_gradient_lowers_the_loss():
+    texts, labels = toxic_corpus(400)
+
+    def loss(steps):
+        model = toxicity.Scorer(toxicity.fit(texts, labels, steps=steps))
+        return -np.mean([math.log(max(1e-12, p if y else 1 - p)) for p, y in ((model.document(t)[0], y) for t, y in zip(texts, labels, strict=True))])
+
+    assert loss(120) < 0.5 * loss(20) and loss(20) < 1.0
+
+
 def test_very_long_texts_leave_room_for_others(spark):
     rows = [(i, "bad word. " * (20 if i % 9 else 200_000)) for i in range(60)]
     marks = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
@@ -496,7 +525,7 @@ def test_pseudonyms_of_the_given_texts_equal_python(spark):
         assert r["pii"] == [f"{k}:{v}" for k, v in want[r["doc_id"]][1]]
     back = pseudonyms.pseudonymized(said.select("doc_id", "text"), "k", back=True)
     assert all((r["text"] or "").lower() == (want[r["doc_id"]][0] or "").lower() for r in back.collect())
-    assert said.where("n_pii > 0").count() > 50
+    assert said.where("n_pii > 0").count() == sum(bool(found) for _, found in want.values()) > 0
 
 
 def test_pseudonyms_of_the_given_phones(spark):
@@ -590,6 +619,51 @@ def test_quality_drops_what_diverges(spark):
     assert got[92]["distance"] is None
 
 
+def test_verdicts_equal_plain_python(spark):
+    """Counts, references, blends, distances and verdicts once more, from dictionaries, over the given texts."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    docs = docs.unionByName(spark.createDataFrame([(-1, "見 " * 60 + "x1 É", "en"), (-2, None, None), (-3, "the of " * 50 + "de la " * 50, "xx")], docs.schema))
+    rows = [tuple(r) for r in docs.collect()]
+    forms = {f: w for w in quality.VOCABULARY for f in (w, w.capitalize(), w.upper())}
+
+    def kind(ch):
+        if ch in " \t\n\x0b\x0c\r":
+            return "break"
+        if ch in "#*$%&|<>":
+            return "symbol"
+        if ch.isascii():
+            return "lower" if ch.islower() else "upper" if ch.isupper() else "digit" if ch.isdigit() else "punctuation" if " " < ch < "\x7f" else "other"
+        return "accented" if ch.isalpha() else "digit" if ch.isdigit() and ord(ch) < 0x250 else "other"
+
+    def shares(c):
+        total = sum(c.values()) or 1
+        return {k: v / total for k, v in c.items()}
+
+    def jsd(p, q):
+        mean = {k: (p.get(k, 0) + q.get(k, 0)) / 2 for k in {*p, *q}}
+        half = lambda x: sum(v * math.log2(v / mean[k]) for k, v in x.items() if v)
+        return math.sqrt(max(0.0, (half(p) + half(q)) / 2))
+
+    seen = {d: (collections.Counter(map(kind, t or "")), collections.Counter(forms.get(w, "") for w in words(t)), lang) for d, t, lang in rows}
+    sums = {}
+    for chars, said, lang in seen.values():
+        if lang in quality.COMMON:
+            have = sums.setdefault(lang, (collections.Counter(), collections.Counter()))
+            have[0].update(chars)
+            have[1].update(said)
+    refs = {k: (shares(a), shares(b)) for k, (a, b) in sums.items()}
+    blend = lambda a, b: {k: (a.get(k, 0) + b.get(k, 0)) / 2 for k in {*a, *b}}
+    every = [({a, b}, blend(refs[a][0], refs[b][0]), blend(refs[a][1], refs[b][1])) for a in refs for b in refs if a <= b]
+    for r in quality.judged(docs).collect():
+        chars, said, lang = seen[r["doc_id"]]
+        far = min((jsd(shares(chars), c) + jsd(shares(said), w)) / 2 for langs, c, w in every if lang not in refs or lang in langs)
+        if r["n_words"] < quality.MIN_WORDS:
+            assert r["distance"] is None and r["kept"] == (not r["base_failed"])
+        else:
+            assert r["distance"] == pytest.approx(far, abs=1e-9), r["doc_id"]
+            assert r["kept"] == (not r["base_failed"] and far <= quality.MAX_DISTANCE + quality.CHANCE / math.sqrt(r["n_words"]))
+
+
 def test_distance_of_equal_and_disjoint_shares():
     p = np.array([[1.0, 0.0], [0.0, 1.0], [0.5, 0.5]])
     assert quality.distance(p, np.array([1.0, 0.0]))[:2].tolist() == [0.0, 1.0]
@@ -707,6 +781,28 @@ def test_sharding_law(spark, docs, none):
     assert sharding.shard(none).count() == 0
 
 
+def test_places_equal_plain_python(spark):
+    """The three draws once more, with the same hash from another library."""
+    import xxhash
+
+    def draw(seed, key, child, weight):
+        h = 42
+        for raw in (seed.to_bytes(4, "little"), key.to_bytes(8, "little", signed=True), child.to_bytes(4, "little")):
+            h = xxhash.xxh64_intdigest(raw, seed=h)
+        return -math.log(((h >> 11) + 0.5) / 2**53) / weight
+
+    def place(key, t):
+        at = 0
+        for level in range(3):
+            at = min((draw(17 + level, key, c, w), c) for c, w in t.children(level)[at].items())[1]
+        return at
+
+    tree = sharding.tree()
+    df = spark.range(-20, 400).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    for r in sharding.shard(df).collect():
+        assert (r["shard"], r["grown_shard"]) == (place(r["doc_id"], tree), place(r["doc_id"], tree.grow()))
+
+
 def test_movement_stays_in_the_reweighed_subtree(spark):
     keys = spark.range(5000).select(F.col("id").cast("long").alias("k"))
     t = sharding.tree()
