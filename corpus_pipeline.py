@@ -3,6 +3,11 @@
 toxicity drops documents that the classifier rejects; near_duplicates keeps one document of each group; secrets masks
 credentials in the texts; mixture drops and repeats documents by their source's target; packing lays what remains into
 sequences, a row for each piece.
+
+Defined results: null and empty texts have the classifier's prior, are no near duplicates of anything, hold no secrets and
+are dropped by the mixture, which takes words; of rows that repeat an id and a text one stays, of an id with unlike texts
+one row a group of near duplicates; rows with a null id stay; ties go to the lower id; very long texts are read whole;
+columns beyond those of documents pass through; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -40,7 +45,8 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: The classifier, the components of the link graph and the packing have no SQL; tests/llm compare them with brute force.
+#: The classifier, the components of the link graph and the packing have no SQL. tests/llm compare each stage's operator with
+#: brute force or plain Python, two stages on their own input.
 ORACLE_SQL = None
 
 

@@ -4,41 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-# Feature, metric, column, dimension (0: not a vector), group.
-_ROWS = """
-brightness scalar brightness 0 basic
-contrast scalar contrast 0 basic
-saturation scalar saturation 0 basic
-edge_density scalar edge_density 0 basic
-sharpness sharpness sharpness 0 basic
-meta_hist_interp cosine meta_hist_interp 152 color
-meta_cdf_interp cosine meta_cdf_interp 152 color
-meta_joint_interp cosine meta_joint_interp 384 color
-meta_cell cosine meta_cell_vector 304 color
-meta_moments_mean l2_cell meta_moments_mean 19 color
-meta_moments_std l2_cell meta_moments_std 19 color
-meta_moments_skew l2_cell meta_moments_skew 19 color
-hog cosine hog_vector 1568 advanced
-hu_moments cosine hu_moments_vector 7 advanced
-lbp cosine lbp_vector 160 advanced
-gabor cosine gabor_vector 512 advanced
-ccv cosine ccv_vector 96 advanced
-fourier cosine fourier_vector 25 advanced
-geo cosine geo_vector 6 advanced
-tamura cosine tamura_vector 3 advanced
-edge_orientation cosine edge_orientation_vector 5 advanced
-glcm cosine glcm_vector 64 advanced
-wavelet cosine wavelet_vector 12 advanced
-correlogram cosine correlogram_vector 32 advanced
-ehd cosine ehd_vector 80 advanced
-cld cosine cld_vector 64 advanced
-spm cosine spm_vector 160 advanced
-saliency cosine saliency_vector 32 advanced
-semantic cosine llm_embedding 1024 deep
-category category category 0 basic
-entity entity entities 0 basic
-"""
-
 
 @dataclass(frozen=True)
 class Feature:
@@ -49,7 +14,43 @@ class Feature:
     group: str
 
 
-FEATURES: dict[str, Feature] = {r[0]: Feature(r[0], r[1], r[2], int(r[3]), r[4]) for r in map(str.split, _ROWS.strip().splitlines())}
+#: Feature, metric, column, dimension (0: not a vector), group.
+FEATURES: dict[str, Feature] = {
+    f.name: f
+    for f in (
+        Feature("brightness", "scalar", "brightness", 0, "basic"),
+        Feature("contrast", "scalar", "contrast", 0, "basic"),
+        Feature("saturation", "scalar", "saturation", 0, "basic"),
+        Feature("edge_density", "scalar", "edge_density", 0, "basic"),
+        Feature("sharpness", "sharpness", "sharpness", 0, "basic"),
+        Feature("meta_hist_interp", "cosine", "meta_hist_interp", 152, "color"),
+        Feature("meta_cdf_interp", "cosine", "meta_cdf_interp", 152, "color"),
+        Feature("meta_joint_interp", "cosine", "meta_joint_interp", 384, "color"),
+        Feature("meta_cell", "cosine", "meta_cell_vector", 304, "color"),
+        Feature("meta_moments_mean", "l2_cell", "meta_moments_mean", 19, "color"),
+        Feature("meta_moments_std", "l2_cell", "meta_moments_std", 19, "color"),
+        Feature("meta_moments_skew", "l2_cell", "meta_moments_skew", 19, "color"),
+        Feature("hog", "cosine", "hog_vector", 1568, "advanced"),
+        Feature("hu_moments", "cosine", "hu_moments_vector", 7, "advanced"),
+        Feature("lbp", "cosine", "lbp_vector", 160, "advanced"),
+        Feature("gabor", "cosine", "gabor_vector", 512, "advanced"),
+        Feature("ccv", "cosine", "ccv_vector", 96, "advanced"),
+        Feature("fourier", "cosine", "fourier_vector", 25, "advanced"),
+        Feature("geo", "cosine", "geo_vector", 6, "advanced"),
+        Feature("tamura", "cosine", "tamura_vector", 3, "advanced"),
+        Feature("edge_orientation", "cosine", "edge_orientation_vector", 5, "advanced"),
+        Feature("glcm", "cosine", "glcm_vector", 64, "advanced"),
+        Feature("wavelet", "cosine", "wavelet_vector", 12, "advanced"),
+        Feature("correlogram", "cosine", "correlogram_vector", 32, "advanced"),
+        Feature("ehd", "cosine", "ehd_vector", 80, "advanced"),
+        Feature("cld", "cosine", "cld_vector", 64, "advanced"),
+        Feature("spm", "cosine", "spm_vector", 160, "advanced"),
+        Feature("saliency", "cosine", "saliency_vector", 32, "advanced"),
+        Feature("semantic", "cosine", "llm_embedding", 1024, "deep"),
+        Feature("category", "category", "category", 0, "basic"),
+        Feature("entity", "entity", "entities", 0, "basic"),
+    )
+}
 PREVIEWS = ("hist", "cell", "hog", "hu", "lbp", "gabor", "ccv")
 DREAMSIM_DIM = 1792
 

@@ -33,6 +33,10 @@ def limit_of(settings_limit: int | None, form_limit: int = 5) -> int:
     return settings_limit or form_limit
 
 
+#: The features of the traditional lane whose older names are asked for.
+COMPAT = {"hog", "hu_moments", "lbp", "sharpness", "gabor", "ccv", "brightness", "contrast", "saturation", "edge_density", "meta_cell"}
+
+
 def lanes(mode: str, weights: dict[str, float] | None, compat: bool = False) -> set[str]:
     """The extraction lanes (traditional, vlm, dreamsim, text) for the features with positive weight; all for none.
 
@@ -40,7 +44,6 @@ def lanes(mode: str, weights: dict[str, float] | None, compat: bool = False) ->
     needed = {k for k, v in (weights or {}).items() if (v > 0 if mode == "manual" else v != 0)}
     if mode == "equal" or not needed:
         return {"traditional", "vlm", "dreamsim", "text"}
-    old = {"hog", "hu_moments", "lbp", "sharpness", "gabor", "ccv", "brightness", "contrast", "saturation", "edge_density", "meta_cell"}
     out = set()
     for name in needed:
         f = FEATURES.get(name)
@@ -50,6 +53,6 @@ def lanes(mode: str, weights: dict[str, float] | None, compat: bool = False) ->
             out.add("dreamsim")
         elif name == "semantic":
             out |= {"text", "vlm"}
-        elif f is not None and (not compat or name in old):
+        elif f is not None and (not compat or name in COMPAT):
             out.add("traditional")
     return out
