@@ -223,3 +223,14 @@ def test_blocks_pack_every_row_once(spark):
 
     seen = [dict(np.load(io.BytesIO(r["payload"]))) for r in blocks.collect()]
     assert sorted(int(i) for b in seen for i in b["id"]) == list(range(300)) and sum(int(b["v?null"].sum()) for b in seen) == 100
+
+
+def test_lanczos_keeps_constants_sizes_and_smooth_images():
+    flat, ramp = np.full((9, 14, 3), 77, dtype=np.uint8), np.tile(np.arange(40.0)[:, None, None], (1, 30, 3))
+    assert (X.lanczos(flat, 31, 50) == 77).all() and X.lanczos(flat, 9, 14) is flat
+    wave = np.sin(np.arange(64) / 5)[:, None] * np.cos(np.arange(48) / 6)[None, :]
+    at = ((np.arange(192) + 0.5) / 3 - 0.5)[:, None], ((np.arange(144) + 0.5) / 3 - 0.5)[None, :]
+    far = lambda resize: np.abs(resize(wave, 192, 144) - np.sin(at[0] / 5) * np.cos(at[1] / 6))[24:-24, 24:-24].max()
+    assert far(X.lanczos) < 0.5 * far(X.resized)
+    assert np.allclose(X.lanczos(ramp, 120, 30)[30:90, 3, 0], (np.arange(30, 90) + 0.5) / 3 - 0.5, atol=0.02)
+    assert X.standardized(np.zeros((100, 100, 3), dtype=np.uint8), 18, 32).shape == (18, 32, 3)
