@@ -33,10 +33,11 @@ def sharpness(a: Column, b: Column, semantics: str = "online") -> Column:
     return V.kernel(F.abs(a - b) / (F.abs(a + b) + TINY))
 
 
-def cosine(a: Column, b: Column, semantics: str = "online") -> Column:
-    """Null or zero vectors have similarity 0 online; offline they are zero vectors, with norms a little above 0."""
+def cosine(a: Column, b: Column, semantics: str = "online", held: tuple[Column, Column] | None = None) -> Column:
+    """Null or zero vectors have similarity 0 online; offline they are zero vectors, with norms a little above 0. held: their
+    norms, where these are known."""
     if semantics == "online":
-        return V.kernel(F.coalesce(1.0 - V.cosine(a, b), F.lit(1.0)))
+        return V.kernel(F.coalesce(1.0 - V.cosine(a, b, *(held or ())), F.lit(1.0)))
     return V.kernel(1.0 - F.coalesce(V.dot(a, b) / ((V.norm(a) + TINY) * (V.norm(b) + TINY)), F.lit(0.0)))
 
 
@@ -60,17 +61,21 @@ def category(a: Column, b: Column, semantics: str = "online") -> Column:
     return F.when(same, 1.0).otherwise(0.0)
 
 
-def entity(a: Column, b: Column, semantics: str = "online") -> Column:
-    """Online: shared entities over the union, which counts the row's duplicates; offline: over the larger set."""
-    low = lambda c: F.array_distinct(F.transform(c, F.lower))
-    qs = low(b)
-    shared = F.size(F.array_intersect(low(a), qs)).cast("double")
+def lowered(c: Column) -> Column:
+    return F.array_distinct(F.transform(c, F.lower))
+
+
+def entity(a: Column, b: Column, semantics: str = "online", held: tuple[Column, Column] | None = None) -> Column:
+    """Online: shared entities over the union, which counts the row's duplicates; offline: over the larger set. held: both
+    lowered(), where these are known."""
+    rs, qs = held or (lowered(a), lowered(b))
+    shared = F.size(F.array_intersect(rs, qs)).cast("double")
     if semantics == "online":
         union = F.size(qs) + F.size(a) - shared
         sim = V.kernel(1.0 - F.coalesce(shared / F.greatest(F.lit(1.0), union), F.lit(0.0)))
         return F.when(F.coalesce(F.size(qs) > 0, F.lit(False)) & a.isNotNull(), sim).otherwise(0.0)
     both = F.coalesce((F.size(a) > 0) & (F.size(b) > 0), F.lit(False))
-    return F.when(both, V.kernel(1.0 - shared / F.greatest(F.size(low(a)), F.size(qs)))).otherwise(0.0)
+    return F.when(both, V.kernel(1.0 - shared / F.greatest(F.size(rs), F.size(qs)))).otherwise(0.0)
 
 
 METRICS = {"scalar": scalar, "sharpness": sharpness, "cosine": cosine, "l2_color": l2_color, "l2_cell": l2_cell, "category": category, "entity": entity}
@@ -86,6 +91,20 @@ def similarities(features: dict[str, tuple[str, str]], query: str = "q", row: st
     return {n: METRICS[m](F.col(f"{row}.{c}"), F.col(f"{query}.{c}"), semantics) for n, (c, m) in features.items()}
 
 
+#: What search() works out once for each row, and once for each query, before they meet.
+HELD = {"cosine": V.norm, "entity": lowered}
+
+
+def holding(df: DataFrame, features: dict[str, tuple[str, str]]) -> list[Column]:
+    return [HELD[m](F.col(c)).alias(f"__{m}_{c}") for c, m in sorted(set(features.values())) if m in HELD]
+
+
+def held_similarities(features: dict[str, tuple[str, str]], query: str = "q", row: str = "r", semantics: str = "online") -> dict[str, Column]:
+    """similarities() of rows and queries with what holding() adds."""
+    more = lambda c, m: {"held": (F.col(f"{row}.__{m}_{c}"), F.col(f"{query}.__{m}_{c}"))} if m in HELD else {}
+    return {n: METRICS[m](F.col(f"{row}.{c}"), F.col(f"{query}.{c}"), semantics, **more(c, m)) for n, (c, m) in features.items()}
+
+
 def weighted(sims: dict[str, Column], weights: dict[str, float]) -> Column:
     parts = [sims[n] * F.lit(float(w)) for n, w in weights.items() if w != 0 and n in sims]
     return reduce(add, parts) if parts else F.lit(0.0)
@@ -100,10 +119,10 @@ def search(table: DataFrame, queries: DataFrame, weights: dict[str, float], limi
     features = feature_columns(table)
     used = features if components else {n: f for n, f in features.items() if n in weights}
     keep = sorted({c for c, _ in used.values()})
-    q = queries.select("id", *keep).alias("q")
-    sims = similarities(used, semantics=semantics)
+    q = queries.select("id", *keep, *holding(queries, used)).alias("q")
+    sims = held_similarities(used, semantics=semantics)
     cols = [s.alias(f"{n}_similarity") for n, s in sims.items()]
-    scored = table.select("id", "file_name", *keep).alias("r").join(F.broadcast(q), F.lit(True)).select(F.col("q.id").alias("query_id"), F.col("r.id").alias("id"), F.col("r.file_name").alias("file_name"), *cols)
+    scored = table.select("id", "file_name", *keep, *holding(table, used)).alias("r").join(F.broadcast(q), F.lit(True)).select(F.col("q.id").alias("query_id"), F.col("r.id").alias("id"), F.col("r.file_name").alias("file_name"), *cols)
     total = weighted({n: F.col(f"{n}_similarity") for n in used}, weights)
     scored = scored.withColumn("similarity", V.rounded(total, places) if places is not None else total)
     return ranked(scored, "query_id", limit) if components else ranked(scored.drop(*[f"{n}_similarity" for n in used]), "query_id", limit)
