@@ -24,9 +24,39 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared.folder(spark)}/lumigrid/{name}-{uuid.uuid4().hex}"
 
 
+class Scratch:
+    """Tables written inside a with-block; leaving it deletes all but those that keep() named."""
+
+    open_: list[Scratch] = []
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        self.open_.append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.open_.remove(self)
+        for p in self.paths:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        files = df.inputFiles()[:1]
+        self.paths = [p for p in self.paths if not (files and p.rsplit("/", 1)[1] in files[0])]
+        return df
+
+
+def _told(path: str) -> str:
+    if Scratch.open_:
+        Scratch.open_[-1].paths.append(path)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder. This cuts the lineage: a lost executor costs no recomputation."""
-    path = fresh_path(df.sparkSession, name)
+    path = _told(fresh_path(df.sparkSession, name))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -35,7 +65,7 @@ def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     """df as a Parquet table in the shared folder, bucketed by key: later groupings by key shuffle the other side only."""
     spark, table = df.sparkSession, f"lumigrid_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.format("parquet").option("path", fresh_path(spark, name)).bucketBy(buckets, key).saveAsTable(table)
+    df.write.format("parquet").option("path", _told(fresh_path(spark, name))).bucketBy(buckets, key).saveAsTable(table)
     out = spark.table(table)
     out.schema  # noqa: B018  resolved before the name goes; the files stay
     spark.sql(f"DROP TABLE {table}")

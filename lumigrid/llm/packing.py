@@ -33,7 +33,7 @@ from lumigrid.llm import common
 
 SIZE, END_ID = 2048, 0
 #: Words whose ids a Python worker keeps at most.
-MAX_WORDS = 1_200_000
+MAX_WORDS = 1_000_000
 #: The program ends this close to its lower bound; prices fall by exp(-RATE) until a length is covered.
 GAP, RATE = 0.01, 2.0
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -220,18 +220,20 @@ def slots(configs: list[tuple[list[int], int]]) -> list[tuple[int, int, int, int
 
 def pack(docs: DataFrame, size: int = SIZE, path: str | None = None) -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    spark = docs.sparkSession
-    cut = common.written(pieces(docs, size, path), "pieces")
-    counts = np.zeros(size + 1, dtype=np.int64)
-    for r in cut.groupBy("length").count().collect():  # at most `size` rows
-        counts[r["length"]] = r["count"]
-    runs = spark.createDataFrame(slots(plan(counts, size)) if counts.any() else [], "run_length long, first long, stop long, per long, sequence long, place long")
-    ranked = common.gapless_rank(cut, ["length"], ["doc_id", "piece", "ids_crc32", "start"], "rank")
-    inside = (F.col("length") == F.col("run_length")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("stop"))
-    along = F.col("rank") - F.col("first")
-    # runs: at most rounds + lengths configurations of a few dozen lengths each, whatever the size of the corpus
-    return ranked.join(F.broadcast(runs), inside).select(
-        "doc_id", "piece", "start", "length", "ids_crc32",
-        (F.col("sequence") + F.floor(along / F.col("per"))).cast("long").alias("sequence_id"),
-        (F.col("place") + (along % F.col("per")) * F.col("length")).cast("long").alias("offset"),
-    )
+    with common.Scratch(docs.sparkSession) as scratch:
+        spark = docs.sparkSession
+        cut = common.written(pieces(docs, size, path), "pieces")
+        counts = np.zeros(size + 1, dtype=np.int64)
+        for r in cut.groupBy("length").count().collect():  # at most `size` rows
+            counts[r["length"]] = r["count"]
+        runs = spark.createDataFrame(slots(plan(counts, size)) if counts.any() else [], "run_length long, first long, stop long, per long, sequence long, place long")
+        ranked = common.gapless_rank(cut, ["length"], ["doc_id", "piece", "ids_crc32", "start"], "rank")
+        inside = (F.col("length") == F.col("run_length")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("stop"))
+        along = F.col("rank") - F.col("first")
+        # runs: at most rounds + lengths configurations of a few dozen lengths each, whatever the size of the corpus
+        placed = ranked.join(F.broadcast(runs), inside).select(
+            "doc_id", "piece", "start", "length", "ids_crc32",
+            (F.col("sequence") + F.floor(along / F.col("per"))).cast("long").alias("sequence_id"),
+            (F.col("place") + (along % F.col("per")) * F.col("length")).cast("long").alias("offset"),
+        )
+        return scratch.keep(common.written(placed, "packed"))

@@ -186,9 +186,10 @@ def nearest(measured: DataFrame, refs: list[tuple[set[str], np.ndarray, np.ndarr
 
 def judged(docs: DataFrame, most: float = MAX_DISTANCE, chance: float = CHANCE, least_words: int = MIN_WORDS) -> DataFrame:
     """A row for each document: counts, base_failed, distance (null under the minimum length) and kept."""
-    measured = common.written(measures(docs), "quality-measures")
-    refs = blends(references(measured).orderBy("lang").collect())  # at most a row per word list
-    df = nearest(measured, refs).withColumn("distance", F.when(F.col("n_words") >= least_words, F.col("distance")))
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    kept = F.when(failed, F.lit(False)).otherwise(F.coalesce(F.col("distance") <= most + chance / F.sqrt("n_words"), F.lit(True)))
-    return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), kept.alias("kept"), "distance")
+    with common.Scratch(docs.sparkSession) as scratch:
+        measured = common.written(measures(docs), "quality-measures")
+        refs = blends(references(measured).orderBy("lang").collect())  # at most a row per word list
+        df = nearest(measured, refs).withColumn("distance", F.when(F.col("n_words") >= least_words, F.col("distance")))
+        failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+        kept = F.when(failed, F.lit(False)).otherwise(F.coalesce(F.col("distance") <= most + chance / F.sqrt("n_words"), F.lit(True)))
+        return scratch.keep(common.written(df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), kept.alias("kept"), "distance"), "verdicts"))

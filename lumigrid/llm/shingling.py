@@ -17,13 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumigrid.llm import common
-from lumigrid.llm.compact import packed, squeezed, stretched, unpacked
+from lumigrid.llm.compact import packed, sorted_places, squeezed, stretched, unpacked
 
 WORDS = 5
 #: Two sets link when PER * intersection >= LEAST * union.
 LEAST, PER = 75, 100
 #: Shingles of a block; sets of a block (places are 16 bits); characters of text behind a range of hashes.
-BLOCK, BLOCK_SETS, RANGE_CHARS = 1_500_000, 1 << 16, 8_000_000
+BLOCK, BLOCK_SETS, RANGE_CHARS = 1_000_000, 1 << 16, 8_000_000
 #: Bytes of text that are hashed at once.
 SLICE = 1 << 16
 #: Bits of a set's parity map.
@@ -168,8 +168,8 @@ def pieces(base: DataFrame, bits: int) -> DataFrame:
             values = list(sets.values())
             sizes = np.array([len(s) for s in values], dtype=np.int64)
             every, place = np.concatenate([np.empty(0, dtype=_U), *values]), np.repeat(np.arange(len(values)), sizes)
-            order = np.argsort(every, kind="stable")
-            every, place = every[order], place[order].astype("<u2")
+            every, order = sorted_places(every, 64)
+            place = place[order].astype("<u2")
             new = np.concatenate([[True], every[1:] != every[:-1]])[: len(every)]
             times = np.diff(np.append(np.flatnonzero(new), len(every)))
             single = np.repeat(times == 1, times)
@@ -190,7 +190,7 @@ def pieces(base: DataFrame, bits: int) -> DataFrame:
             return _table(rows, PIECES)
 
         docs, sets, size = [], {}, 0
-        for b in batches:
+        for b in common.sliced(batches):
             for doc_id, key, s in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), sets_of(b.column(1).to_pylist()), strict=True):
                 place = None
                 if len(s):
@@ -222,8 +222,7 @@ def answers(found: DataFrame, bits: int) -> DataFrame:
         many = [stretched(r["many"], base) for r in rows]
         every = np.concatenate([*once, *many])
         weight = np.concatenate([np.ones(sum(map(len, once)), dtype=np.int64), *[unpacked(r["times"]) for r in rows]])
-        order = np.argsort(every, kind="stable")
-        sorted_ = every[order]
+        sorted_, order = sorted_places(every - _U(base), 64 - bits)
         new = np.concatenate([[True], sorted_[1:] != sorted_[:-1]])[: len(every)]
         heads = np.flatnonzero(new)
         sums = np.add.reduceat(weight[order], heads) if len(heads) else weight

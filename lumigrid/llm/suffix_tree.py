@@ -284,16 +284,14 @@ def scored(told: DataFrame, answers: DataFrame, bits: int, ranges: int, tokens:
 
 def score(docs: DataFrame) -> DataFrame:
     """A row for each document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    held = F.coalesce(common.crc_mod("doc_id", 7) == 2, F.lit(False))
-    told = common.bucketed(blocks(common.corpus(docs).select("doc_id", "text", held.alias("held"))), "blocks", "block")
-    sums = told.agg(F.sum("train"), F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda acc, x: acc + x))).first()
-    tokens, every = sums[0] or 0, sums[1] or 0
-    bits = min(64, max(32, (every * DEPTH).bit_length() + SPARE))
-    ranges = min(20, max(6, (every * (DEPTH + 1) // RANGE).bit_length()))
-    counts = common.written(answered(counted(told, bits, ranges), bits, ranges, 0), "gram-counts")
-    distinct = counts.agg(F.sum("distinct")).first()[0] or 0
-    flags = common.written(answered(gained(told, counts, bits, ranges, tokens, distinct), bits, ranges, 1), "contexts")
-    out = common.written(scored(told, counts.unionByName(flags), bits, ranges, tokens, distinct), "scores")
-    for table in (told, counts, flags):
-        common.dropped(table)
-    return out
+    with common.Scratch(docs.sparkSession) as scratch:
+        held = F.coalesce(common.crc_mod("doc_id", 7) == 2, F.lit(False))
+        told = common.bucketed(blocks(common.corpus(docs).select("doc_id", "text", held.alias("held"))), "blocks", "block")
+        sums = told.agg(F.sum("train"), F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda acc, x: acc + x))).first()
+        tokens, every = sums[0] or 0, sums[1] or 0
+        bits = min(64, max(32, (every * DEPTH).bit_length() + SPARE))
+        ranges = min(20, max(6, (every * (DEPTH + 1) // RANGE).bit_length()))
+        counts = common.written(answered(counted(told, bits, ranges), bits, ranges, 0), "gram-counts")
+        distinct = counts.agg(F.sum("distinct")).first()[0] or 0
+        flags = common.written(answered(gained(told, counts, bits, ranges, tokens, distinct), bits, ranges, 1), "contexts")
+        return scratch.keep(common.written(scored(told, counts.unionByName(flags), bits, ranges, tokens, distinct), "scores"))

@@ -14,11 +14,13 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -48,31 +50,32 @@ def fit(texts: list[str], labels: list[int], steps: int = 300, rate: float = 0.2
     """Weights by feature and the bias, from documents and their labels."""
     # sentences become sorted numbers of distinct words at once, so that no text stays in memory as strings
     number: dict[str, int] = {}
-    said, ends, doc_of, y = [], [0], [], np.array(labels, dtype=float)
+    said, sizes, doc_of, y = array("i"), array("i"), array("i"), np.array(labels, dtype=float)
     for d, t in enumerate(texts):
         for s in sentences(t):
-            ids = np.fromiter({number.setdefault(w, len(number)) for w in WORD.findall(s.lower())}, dtype=np.int32)
-            said.append(ids)
-            ends.append(ends[-1] + len(ids))
+            ids = {number.setdefault(w, len(number)) for w in WORD.findall(s.lower())}
+            said.extend(ids)
+            sizes.append(len(ids))
             doc_of.append(d)
-    if not said or y.min() == y.max():
+    if not len(doc_of) or y.min() == y.max():
         return {"bias": -3.0, "weights": {}}
-    flat, doc_a = np.concatenate(said), np.array(doc_of, dtype=np.int32)
-    sentence = np.repeat(np.arange(len(doc_a), dtype=np.int32), np.diff(ends))
-    del said
-    # each word's features, and how many documents, and toxic ones, have each feature
-    names: dict[str, int] = {}
-    of_word = [[names.setdefault(f, len(names)) for f in features(w)] for w in number]
-    counts = np.array([len(x) for x in of_word], dtype=np.int32)
-    first, every = np.concatenate([[0], np.cumsum(counts)])[:-1], np.fromiter((i for x in of_word for i in x), dtype=np.int32)
-    del of_word
-    pairs = np.unique(doc_a[sentence].astype(np.int64) * len(number) + flat)
-    docs_, words_ = pairs // len(number), pairs % len(number)
-    reach = np.repeat(docs_, counts[words_]) * len(names) + every[_spread(first[words_], counts[words_])]
-    reach = np.unique(reach)
-    seen = np.bincount(reach % len(names), minlength=len(names))
-    held = np.bincount(reach % len(names), weights=y[reach // len(names)], minlength=len(names))
-    del pairs, docs_, words_, reach
+    flat, doc_a = np.frombuffer(said, dtype=np.int32), np.frombuffer(doc_of, dtype=np.int32)
+    sentence = np.repeat(np.arange(len(doc_a), dtype=np.int32), np.frombuffer(sizes, dtype=np.int32))
+    # each word's features, by hash, and how many documents, and toxic ones, have each feature
+    counts = np.fromiter((len(features(w)) for w in number), dtype=np.int32, count=len(number))
+    hashes = np.fromiter((xxhash.xxh64_intdigest(f) for w in number for f in features(w)), dtype=np.uint64, count=int(counts.sum()))
+    names, every = np.unique(hashes, return_inverse=True)
+    first, every = np.concatenate([[0], np.cumsum(counts)])[:-1], every.astype(np.int32)
+    del hashes
+    seen, held, doc_of_token = np.zeros(len(names)), np.zeros(len(names)), doc_a[sentence]
+    for d in range(0, len(y), 500):  # a few documents at a time
+        a, z = np.searchsorted(doc_of_token, (d, d + 500))
+        pairs = np.unique(doc_of_token[a:z].astype(np.int64) * len(number) + flat[a:z])
+        docs_, words_ = pairs // len(number), pairs % len(number)
+        reach = np.unique(np.repeat(docs_, counts[words_]) * len(names) + every[_spread(first[words_], counts[words_])])
+        seen += np.bincount(reach % len(names), minlength=len(names))
+        held += np.bincount(reach % len(names), weights=y[reach // len(names)], minlength=len(names))
+    del doc_of_token
     # features are kept by how far their presence moves the odds of the label, in standard errors or so
     prior = y.mean()
     shift = np.where(seen >= least, np.abs(held - prior * seen) / np.sqrt(prior * seen + 1), -1.0)
@@ -80,8 +83,9 @@ def fit(texts: list[str], labels: list[int], steps: int = 300, rate: float = 0.2
     best = best[shift[best] > 0]
     index = np.full(len(names), -1, dtype=np.int32)
     index[best] = np.arange(len(best))
-    label_of = list(names)
-    names = [label_of[i] for i in best]
+    place = {int(names[b]): i for i, b in enumerate(best)}
+    label = {place[h]: f for w in number for f in features(w) if (h := xxhash.xxh64_intdigest(f)) in place}
+    names = [label[i] for i in range(len(best))]
     cols_a = index[every[_spread(first[flat], counts[flat])]]
     rows = np.repeat(sentence, counts[flat])
     rows, cols_a = rows[cols_a >= 0], cols_a[cols_a >= 0]
@@ -135,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
 class Scorer:
     """Scores texts; keeps what it has worked out by word, up to a bound."""
 
-    def __init__(self, model: dict, bound: int = 500_000):
+    def __init__(self, model: dict, bound: int = 200_000):
         self.weights, self.bias, self.bound, self.by_word = model["weights"], model["bias"], bound, {}
 
     def word(self, w: str) -> float:
@@ -163,13 +167,14 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     """(doc_id, score, worst int, worst_score), a row for each document."""
     said = json.dumps(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(json.loads(said))
-        for b in batches:
-            rows = [scorer.document(t) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "score": [r[0] for r in rows], "worst": [r[1] for r in rows], "worst_score": [r[2] for r in rows]})
+        for b in common.sliced(batches):
+            score_, worst, of = zip(*[scorer.document(t) for t in b.column(1).to_pylist()], strict=True)
+            cols = [b.column(0), pa.array(score_, pa.float64()), pa.array(worst, pa.int32()), pa.array(of, pa.float64())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "score", "worst", "worst_score"])
 
-    return common.corpus(docs).mapInPandas(run, "doc_id long, score double, worst int, worst_score double")
+    return common.corpus(docs).mapInArrow(run, "doc_id long, score double, worst int, worst_score double")
 
 
 def offending(docs: DataFrame, model: dict, least: float = 0.5) -> DataFrame:
@@ -196,10 +201,11 @@ def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, all columns, that are not predicted toxic. Scores are computed beside the rows, in the pass that filters."""
     said = json.dumps(train(docs, labels))
 
-    @F.pandas_udf("double")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(json.loads(said))
         for texts in batches:
-            yield pd.Series([scorer.document(t)[0] for t in texts], dtype=float)
+            yield pa.array([scorer.document(t)[0] for at in range(0, len(texts), 256) for t in texts.slice(at, 256).to_pylist()], pa.float64())
+            pa.default_memory_pool().release_unused()
 
     return docs.where(scored(F.coalesce("text", F.lit(""))) < THRESHOLD)
