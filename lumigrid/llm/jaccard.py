@@ -32,7 +32,7 @@ from lumigrid.llm.shingling import LEAST, PER, shared_sets
 #: Fragments of the global order: by powers of two of how many sets hold a shingle.
 FRAGMENTS = 8
 #: How often each class meets a hub, and then a class that shares some of its difference from the hub.
-ROUNDS = 2
+ROUNDS, NEAR_ROUNDS = 2, 1
 
 
 def needed(na: Column, nb: Column) -> Column:
@@ -194,7 +194,7 @@ def linked_sets(sets: DataFrame) -> DataFrame:
     found = common.written(found.unionByName(near_hub), "links")
     roots = graph.components(found)
     rows = difference_buckets(apart, roots)
-    for seed in range(ROUNDS):
+    for seed in range(NEAR_ROUNDS):
         found = common.written(found.unionByName(verified(nearest(rows, seed), parts)), "links")
         roots = graph.components(found)
         rows = common.written(rooted(rows.drop("root"), roots, ["hub", "shingle"]), "difference-buckets")
@@ -204,20 +204,21 @@ def linked_sets(sets: DataFrame) -> DataFrame:
 
 def joined(docs: DataFrame) -> DataFrame:
     """A row for each document: doc_id, text_key, n_shingles, component_id, class_id (null for an empty set)."""
-    seen = shared_sets(docs)
-    sets = seen.where("items is not null").select("high", "low", "n", "items", "freqs", "parity").dropDuplicates(["high", "low"])
-    sets = common.written(sets.withColumn("set_id", F.monotonically_increasing_id()), "shared-sets")
-    roots = linked_sets(sets)
-    named = sets.select("set_id", "high", "low").join(roots, F.col("set_id") == F.col("node"), "left").select("high", "low", F.coalesce("root", "set_id").alias("root"))
-    rows = seen.where("items is null").select("doc_id", "text_key", "n", "high", "low")
-    firsts = rows.where("high is not null").groupBy("high", "low").agg(F.min("doc_id").alias("first"))
-    whole = firsts.join(named, ["high", "low"], "left")
-    heads = whole.where("root is not null").groupBy("root").agg(F.min("first").alias("head"))
-    ends = whole.join(heads, "root", "left").select(F.col("high").alias("__high"), F.col("low").alias("__low"), F.coalesce("head", "first").alias("head"))
-    out = rows.join(ends, (F.col("high") == F.col("__high")) & (F.col("low") == F.col("__low")), "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("head", "doc_id"))
-    name = F.concat(F.lpad(F.hex("high"), 16, "0"), F.lpad(F.hex("low"), 16, "0"))
-    return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), component.alias("component_id"), name.alias("class_id"))
+    with common.Scratch(docs.sparkSession) as scratch:
+        seen = shared_sets(docs)
+        sets = seen.where("items is not null").select("high", "low", "n", "items", "freqs", "parity").dropDuplicates(["high", "low"])
+        sets = common.written(sets.withColumn("set_id", F.monotonically_increasing_id()), "shared-sets")
+        roots = linked_sets(sets)
+        named = sets.select("set_id", "high", "low").join(roots, F.col("set_id") == F.col("node"), "left").select("high", "low", F.coalesce("root", "set_id").alias("root"))
+        rows = seen.where("items is null").select("doc_id", "text_key", "n", "high", "low")
+        firsts = rows.where("high is not null").groupBy("high", "low").agg(F.min("doc_id").alias("first"))
+        whole = firsts.join(named, ["high", "low"], "left")
+        heads = whole.where("root is not null").groupBy("root").agg(F.min("first").alias("head"))
+        ends = whole.join(heads, "root", "left").select(F.col("high").alias("__high"), F.col("low").alias("__low"), F.coalesce("head", "first").alias("head"))
+        out = rows.join(ends, (F.col("high") == F.col("__high")) & (F.col("low") == F.col("__low")), "left")
+        component = F.when(F.col("doc_id").isNotNull(), F.coalesce("head", "doc_id"))
+        name = F.concat(F.lpad(F.hex("high"), 16, "0"), F.lpad(F.hex("low"), 16, "0"))
+        return scratch.keep(common.written(out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), component.alias("component_id"), name.alias("class_id")), "components"))
 
 
 def linked(docs: DataFrame) -> DataFrame:
