@@ -33,7 +33,7 @@ from lumigrid.llm import common
 
 SIZE, END_ID = 2048, 0
 #: Words whose ids a Python worker keeps at most.
-MAX_WORDS = 1_000_000
+MAX_WORDS = 350_000
 #: The program ends this close to its lower bound; prices fall by exp(-RATE) until a length is covered.
 GAP, RATE = 0.01, 2.0
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
