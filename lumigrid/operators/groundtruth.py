@@ -10,12 +10,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumigrid.functions import names, vectors
-from lumigrid.operators import products
+from lumigrid.operators import pivots, products
+
+#: Up to so many blocks all meet all, which takes fewer steps.
+PRUNED = 8
+
 
 def neighbours(df: DataFrame, id_col: str, vector: str, k: int = 20, size: int = products.SIZE) -> DataFrame:
     """(q, c, rank, sim): each row's k nearest rows by cosine, itself included; sims are rounded to 6 places and ties go
-    to the lower id. Blocks of rows meet, and each task keeps the k best of its queries."""
-    rows = df.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector).alias("v"))
+    to the lower id. Blocks of rows meet, and each task keeps the k best of its queries; beyond PRUNED blocks only those
+    that can hold a neighbour do."""
+    rows = df.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    n = products.count_of(rows.count(), size)
+    if n > PRUNED:
+        return pivots.neighbours(rows, n, k, size)
     blocks, n = products.packed(rows, {"v": F.col("v").cast("array<double>")}, size)
     return products.met(
         blocks, n, lambda q: products.Best(len(q["id"]), k),

@@ -1,8 +1,9 @@
 """Every row against every row, block by block: exact ranks and histograms without a row for each pair.
 
-Rows are packed into blocks of NumPy arrays. Each block is sent to every block's task, which holds one block of queries,
-meets the others one after the other, and keeps what a query needs: its best candidates or counts of rounded scores.
-An exact product has as many block pairs; a task holds two blocks and its sums, whatever the number of rows.
+Rows are packed into blocks of NumPy arrays. Each block is sent to every task, which holds a few blocks of queries, meets
+the others one after the other, and keeps what a query needs: its best candidates or counts of rounded scores. An exact
+product has as many block pairs; a task holds its blocks, one more and its sums, whatever the number of rows. Nearest
+neighbours need not meet all: operators.pivots leaves out pairs of blocks that can't hold any.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a block at most, and the blocks that smaller inputs are cut into so that several tasks share them.
 SIZE, SPREAD, FEWEST = 2048, 8, 128
+#: Blocks of queries that a task holds at most, and how many tasks there are before any holds more than one.
+HELD, TASKS = 8, 64
 TINY = 1e-7
 MAX_COLOR = math.sqrt(255 * 255 * 3)
 
@@ -63,30 +66,48 @@ def packed(df: DataFrame, columns: dict[str, Column], size: int = SIZE) -> tuple
 
 
 def met(blocks: DataFrame, n: int, begin: Callable[[Arrays], object], meet: Callable[[object, Arrays, Arrays], object], finish: Callable[[object, Arrays], dict], schema: str) -> DataFrame:
-    """finish(sums, queries) of each block of queries, after meet(sums, queries, candidates) with every block, its own first."""
+    """finish(sums, queries) of each block of queries, after meet(sums, queries, candidates) with every block, its own first.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, queries, sums = None, None, None
-        names = [x.split()[0] for x in schema.split(", ")]
+    A task holds up to HELD blocks of queries, so a block is sent to n / HELD tasks."""
+    groups = max(1, min(n, max(TASKS, -(-n // HELD))))
+    names = [x.split()[0] for x in schema.split(", ")]
 
-        def ended() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({n: finish_[n] for n in names}) if (finish_ := finish(sums, queries)) else None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, sums = None, [], []
+
+        def own() -> None:
+            for i, q in enumerate(held):
+                sums.append(meet(begin(q), q, q))
+                for j, c in enumerate(held):
+                    if i != j:
+                        sums[i] = meet(sums[i], q, c)
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            if len(sums) < len(held):
+                own()
+            for s, q in zip(sums, held, strict=True):
+                got = finish(s, q)
+                yield pa.RecordBatch.from_pydict({x: got[x] for x in names})
 
         for batch in batches:
             for r in range(batch.num_rows):
-                at, payload = batch.column(0)[r].as_py(), batch.column(2)[r].as_py()
-                with np.load(io.BytesIO(payload)) as held:
-                    arrays = dict(held)
+                at, block, payload = (batch.column(i)[r].as_py() for i in range(3))
+                with np.load(io.BytesIO(payload)) as stored:
+                    arrays = dict(stored)
                 if at != now:
-                    if now is not None:
-                        yield ended()
-                    now, queries, sums = at, arrays, begin(arrays)
-                sums = meet(sums, queries, arrays)
-        if now is not None:
-            yield ended()
-
-    each = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("at"), "block", "payload")
-    own_first = each.repartition(n, "at").sortWithinPartitions("at", F.col("block") != F.col("at"), "block")
+                    yield from ended()
+                    now, held, sums = at, [], []
+                if block % groups == at:
+                    held.append(arrays)
+                    continue
+                if not sums:
+                    own()
+                for i, q in enumerate(held):
+                    sums[i] = meet(sums[i], q, arrays)
+        yield from ended()
+
+    each = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("at"), "block", "payload")
+    own_first = each.repartition(groups, "at").sortWithinPartitions("at", F.col("block") % groups != F.col("at"), "block")
     return own_first.mapInArrow(run, schema)
 
 

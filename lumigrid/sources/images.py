@@ -12,9 +12,12 @@ from pyspark.sql import types as T
 
 from lumigrid.functions import extractors as X
 from lumigrid.functions import names
+from lumigrid.sources import asking
 
 #: Images handled together: a decoded image is large, so batches are short.
 BATCH = 32
+#: Fixed value: height and width of a stored upload.
+STANDARD = (2160, 3840)
 
 
 def files(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
@@ -39,16 +42,19 @@ def array_of(height: int, width: int, channels: int, data: bytes) -> np.ndarray:
 
 
 def extracted(images: DataFrame, features: tuple[str, ...] = tuple(X.EXTRACTORS), scale: int = 6) -> DataFrame:
-    """(origin, <feature> ..., error): features of decoded images, each image reduced to 1 / scale of its sides first.
+    """(origin, <feature> ..., error) and any other columns of images: features of decoded images, each image reduced to
+    1 / scale of its sides first.
 
     Only the named extractors run. A failing image has its error and null features; the others go on."""
     fields = [T.StructField("origin", T.StringType())] + [T.StructField(f, T.ArrayType(T.FloatType())) for f in features] + [T.StructField("error", T.StringType())]
+    others = [f for f in images.schema.fields if f.name not in ("origin", "height", "width", "channels", "data", "mode")]
+    fields += others
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for r in b.itertuples(index=False):
-                row = {"origin": r.origin, "error": None} | dict.fromkeys(features)
+                row = {"origin": r.origin, "error": None} | dict.fromkeys(features) | {f.name: getattr(r, f.name) for f in others}
                 try:
                     img = array_of(r.height, r.width, r.channels, r.data)
                     small = X.resized(img, max(1, img.shape[0] // scale), max(1, img.shape[1] // scale))
@@ -73,19 +79,31 @@ def standardized(images: DataFrame, height: int = 2160, width: int = 3840) -> Da
     return images.mapInPandas(run, "origin string, height int, width int, channels int, data binary")
 
 
-def analysed(images: DataFrame, provider: Callable[[list[str]], list[dict]], batch: int = BATCH) -> DataFrame:
-    """(file_name, category, description, entities, error) from a provider that takes file names; a failing batch gives
-    the sentinel rows of an unknown analysis, with the error."""
+def analysed(images: DataFrame, provider: Callable[[list[str]], list[dict]], batch: int = BATCH, concurrency: int = asking.CONCURRENCY, timeout: float = asking.TIMEOUT, attempts: int = 2) -> DataFrame:
+    """(file_name, category, description, entities, error) from a provider that takes file names: requests of `batch` names,
+    many at a time, each within `timeout` seconds. The names of a request that fails are asked one by one; what fails alone
+    has the sentinels of an unknown analysis, with the error."""
+    columns = ["file_name", "category", "description", "entities", "error"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def ask(names_: list[str]) -> list[dict]:
+            said = list(provider(names_))
+            if len(said) != len(names_):
+                raise ValueError(f"{len(said)} answers to {len(names_)} files")
+            return said
+
         for b in batches:
-            for at in range(0, len(b), batch):
-                asked = list(b["file_name"].iloc[at : at + batch])
-                try:
-                    said = [{"error": None} | x for x in provider(asked)]
-                except Exception as e:
-                    said = [{"category": "Error", "description": "Error", "entities": [], "error": str(e)}] * len(asked)
-                yield pd.DataFrame([{"file_name": n, **x} for n, x in zip(asked, said, strict=True)], columns=["file_name", "category", "description", "entities", "error"])
+            requests = [list(b["file_name"].iloc[at : at + batch]) for at in range(0, len(b), batch)]
+            first = asking.answers(ask, requests, concurrency, timeout, 1 if batch > 1 else attempts)
+            got = {i: said for i, (said, error) in enumerate(first) if error is None}
+            again = [(i, n) for i, (_, error) in enumerate(first) if error is not None for n in requests[i]]
+            alone = iter(asking.answers(ask, [[n] for _, n in again], concurrency, timeout, attempts) if batch > 1 else [first[i] for i, _ in again])
+            rows = []
+            for i, names_ in enumerate(requests):
+                for k, name in enumerate(names_):
+                    said, error = (got[i][k : k + 1], None) if i in got else next(alone)
+                    rows.append({"file_name": name, "error": None} | said[0] if error is None else {"file_name": name, "category": "Error", "description": "Error", "entities": [], "error": str(error)})
+            yield pd.DataFrame(rows, columns=columns)
 
     return images.select("file_name").mapInPandas(run, "file_name string, category string, description string, entities array<string>, error string")
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where driver and executors are one process and the session names no folder (tests, a laptop).
 LOCAL = "/tmp/checkpoints/lumigrid"
@@ -17,3 +19,10 @@ def folder(spark: SparkSession) -> str:
     if not master.startswith("local") or master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return LOCAL
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: what follows doesn't work it out again, and a lost executor costs its tasks."""
+    path = f"{folder(df.sparkSession)}/lumigrid/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
