@@ -17,8 +17,9 @@ from lumigrid.operators import products
 
 #: Scores of pairs are compared at this many places.
 PLACES = 4
-#: Queries of a block whose scores are counted: each has a count for each distinct score.
-COUNTED = 512
+#: Queries of a block whose scores are counted, at most, and entries that a block may hold: each query has a count for each
+#: distinct score, so for as many as all rows.
+COUNTED, ENTRIES = 512, 20_000_000
 
 
 def ranked(pairs: DataFrame) -> DataFrame:
@@ -130,7 +131,8 @@ def top_ranks(rows: DataFrame, columns: dict[str, Column], score: Score, k: int,
 
 def _counted(rows: DataFrame, columns: dict[str, Column], score: Score, finish: Callable, schema: str, places: int, size: int) -> DataFrame:
     """finish(queries, query, score, relevant, all) of a block's counts by query (its number) and score, best scores first."""
-    blocks, n = _labelled(rows, columns, size)
+    most = min(rows.count(), 2 * 10**places * 64)  # distinct scores of a query
+    blocks, n = _labelled(rows, columns, max(16, min(size, ENTRIES // max(1, most))))
     wide = 2 * 10**places * 64  # scores reach from -64 to 64
 
     def merged(code: np.ndarray, yy: np.ndarray, every: np.ndarray) -> tuple:
@@ -149,7 +151,7 @@ def _counted(rows: DataFrame, columns: dict[str, Column], score: Score, finish:
         code, yy, every = sums
         return finish(q, code // wide, (wide // 2 - code % wide) / 10.0**places + 0.0, yy, every)
 
-    return products.met(blocks, n, lambda q: tuple(np.empty(0, dtype=np.int64) for _ in range(3)), meet, end, schema)
+    return products.met(blocks, n, lambda q: tuple(np.empty(0, dtype=np.int64) for _ in range(3)), meet, end, schema, most=1)
 
 
 def _running(query: np.ndarray, x: np.ndarray) -> np.ndarray:

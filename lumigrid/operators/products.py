@@ -65,11 +65,11 @@ def packed(df: DataFrame, columns: dict[str, Column], size: int = SIZE) -> tuple
     return dealt.groupBy("block").applyInPandas(pack, "block int, payload binary"), n
 
 
-def met(blocks: DataFrame, n: int, begin: Callable[[Arrays], object], meet: Callable[[object, Arrays, Arrays], object], finish: Callable[[object, Arrays], dict], schema: str) -> DataFrame:
+def met(blocks: DataFrame, n: int, begin: Callable[[Arrays], object], meet: Callable[[object, Arrays, Arrays], object], finish: Callable[[object, Arrays], dict], schema: str, most: int | None = None) -> DataFrame:
     """finish(sums, queries) of each block of queries, after meet(sums, queries, candidates) with every block, its own first.
 
-    A task holds up to HELD blocks of queries, so a block is sent to n / HELD tasks."""
-    groups = max(1, min(n, max(TASKS, -(-n // HELD))))
+    A task holds up to HELD blocks of queries (or `most`), so a block is sent to n / HELD tasks."""
+    groups = max(1, min(n, max(TASKS, -(-n // (most or HELD)))))
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

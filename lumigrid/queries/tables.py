@@ -12,6 +12,9 @@ from lumigrid.queries.base import CORPUS, query
 
 _ok = "len(dreamsim_vector) > 0 AND len(list_filter(dreamsim_vector, lambda x: x <> 0)) > 0"
 
+#: Parts that a hot label's or entity's rows are dealt over in a join.
+SALTS = 16
+
 
 @query("scan_newest", "SELECT id, file_name, created_at FROM corpus ORDER BY created_at DESC, id LIMIT 50 OFFSET 20", CORPUS)
 def scan_newest(spark, sf_dir):
@@ -216,11 +219,14 @@ def join_basename_row(spark, sf_dir):
     return p.groupBy("name").agg(F.max_by("page_id", "page_id").alias("page_id"))
 
 
-@query("join_same_label", "SELECT a.id AS i, b.id AS j FROM corpus a JOIN corpus b ON a.label = b.label AND a.id <> b.id", CORPUS)
+@query("join_same_label", "SELECT a.id AS i, b.id AS j FROM corpus a JOIN corpus b ON a.label = b.label AND a.id <> b.id WHERE a.id % 100 = 0", CORPUS)
 def join_same_label(spark, sf_dir):
+    """Every hundredth row against all rows of its label; a label's rows are dealt over SALTS, and the asking rows go to each."""
     c = corpus(spark, sf_dir).select("id", "label")
-    a, b = c.alias("a"), c.alias("b")
-    return a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.id") != F.col("b.id"))).select(F.col("a.id").alias("i"), F.col("b.id").alias("j"))
+    a = c.where("id % 100 = 0").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).alias("a")
+    b = c.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).alias("b")
+    same = (F.col("a.label") == F.col("b.label")) & (F.col("a.salt") == F.col("b.salt")) & (F.col("a.id") != F.col("b.id"))
+    return a.join(b, same).select(F.col("a.id").alias("i"), F.col("b.id").alias("j"))
 
 
 @query("join_by_row_key", "SELECT c.id, c.brightness, v.dim FROM corpus c JOIN (SELECT id, len(hog_vector)::BIGINT AS dim FROM corpus) v ON c.id = v.id", CORPUS)
@@ -236,11 +242,16 @@ def set_distinct_images(spark, sf_dir):
     return per.select(F.explode("images").alias("image")).distinct().agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("set_entity_overlap", "SELECT a.id AS i, b.id AS j, len(list_intersect(list_distinct(a.entities), list_distinct(b.entities)))::BIGINT AS shared, (len(list_distinct(a.entities)) + len(list_distinct(b.entities)) - len(list_intersect(list_distinct(a.entities), list_distinct(b.entities))))::BIGINT AS either FROM corpus a, corpus b WHERE a.id IN (1, 2, 3) AND a.entities IS NOT NULL AND b.entities IS NOT NULL", CORPUS)
+@query("set_entity_overlap", "SELECT * FROM (SELECT a.id AS i, b.id AS j, len(list_intersect(list_distinct(a.entities), list_distinct(b.entities)))::BIGINT AS shared, (len(list_distinct(a.entities)) + len(list_distinct(b.entities)) - len(list_intersect(list_distinct(a.entities), list_distinct(b.entities))))::BIGINT AS either FROM corpus a, corpus b WHERE a.id % 100 = 0 AND a.entities IS NOT NULL AND b.entities IS NOT NULL) WHERE shared > 0", CORPUS)
 def set_entity_overlap(spark, sf_dir):
+    """Every hundredth row against all rows that share an entity with it: rows meet by entity, whose rows are dealt over SALTS."""
     c = corpus(spark, sf_dir).where("entities is not null").select("id", F.array_distinct("entities").alias("e"))
-    shared = F.size(F.array_intersect("a.e", "b.e"))
-    return c.alias("b").join(F.broadcast(c.where("id in (1, 2, 3)").alias("a")), F.lit(True)).select(F.col("a.id").alias("i"), F.col("b.id").alias("j"), shared.cast("long").alias("shared"), (F.size("a.e") + F.size("b.e") - shared).cast("long").alias("either"))
+    each = c.select("id", F.size("e").alias("n"), F.explode("e").alias("entity"))
+    a = each.where("id % 100 = 0").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).alias("a")
+    b = each.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).alias("b")
+    met = a.join(b, (F.col("a.entity") == F.col("b.entity")) & (F.col("a.salt") == F.col("b.salt")))
+    shared = met.groupBy(F.col("a.id").alias("i"), F.col("b.id").alias("j")).agg(F.count(F.lit(1)).alias("shared"), (F.first("a.n") + F.first("b.n")).alias("both"))
+    return shared.select("i", "j", "shared", (F.col("both") - F.col("shared")).cast("long").alias("either"))
 
 
 @query("set_difference", "SELECT p_partkey FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 45")
