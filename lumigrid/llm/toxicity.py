@@ -4,10 +4,13 @@ A document is a bag of sentences; a sentence is toxic with probability sigmoid(b
 document with the noisy-or 1 - prod(1 - p). Only document labels are given: weights follow the gradient of the
 document likelihood, which hands each sentence its share of the blame, so the trained model also says which sentence
 offends. Training takes a bounded sample of the labelled rows (MAX_TRAIN, by hash order of the id); scoring is one
-pass over all texts with the learned weights, whose number is bounded by MAX_FEATURES, sent to each task.
+pass over all texts with the learned weights, whose number is bounded by MAX_FEATURES, sent to each task. How many features
+are learnt and how fast their weights decay is chosen on training documents that are held back.
 
 Defined results: null and empty texts have no sentence, so the score is that of the bias alone; without usable labels
-every weight is 0 and every score the prior's; repeated rows score alike; an empty table gives an empty result.
+every weight is 0 and every score the prior's; repeated rows score alike; very long texts are scored whole, and learnt from
+up to MAX_TEXT_CHARS; rows with a null id are not held out; features that tie keep the order of their hashes; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,6 +35,9 @@ MAX_TRAIN = 8_000
 MAX_TRAIN_CHARS = 40_000_000
 MAX_TEXT_CHARS = 1_000_000
 MAX_FEATURES = 4_000
+#: What tuned() chooses from, numbers of features and decays; the documents it looks at, at most; its folds and steps.
+FEATURES, DECAYS = (100, 400, MAX_FEATURES), (1e-6, 1e-4)
+TUNED, FOLDS, TUNING_STEPS = 1_000, 3, 80
 THRESHOLD = 0.7
 SENTENCE = re.compile(r"[.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
@@ -46,7 +52,7 @@ def features(word: str) -> list[str]:
     return [word] + [word[:n] + "*" for n in (4, 5) if len(word) > n]
 
 
-def fit(texts: list[str], labels: list[int], steps: int = 300, rate: float = 0.2, decay: float = 1e-6, least: int = 5) -> dict:
+def fit(texts: list[str], labels: list[int], steps: int = 300, rate: float = 0.2, decay: float = 1e-6, least: int = 5, most: int = MAX_FEATURES) -> dict:
     """Weights by feature and the bias, from documents and their labels."""
     # sentences become sorted numbers of distinct words at once, so that no text stays in memory as strings
     number: dict[str, int] = {}
@@ -79,7 +85,7 @@ def fit(texts: list[str], labels: list[int], steps: int = 300, rate: float = 0.2
     # features are kept by how far their presence moves the odds of the label, in standard errors or so
     prior = y.mean()
     shift = np.where(seen >= least, np.abs(held - prior * seen) / np.sqrt(prior * seen + 1), -1.0)
-    best = np.argsort(-shift, kind="stable")[:MAX_FEATURES]
+    best = np.argsort(-shift, kind="stable")[:most]
     best = best[shift[best] > 0]
     index = np.full(len(names), -1, dtype=np.int32)
     index[best] = np.arange(len(best))
@@ -106,6 +112,28 @@ def fit(texts: list[str], labels: list[int], steps: int = 300, rate: float = 0.2
     return {"bias": float(b), "weights": {n: round(float(x), 5) for n, x in zip(names, w, strict=True) if abs(x) > 0.05}}
 
 
+def tuned(texts: list[str], labels: list[int]) -> dict:
+    """The number of features and the decay for fit() that decide best, by F1 at THRESHOLD and then by loss, on documents they
+    have not learnt from: each fold of the first TUNED documents is judged by what the others teach. Few documents need few
+    features."""
+    some = range(min(TUNED, len(texts)))
+    y = np.array([labels[i] for i in some])
+    found: dict[tuple[int, float], tuple[float, float]] = {}
+    for most in FEATURES:
+        for decay in DECAYS:
+            p = np.zeros(len(some))
+            for fold in range(FOLDS):
+                learn = [i for i in some if i % FOLDS != fold]
+                scorer = Scorer(fit([texts[i] for i in learn], [labels[i] for i in learn], TUNING_STEPS, decay=decay, most=most))
+                for i in some[fold::FOLDS]:
+                    p[i] = min(max(scorer.document(texts[i])[0], 1e-3), 1 - 1e-3)
+            hits = float(((p >= THRESHOLD) & (y > 0)).sum())
+            f1 = 2 * hits / max(1.0, float((p >= THRESHOLD).sum() + y.sum()))
+            found[most, decay] = (-f1, float(-np.log(np.where(y > 0, p, 1 - p)).sum()))
+    most, decay = min(found, key=found.get)
+    return {"most": most, "decay": decay}
+
+
 def _spread(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """first[0], first[0] + 1, ... (counts[0] of them), first[1], ..."""
     ends = np.cumsum(counts)
@@ -129,7 +157,8 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((hash_, text, int(label)) for b in batches for hash_, text, label in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True))
-        yield pa.RecordBatch.from_pydict({"model": [json.dumps(fit([r[1] for r in rows], [r[2] for r in rows]))]})
+        texts, said = [r[1] for r in rows], [r[2] for r in rows]
+        yield pa.RecordBatch.from_pydict({"model": [json.dumps(fit(texts, said, **tuned(texts, said)))]})
 
     sample = training_rows(docs, labels).select(F.xxhash64("doc_id").alias("h"), "text", "toxic")
     row = sample.repartition(1).mapInArrow(run, "model string").first()

@@ -8,6 +8,7 @@ import re
 import time
 import zipfile
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -121,6 +122,33 @@ def test_toxicity_learns_and_locates():
             assert any(w in toxicity.sentences(t)[scorer.document(t)[1]] for w in ("vilest", "rotten"))
 
 
+def test_toxicity_chooses_few_features_for_few_documents():
+    """Held-back documents decide: many random words, few labels, and what is chosen finds held-out documents."""
+    rng = np.random.default_rng(3)
+    texts, labels = [], []
+    for i in range(500):
+        said = [" ".join(f"w{x}ab" for x in rng.zipf(1.3, 12) % 5000) for _ in range(8)]
+        if i % 9 == 0:
+            said[int(rng.integers(0, 8))] += f" vilest{int(rng.integers(0, 3))} rotten"
+        texts.append(". ".join(said))
+        labels.append(int(i % 9 == 0))
+    choice = toxicity.tuned(texts[:250], labels[:250])
+    assert choice["most"] in toxicity.FEATURES and choice["decay"] in toxicity.DECAYS
+    scorer = toxicity.Scorer(toxicity.fit(texts[:250], labels[:250], **choice))
+    p, y = np.array([scorer.document(t)[0] for t in texts[250:]]) >= toxicity.THRESHOLD, np.array(labels[250:]) > 0
+    assert y[p].mean() >= 0.9 and p[y].mean() >= 0.8
+    assert toxicity.tuned([], []) and toxicity.tuned(["a"], [1])
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="no test tables")
+def test_toxicity_finds_held_out_documents_of_a_small_table(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where("toxic in (0, 1)").select("doc_id", "toxic")
+    got = toxicity.judged(spark.read.parquet(f"{sf}/documents.parquet"), labels).join(labels, "doc_id").where("held_out").collect()
+    said, true = np.array([r["predicted"] for r in got]) > 0, np.array([r["toxic"] for r in got]) > 0
+    assert true[said].mean() >= 0.8 and said[true].mean() >= 0.6
+
+
 def test_toxicity_edges(spark, docs, none):
     texts, labels = toxic_corpus(300)
     train = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
