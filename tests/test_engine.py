@@ -11,7 +11,7 @@ from lumigrid.functions import names, vectors
 from lumigrid.functions.registry import FEATURES, image_schema
 from lumigrid.operators import catalog, groundtruth, ingest, similarity
 from lumigrid.plans import weights as W
-from lumigrid.sources import images, json_maps, tables
+from lumigrid.sources import images, json_maps, snapshots, tables
 from lumigrid.streaming import ingest as stream
 
 
@@ -180,10 +180,32 @@ def test_tables_and_blobs(spark, tmp_path):
 
 
 def test_stream_ingest_is_idempotent(spark, tmp_path):
-    schema = "file_name string, file_hash string"
-    spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "2")], schema).coalesce(1).write.parquet(f"{tmp_path}/in")
-    for name in ("c1", "c2"):  # the second run sees all files anew
-        q = stream.run(stream.source(spark, f"{tmp_path}/in", schema), f"{tmp_path}/table", f"{tmp_path}/{name}")
+    schema, table = "file_name string, file_hash string", f"file://{tmp_path}/table"
+    spark.createDataFrame([("b", "1"), ("a", "1"), ("c", "2"), ("d", None), ("d", None)], schema).repartition(2).write.parquet(f"{tmp_path}/in")
+    for name in ("c1", "c2"):  # the second run sees all files anew, and the first one's keys
+        q = stream.run(stream.source(spark, f"{tmp_path}/in", schema), table, f"{tmp_path}/{name}")
         q.awaitTermination(120)
-    got = sorted(map(tuple, spark.read.parquet(f"{tmp_path}/table").collect()))
-    assert got == [("a", "1"), ("c", "2")]
+    got = snapshots.Snapshots(spark, table)
+    assert sorted(map(tuple, got.read().collect())) == [("a", "1"), ("c", "2"), ("d", "d")]
+    spark.createDataFrame([("e", "2"), ("f", "3")], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    q = stream.run(stream.source(spark, f"{tmp_path}/in", schema), table, f"{tmp_path}/c1")  # goes on where it stopped
+    q.awaitTermination(120)
+    assert sorted(map(tuple, got.read().collect())) == [("a", "1"), ("c", "2"), ("d", "d"), ("f", "3")]
+
+
+def test_a_micro_batch_reads_no_stored_row(spark, tmp_path):
+    schema, table = "file_name string, file_hash string", f"file://{tmp_path}/table"
+    kept = snapshots.Snapshots(spark, table)
+    kept.create(spark.createDataFrame([], schema).schema)
+    kept.append(spark.range(20_000).select(F.concat(F.lit("n"), "id").alias("file_name"), F.concat(F.lit("h"), "id").alias("file_hash")))
+    kept.append(spark.createDataFrame([("unhashed", None)], schema))
+    source = lambda: stream.source(spark, f"{tmp_path}/in", schema, 1)
+    spark.createDataFrame([("x", "h5"), ("unhashed", "new"), ("y", "fresh")], schema).coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream.run(source(), table, f"{tmp_path}/c").awaitTermination(120)
+    assert kept.read().count() == 20_002 and kept.read().where("file_hash = 'fresh'").count() == 1
+    for i in range(2):
+        spark.createDataFrame([(f"z{i}", f"z{i}"), (f"z{i}", "h7")], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    q = stream.run(source(), table, f"{tmp_path}/c")
+    q.awaitTermination(120)
+    read = [p["numInputRows"] for p in q.recentProgress if p["numInputRows"]]
+    assert kept.read().count() == 20_004 and read and max(read) <= 8, read  # its own rows, not the table's
