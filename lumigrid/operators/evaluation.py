@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumigrid.operators import products
+from lumigrid.operators.features import FeatureStore, label_columns
 
 #: Scores of pairs are compared at this many places.
 PLACES = 4
@@ -94,9 +95,11 @@ def mean_pr_curve(pairs: DataFrame, points: int = 100) -> DataFrame:
 # the same over all rows as queries and candidates: scores come from products of blocks, and no pair has a row
 
 
-def _labelled(rows: DataFrame, columns: dict[str, Column], size: int) -> tuple[DataFrame, int]:
-    """Blocks of rows (id, label and what columns need); a null label is relevant to none."""
-    return products.packed(rows, columns | {"label": F.coalesce(F.xxhash64("label"), F.lit(0)), "known": F.col("label").isNotNull()}, size)
+def _labelled(rows: DataFrame | FeatureStore, columns: dict[str, Column], size: int) -> tuple[DataFrame, int]:
+    """Blocks of rows (id, label and what columns need), or of a store that holds the columns; a null label is relevant to none."""
+    if isinstance(rows, FeatureStore):
+        return rows.blocks([c.lstrip("*") for c in columns], size)
+    return products.packed(rows, columns | label_columns(), size)
 
 
 def _relevant(q: products.Arrays, c: products.Arrays) -> np.ndarray:
@@ -111,7 +114,7 @@ def cosines(q: products.Arrays, c: products.Arrays) -> np.ndarray:
     return products.product(products.unit(q["v"], 0.0), products.unit(c["v"], 0.0))
 
 
-def top_ranks(rows: DataFrame, columns: dict[str, Column], score: Score, k: int, places: int = PLACES, size: int = products.SIZE) -> DataFrame:
+def top_ranks(rows: DataFrame | FeatureStore, columns: dict[str, Column], score: Score, k: int, places: int = PLACES, size: int = products.SIZE) -> DataFrame:
     """(q, c, rk, sim, y, pos, hits): the first k candidates of each query, as ranked() gives them."""
     blocks, n = _labelled(rows, columns, size)
 
@@ -129,7 +132,7 @@ def top_ranks(rows: DataFrame, columns: dict[str, Column], score: Score, k: int,
     return products.met(blocks, n, lambda q: [products.Best(len(q["id"]), k), np.zeros(len(q["id"]), dtype=np.int64)], meet, finish, "q long, c long, rk long, sim double, y long, pos long, hits long")
 
 
-def _counted(rows: DataFrame, columns: dict[str, Column], score: Score, finish: Callable, schema: str, places: int, size: int) -> DataFrame:
+def _counted(rows: DataFrame | FeatureStore, columns: dict[str, Column], score: Score, finish: Callable, schema: str, places: int, size: int) -> DataFrame:
     """finish(queries, query, score, relevant, all) of a block's counts by query (its number) and score, best scores first."""
     most = min(rows.count(), 2 * 10**places * 64)  # distinct scores of a query
     blocks, n = _labelled(rows, columns, max(16, min(size, ENTRIES // max(1, most))))
@@ -165,7 +168,7 @@ def _totals(query: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(query, weights=x, minlength=n)
 
 
-def all_ap_full(rows: DataFrame, columns: dict[str, Column], score: Score, places: int = PLACES, size: int = COUNTED) -> DataFrame:
+def all_ap_full(rows: DataFrame | FeatureStore, columns: dict[str, Column], score: Score, places: int = PLACES, size: int = COUNTED) -> DataFrame:
     """ap_full() of all pairs of rows."""
 
     def finish(q: products.Arrays, query: np.ndarray, sim: np.ndarray, yy: np.ndarray, every: np.ndarray) -> dict:

@@ -32,11 +32,40 @@ def count_of(rows: int, size: int = SIZE) -> int:
     return max(1, -(-rows // size), min(SPREAD, rows // FEWEST))
 
 
-def packed(df: DataFrame, columns: dict[str, Column], size: int = SIZE) -> tuple[DataFrame, int]:
-    """(block, payload) of df (id and columns), and the number of blocks; rows of a block are sorted by id.
+def arrays_of(name: str, values: pd.Series) -> Arrays:
+    """A column of a block as arrays: vectors as a matrix, with zeros for null rows, which <name>?null marks; lists of longs
+    (name begins with "*") one after the other, with their lengths."""
+    if name.startswith("*"):
+        lists = [np.asarray(v if v is not None else [], dtype=np.int64) for v in values]
+        return {name: np.concatenate([np.empty(0, dtype=np.int64), *lists]), f"{name}?size": np.array([len(v) for v in lists])}
+    if values.dtype == object and values.notna().any() and not isinstance(values[values.notna()].iloc[0], str):
+        known = values.notna().to_numpy()
+        matrix = np.zeros((len(values), len(values[known].iloc[0])))
+        matrix[known] = np.array(values[known].tolist(), dtype=np.float64)
+        return {name: matrix, f"{name}?null": ~known}
+    if values.dtype == object and not values.notna().any():
+        return {name: np.zeros((len(values), 0)), f"{name}?null": np.ones(len(values), dtype=bool)}
+    return {name: values.to_numpy()}
+
+
+def saved(arrays: Arrays) -> bytes:
+    held = io.BytesIO()
+    np.savez(held, **arrays)
+    return held.getvalue()
+
+
+def loaded(payload: bytes) -> Arrays:
+    with np.load(io.BytesIO(payload)) as stored:
+        return dict(stored)
 
-    Arrays are matrices, with zeros for null rows, which <name>?null marks; lists of longs (name begins with "*") keep
-    their lengths."""
+
+def dealt(rows: DataFrame, n: int) -> DataFrame:
+    """rows (id, ...) with the number of their block, of n."""
+    return rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+
+
+def packed(df: DataFrame, columns: dict[str, Column], size: int = SIZE) -> tuple[DataFrame, int]:
+    """(block, payload) of df (id and columns), and the number of blocks; rows of a block are sorted by id."""
     rows = df.select(F.col("id").cast("long").alias("id"), *[c.alias(n) for n, c in columns.items()])
     n, names = count_of(rows.count(), size), list(columns)
 
@@ -44,25 +73,10 @@ def packed(df: DataFrame, columns: dict[str, Column], size: int = SIZE) -> tuple
         pdf = pdf.sort_values("id")
         out: Arrays = {"id": pdf["id"].to_numpy()}
         for name in names:
-            values = pdf[name]
-            if name.startswith("*"):
-                lists = [np.asarray(v if v is not None else [], dtype=np.int64) for v in values]
-                out[name], out[f"{name}?size"] = np.concatenate([np.empty(0, dtype=np.int64), *lists]), np.array([len(v) for v in lists])
-            elif values.dtype == object and values.notna().any() and not isinstance(values[values.notna()].iloc[0], str):
-                known = values.notna().to_numpy()
-                matrix = np.zeros((len(values), len(values[known].iloc[0])))
-                matrix[known] = np.array(values[known].tolist(), dtype=np.float64)
-                out[name], out[f"{name}?null"] = matrix, ~known
-            elif values.dtype == object and not values.notna().any():
-                out[name], out[f"{name}?null"] = np.zeros((len(values), 0)), np.ones(len(values), dtype=bool)
-            else:
-                out[name] = values.to_numpy()
-        held = io.BytesIO()
-        np.savez(held, **out)
-        return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "payload": [held.getvalue()]})
-
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-    return dealt.groupBy("block").applyInPandas(pack, "block int, payload binary"), n
+            out |= arrays_of(name, pdf[name])
+        return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "payload": [saved(out)]})
+
+    return dealt(rows, n).groupBy("block").applyInPandas(pack, "block int, payload binary"), n
 
 
 def met(blocks: DataFrame, n: int, begin: Callable[[Arrays], object], meet: Callable[[object, Arrays, Arrays], object], finish: Callable[[object, Arrays], dict], schema: str, most: int | None = None) -> DataFrame:
@@ -92,8 +106,7 @@ def met(blocks: DataFrame, n: int, begin: Callable[[Arrays], object], meet: Call
         for batch in batches:
             for r in range(batch.num_rows):
                 at, block, payload = (batch.column(i)[r].as_py() for i in range(3))
-                with np.load(io.BytesIO(payload)) as stored:
-                    arrays = dict(stored)
+                arrays = loaded(payload)
                 if at != now:
                     yield from ended()
                     now, held, sums = at, [], []
@@ -135,7 +148,8 @@ class Best:
         self.score = np.concatenate([self.score, new], 1)
         self.id = np.concatenate([self.id, ids[chosen]], 1)
         self.y = np.concatenate([self.y, np.take_along_axis(y, chosen, 1) if y is not None else np.zeros(chosen.shape, dtype=np.int64)], 1)
-        order = np.lexsort((self.id, -self.score), axis=1)[:, : self.k]
+        last = self.score == np.iinfo(np.int64).min  # its negative is itself
+        order = np.lexsort((self.id, np.where(last, np.iinfo(np.int64).max, -self.score)), axis=1)[:, : self.k]
         self.score, self.id, self.y = (np.take_along_axis(x, order, 1) for x in (self.score, self.id, self.y))
         return self
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lumigrid.functions import vectors as V
 from lumigrid.plans import weights as W
 from lumigrid.plans.corpus import corpus, memberships, table
 from lumigrid.queries.base import CORPUS, MEMBERS, query, r6
+from lumigrid.sources import changelog, lookup, shared
 from lumigrid.sources import json_maps as J
 from lumigrid.sources import tables as T
 
@@ -59,3 +62,29 @@ def chart_scores(spark, sf_dir):
 def lanes(spark, sf_dir):
     cases = [("equal", W.lanes("equal", None)), ("hog only", W.lanes("manual", {"hog": 1.0})), ("category and negative hog", W.lanes("manual", {"category": 1.0, "hog": -1.0})), ("semantic", W.lanes("manual", {"semantic": 0.5})), ("saliency, compat", W.lanes("manual", {"saliency": 1.0}, compat=True))]
     return spark.createDataFrame([(k, ",".join(sorted(v))) for k, v in cases], "case_ string, lanes string")
+
+
+def _place(spark, name):
+    return f"{shared.folder(spark)}/lumigrid/{name}-{uuid.uuid4().hex}"
+
+
+@query("lookup_by_hash", "SELECT id, file_name, file_hash FROM corpus WHERE file_hash IN (SELECT file_hash FROM corpus WHERE id % 100 = 0)", CORPUS)
+def lookup_by_hash(spark, sf_dir):
+    """The hashes of every hundredth row, in a table that is clustered by id and has Bloom filters for hashes."""
+    c, path = corpus(spark, sf_dir), _place(spark, "clustered")
+    lookup.clustered(c, path, "id", ("file_hash",))
+    return lookup.joined(spark, path, "file_hash", c.where("id % 100 = 0").select("file_hash"), ["id", "file_name", "file_hash"])
+
+
+@query("cache_log", """SELECT file_name AS key, unnest(CASE WHEN id % 10 = 0 THEN ['description'] WHEN id % 3 = 0 THEN ['category', 'description'] ELSE ['category'] END) AS field,
+  unnest(CASE WHEN id % 10 = 0 THEN ['again'] WHEN id % 3 = 0 THEN ['Changed', 'd' || label] ELSE ['c' || label] END) AS value
+  FROM corpus WHERE id % 5 <> 0 OR id % 10 = 0""", CORPUS)
+def cache_log(spark, sf_dir):
+    """A log of four changes: fields of all rows, other fields of every third, every fifth deleted, every tenth put back."""
+    rows, log = corpus(spark, sf_dir).withColumn("key", F.col("file_name")), changelog.ChangeLog(spark, _place(spark, "cache"))
+    change = lambda df, **fields: df.select("key", F.lit(0).alias("seq"), F.create_map(*[x for n, v in fields.items() for x in (F.lit(n), v)]).alias("value"))
+    log.put(change(rows, category=F.concat(F.lit("c"), "label")))
+    log.put(change(rows.where("id % 3 = 0"), category=F.lit("Changed"), description=F.concat(F.lit("d"), "label")))
+    log.delete(rows.where("id % 5 = 0"))
+    log.put(change(rows.where("id % 10 = 0"), description=F.lit("again")))
+    return log.read().select("key", F.explode("value").alias("field", "value"))

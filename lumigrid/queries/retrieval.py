@@ -8,6 +8,7 @@ from lumigrid.functions import vectors as V
 from lumigrid.operators import evaluation as E
 from lumigrid.operators import groundtruth as G
 from lumigrid.operators import optimize as O
+from lumigrid.operators.features import FeatureStore
 from lumigrid.plans.corpus import corpus, memberships, table
 from lumigrid.queries.base import CORPUS, MEMBERS, query, r6
 from lumigrid.queries.search import HELD, _cos, offline_sql
@@ -264,6 +265,15 @@ def store_map_of_weights(spark, sf_dir):
     return O.mean_ap(O.store(df, memberships(spark, sf_dir)), {n: HELD[n] for n in _W}, _W).select(V.rounded(F.col("map")).alias("map"), "n")
 
 
+@query("feature_store_map", _map_at(5), (*CORPUS, _WP, _RANKED))
+def feature_store_map(spark, sf_dir):
+    """The same from a store of features, one of which can't be packed."""
+    df = corpus(spark, sf_dir)
+    features = {n: HELD[n] for n in _W} | {"absent": ("absent", "cosine")}
+    kept = FeatureStore.temporary(O.store(df, memberships(spark, sf_dir)), features)
+    return O.mean_ap(kept, features, _W | {"absent": 0.5}).select(V.rounded(F.col("map")).alias("map"), "n")
+
+
 _HELD3 = {n: HELD[n] for n in ("brightness", "hog", "category")}
 _W3 = {"brightness": 0.25, "hog": 0.5, "category": 0.25}
 _SUM3 = " + ".join(f"{offline_sql(HELD[n][1], HELD[n][0])} * {w!r}" for n, w in _W3.items())
