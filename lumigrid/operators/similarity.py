@@ -12,11 +12,14 @@ from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lumigrid.functions import vectors as V
 from lumigrid.functions.registry import FEATURES
 
 TINY = 1e-7
+#: Query rows of a search, which are broadcast, at most: of the widest rows about 10 MB.
+QUERIES = 256
 #: Distances at which color vectors count as entirely different, online.
 MAX_COLOR, MAX_CELL = math.sqrt(255 * 255 * 3), math.sqrt(255 * 255 * 3 * 16)
 
@@ -110,16 +113,23 @@ def weighted(sims: dict[str, Column], weights: dict[str, float]) -> Column:
     return reduce(add, parts) if parts else F.lit(0.0)
 
 
+def handful(queries: DataFrame, most: int = QUERIES) -> DataFrame:
+    """queries, which fail when they are run if they have more than `most` rows: what is broadcast has a proven bound."""
+    few = queries.limit(most + 1).withColumn("__n", F.row_number().over(Window.orderBy("id")))  # of most + 1 rows at most
+    refused = F.raise_error(F.lit(f"more than {most} query rows: search in batches")).cast(queries.schema["id"].dataType)
+    return few.withColumn("id", F.when(F.col("__n") > most, refused).otherwise(F.col("id"))).drop("__n")
+
+
 def search(table: DataFrame, queries: DataFrame, weights: dict[str, float], limit: int, semantics: str = "online", components: bool = True, places: int | None = None) -> DataFrame:
     """(query_id, id, file_name, rank, similarity, <feature>_similarity ...): each query's `limit` best rows.
 
-    queries is a handful of rows with the table's columns, joined as constants; the table is scanned once, only the
+    queries is a handful of rows (at most QUERIES) with the table's columns, joined as constants; the table is scanned once, only the
     columns of weighted features (all, with components) are read, and ranks come from a group-limited window.
     """
     features = feature_columns(table)
     used = features if components else {n: f for n, f in features.items() if n in weights}
     keep = sorted({c for c, _ in used.values()})
-    q = queries.select("id", *keep, *holding(queries, used)).alias("q")
+    q = handful(queries).select("id", *keep, *holding(queries, used)).alias("q")
     sims = held_similarities(used, semantics=semantics)
     cols = [s.alias(f"{n}_similarity") for n, s in sims.items()]
     scored = table.select("id", "file_name", *keep, *holding(table, used)).alias("r").join(F.broadcast(q), F.lit(True)).select(F.col("q.id").alias("query_id"), F.col("r.id").alias("id"), F.col("r.file_name").alias("file_name"), *cols)
@@ -139,7 +149,7 @@ def two_stage(table: DataFrame, query: DataFrame, vector: str, weights: dict[str
     """Rows whose cosine with the query exceeds `least`, scored half by it and half by the weighted features."""
     features = {n: f for n, f in feature_columns(table).items() if n in weights}
     keep = sorted({vector, *(c for c, _ in features.values())})
-    r, q = table.select("id", "file_name", *keep).alias("r"), F.broadcast(query.select("id", *keep).alias("q"))
+    r, q = table.select("id", "file_name", *keep).alias("r"), F.broadcast(handful(query).select("id", *keep).alias("q"))
     near = r.join(q, F.lit(True)).withColumn("near", V.cosine(F.col(f"r.{vector}"), F.col(f"q.{vector}"))).where(F.col("near") > least)
     score = 0.5 * F.col("near") + 0.5 * weighted(similarities(features), weights)
     out = near.select(F.col("q.id").alias("query_id"), F.col("r.id").alias("id"), F.col("r.file_name").alias("file_name"), (V.rounded(score, places) if places is not None else score).alias("similarity"))

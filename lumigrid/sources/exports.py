@@ -55,7 +55,9 @@ def copied(files: DataFrame, source: str, staging: str) -> DataFrame:
             for cluster, src, name in b[["cluster_id", "src", "name"]].itertuples(index=False):
                 mine, error, size, digest = f"{place}/{uuid.uuid4().hex}", None, None, None
                 try:
-                    if not src or posixpath.normpath(src).split("/")[0] == ".." or posixpath.isabs(src):
+                    if not src:
+                        raise ValueError("no such file is known")
+                    if posixpath.normpath(src).split("/")[0] == ".." or posixpath.isabs(src):
                         raise ValueError("a source that leaves the folder")
                     read, again, size = hashlib.sha256(), hashlib.sha256(), 0
                     with from_.open_input_stream(f"{root}/{src}") as f, to.open_output_stream(mine) as g:

@@ -71,6 +71,35 @@ def test_import_of_a_folder(spark, folder):
     assert flows.imported(spark, path, new, **args).count() == 0
 
 
+def test_queries_are_standardised_on_request_only(spark, folder):
+    path, shots = folder
+    files = flows.scanned(spark, path).where("file_name = 'b.png'")
+    size = (8, 8)
+    features = ("brightness", "edge_density")
+    plain = flows.queried(spark, path, files, analyse, features=features).first()
+    same = flows.queried(spark, path, files, analyse, features=features, standardize_query=True, size=size).first()
+    empty = spark.createDataFrame([], image_schema())
+    stored = {s: flows.imported(spark, path, empty, analyse, features=features, files=files, standard=s).first() for s in (None, size)}
+    assert plain["id"] == 0 and plain["brightness"] == stored[None]["brightness"] and same["brightness"] == stored[size]["brightness"]
+    assert plain["edge_density"] == stored[None]["edge_density"] and same["brightness"] != plain["brightness"]
+
+
+def test_best_images_are_copied_by_cluster(spark, folder, tmp_path):
+    path, _ = folder
+    aps = spark.createDataFrame([("a.png", 0.5), ("x/b.png", 0.9), ("c.png", 0.49), ("copy of a.jpg", 1.0), ("lost.png", 1.0), (None, 1.0)], "file_name string, ap double")
+    members = spark.createDataFrame([(1, "a.png"), (1, "c.png"), (2, "b.png"), (2, "a.png"), (2, "copy of a.jpg"), (3, "lost.png"), (3, "unknown.png")], "cluster_key int, file_name string")
+    listing = flows.scanned(spark, path).select(F.col("file_name").alias("path"))
+    got = flows.exported_best(aps, members, listing, path, str(tmp_path / "best")).collect()
+    made = {(r["cluster_id"], r["dst"].rsplit("/", 1)[1]) for r in got if r["error"] is None}
+    assert made == {("1", "a.png"), ("2", "a.png"), ("2", "b.png"), ("2", "copy of a.jpg")}
+    assert [(r["cluster_id"], r["error"]) for r in got if r["error"]] == [("3", "no such file is known")]
+    assert sorted(str(p.relative_to(tmp_path / "best")) for p in (tmp_path / "best").glob("[0-9]*/*")) == ["1/a.png", "2/a.png", "2/b.png", "2/copy of a.jpg"]
+    chosen = spark.createDataFrame([(1, ["a.png", "sub dir/copy of a.jpg"]), (2, ["b.png"])], "ordinal int, images array<string>")
+    done = flows.exported_clusters(chosen, path, str(tmp_path / "chosen")).collect()
+    assert len(done) == 3 and not any(r["error"] for r in done)
+    assert sorted(str(p.relative_to(tmp_path / "chosen")) for p in (tmp_path / "chosen").glob("cluster*/*")) == ["cluster_01/a.png", "cluster_01/copy of a.jpg", "cluster_02/b.png"]
+
+
 def test_synchronize(spark, folder):
     path, _ = folder
     args = {"analyse": analyse, "embed_text": embed_text}

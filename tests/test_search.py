@@ -5,7 +5,10 @@ import math
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from lumigrid.operators import groundtruth, parzen, pivots
+from lumigrid.operators import similarity as S
 
 
 def plain_density(points, x, width):
@@ -109,3 +112,11 @@ def test_pruned_neighbours_equal_all_pairs(spark, n, groups, size, monkeypatch):
     monkeypatch.setattr(groundtruth, "PRUNED", 2)
     again = groundtruth.neighbours(df, "id", "v", 7, size).collect()
     assert sorted(map(tuple, again)) == sorted(map(tuple, got))
+
+
+def test_too_many_query_rows_are_refused(spark):
+    rows = spark.range(5).select("id", F.lit("x").alias("word"))
+    assert S.handful(rows, 5).count() == 5 and sorted(r["id"] for r in S.handful(rows, 5).collect()) == [0, 1, 2, 3, 4]
+    with pytest.raises(Exception, match="more than 4 query rows"):
+        S.handful(rows, 4).collect()
+    assert S.handful(rows.limit(0)).collect() == []
