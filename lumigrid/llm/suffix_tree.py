@@ -5,23 +5,26 @@ of the text. A context of the training documents is retained if it occurs LEAST
 suffix: the summed logarithms of its next words' probabilities, each predicted without its own occurrence, exceed those
 that the suffix gives by MIN_DIVERGENCE. Each word is scored by the longest retained suffix of the text before it, whose
 distribution is smoothed towards that of its own longest retained suffix, and so on up to the root: single words' shares
-of all tokens, and for what these escape (Witten-Bell) the spelling, at equal odds for each byte and the word's end.
+of all tokens, and for what these escape (Witten-Bell) the spelling.
+
+The spelling is a second tree, over the bytes of a word and its end (`llm/spelling.py`). It learns from the words that the
+training documents hold once, which are the likest to those that they don't hold at all.
 
 The tree grows with the corpus and is never in one place. Blocks of documents are written once, as word numbers, and
 bucketed by block. Each block sends its distinct words and n-grams, as sorted hashes with their counts, to ranges of
 hashes, which sum them up and answer in the same order; then it sends for each context what its occurrences gain, and
-learns which contexts are retained. So a frequent word or context takes one entry a block, and only hashes, counts and
+learns which contexts are retained. A word that is seen once is in one block, which counts its letters. So a frequent word or context takes one entry a block, and only hashes, counts and
 gains are shuffled; blocks stay where they are. n-grams of two and more words are hashed to SPARE bits more than
 their number needs: about one in 2 ** SPARE shares its hash with another one.
 
 Defined results: a null or empty text is its end token alone; a row with a null id is not held out (it is learnt from);
-without training documents counts are 0 and only spelling counts; repeated rows score alike; a very long text is a block
+without training documents counts are 0 and only spelling counts, at equal odds for each byte; repeated rows score alike; a very long text is a block
 of its own; ties can't occur; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +35,7 @@ from pyspark.sql import functions as F
 from lumigrid.llm import common
 from lumigrid.llm.compact import from_planes, packed, planes, sorted_places, squeezed, stretched, unpacked
 from lumigrid.llm.shingling import _mixed, hashed
+from lumigrid.llm.spelling import GRAMS, Spelling, grams_of, letters_of
 
 #: Words of the longest context; a context's least count, and its least gain over its suffix, in nats.
 DEPTH, LEAST, MIN_DIVERGENCE = 2, 2, 4.0
@@ -47,7 +51,7 @@ END = np.uint64(0x5851F42D4C957F2D)
 _U = np.uint64
 _TURN = _U(0x9E3779B97F4A7C15)
 
-BLOCKS = "block long, docs array<long>, helds array<boolean>, sizes array<long>, ids binary, words binary, letters binary, train long"
+BLOCKS = "block long, docs array<long>, helds array<boolean>, sizes array<long>, ids binary, words binary, letters binary, spellings binary, train long"
 ASKED = "range int, block long, words binary, word_values binary, grams binary, gram_values binary"
 ANSWERS = "round int, range int, block long, words binary, grams binary, distinct long"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -58,50 +62,67 @@ def _names(schema: str) -> list[str]:
 
 
 def blocks(base: DataFrame) -> DataFrame:
-    """From (doc_id, text, held): BLOCKS. ids number the words in the order of their hashes; letters are the words' bytes."""
+    """From (doc_id, text, held): BLOCKS. ids number the words in the order of their hashes; letters are how many
+    bytes the words have, spellings these bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         block = TaskContext.get().partitionId() << 32
-        kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.int64())
+        kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), *[pa.binary()] * 4, pa.int64())
 
         def done() -> pa.RecordBatch:
             words, first, ids = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
             sizes = [len(h) for h in hashes]
+            wide, raw = np.concatenate(letters), np.concatenate(spellings)
+            begins, wide = (np.cumsum(wide) - wide)[first], wide[first]
+            raw = raw[np.repeat(begins - (np.cumsum(wide) - wide), wide) + np.arange(wide.sum())]
             train = sum(n for n, held in zip(sizes, helds, strict=True) if not held)
-            row = [block, docs, helds, sizes, planes(ids.astype(_U), max(1, len(words).bit_length())), squeezed(words, 0), packed(np.concatenate(letters)[first]), train]
+            row = [block, docs, helds, sizes, planes(ids.astype(_U), max(1, len(words).bit_length())), squeezed(words, 0), packed(wide), zlib.compress(raw.tobytes(), 1), train]
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=_names(BLOCKS))
 
-        docs, helds, hashes, letters, size = [], [], [], [], 0
+        docs, helds, hashes, letters, spellings, size = [], [], [], [], [], 0
         for b in common.sliced(batches):
-            for doc_id, held, (h, n) in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), hashed(b.column(1).to_pylist()), strict=True):
+            texts = b.column(1).to_pylist()
+            for doc_id, held, text, (h, n) in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), texts, hashed(texts), strict=True):
                 docs.append(doc_id)
                 helds.append(held)
                 hashes.append(np.append(h, END))
                 letters.append(np.append(n, 0))
+                spellings.append(letters_of(text))
                 size += len(h) + 1
                 if size >= BLOCK or len(docs) >= BLOCK_DOCS:
                     yield done()
                     block += 1
-                    docs, helds, hashes, letters, size = [], [], [], [], 0
+                    docs, helds, hashes, letters, spellings, size = [], [], [], [], [], 0
         if docs:
             yield done()
 
     return base.mapInArrow(run, BLOCKS)
 
 
-class Block:
-    """A block's tokens: their words' numbers, places in their texts, and the n-grams that end at them."""
+class Tokens:
+    """A block's tokens: their words' numbers, and whether they are learnt from."""
 
-    def __init__(self, row: dict, bits: int):
+    def __init__(self, row: dict):
         self.row, self.sizes = row, np.array(row["sizes"], dtype=np.int64)
-        n = int(self.sizes.sum())
         self.words = stretched(row["words"], 0)
-        self.ids = from_planes(row["ids"], n, max(1, len(self.words).bit_length())).astype(np.int64)
+        self.ids = from_planes(row["ids"], int(self.sizes.sum()), max(1, len(self.words).bit_length())).astype(np.int64)
+        self.trains = np.repeat(~np.array(row["helds"], dtype=bool), self.sizes)
+
+    def bytes_of(self) -> tuple[np.ndarray, np.ndarray]:
+        """The words' bytes, one word after the other, and how many each has."""
+        return np.frombuffer(zlib.decompress(self.row["spellings"]), dtype=np.uint8), unpacked(self.row["letters"])
+
+
+class Block(Tokens):
+    """Their places in their texts, too, and the n-grams that end at them."""
+
+    def __init__(self, row: dict, bits: int):
+        super().__init__(row)
+        n = len(self.ids)
         starts = np.cumsum(self.sizes) - self.sizes
         self.starts, self.place = starts, np.arange(n) - np.repeat(starts, self.sizes)
-        self.trains = np.repeat(~np.array(row["helds"], dtype=bool), self.sizes)
         h = self.words[self.ids]
         grams, at, key = [], [], h
         for k in range(1, DEPTH + 1):  # of k + 1 words; mixed anew for each length
@@ -146,13 +167,12 @@ class Block:
         return np.where(self.place >= d, x, 0)
 
 
-def root(counts: np.ndarray, letters: np.ndarray, tokens: int, distinct: int) -> np.ndarray:
-    """Natural logarithms of single words' probabilities."""
-    spelled = -(letters + 1) * np.log(257.0)
+def root(counts: np.ndarray, spelled: np.ndarray, tokens: int, distinct: int) -> np.ndarray:
+    """Natural logarithms of single words' probabilities, from their counts and those of their spellings."""
     if not tokens:
         return spelled
     with np.errstate(divide="ignore", invalid="ignore"):
-        return np.where(counts > 0, np.log(counts + distinct * np.exp(spelled)), np.log(distinct) + spelled) - np.log(tokens + distinct)
+        return np.where(counts > 0, np.log(np.maximum(counts, 0) + distinct * np.exp(spelled)), np.log(distinct) + spelled) - np.log(tokens + distinct)
 
 
 def smoothed(both: np.ndarray, context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
@@ -161,10 +181,10 @@ def smoothed(both: np.ndarray, context: np.ndarray, suffix: np.ndarray) -> np.nd
         return np.where(both > 0, np.log(both + WEIGHT * np.exp(suffix)), np.log(WEIGHT) + suffix) - np.log(context + WEIGHT)
 
 
-def gains(block: Block, counts: list[np.ndarray], letters: np.ndarray, tokens: int, distinct: int) -> list[np.ndarray]:
+def gains(block: Block, counts: list[np.ndarray], spelled: np.ndarray, tokens: int, distinct: int) -> list[np.ndarray]:
     """For contexts of d = 1, 2, ... words before each token what they gain over their suffix, in PARTS of a nat; 0 in
     texts that are held out. Each occurrence is predicted from all others."""
-    out, before = [], root(counts[0] - 1, letters, tokens - 1, distinct)
+    out, before = [], root(counts[0] - 1, spelled, tokens - 1, distinct)
     for d in range(1, DEPTH + 1):
         context = block.contexts(counts, d)
         use = block.trains & (block.place >= d) & (context > 0)
@@ -233,14 +253,31 @@ def sums_of(answers: list[dict]) -> list[np.ndarray]:
     return [np.concatenate([np.empty(0, dtype=np.int64), *[unpacked(r[k]) for r in rows]]) for k in ("words", "grams")]
 
 
-def gained(told: DataFrame, sums: DataFrame, bits: int, ranges: int, tokens: int, distinct: int) -> DataFrame:
+def lettered(told: DataFrame, sums: DataFrame) -> DataFrame:
+    """GRAMS: the letters of the words that training texts hold once, summed over all blocks."""
+
+    def one(left: pa.Table, right: pa.Table) -> pa.Table:
+        block, counts = Tokens(left.to_pylist()[0]), sums_of(right.append_column("grams", pa.nulls(right.num_rows, pa.binary())).to_pylist())[0]
+        once = np.zeros(len(counts), dtype=bool)
+        once[block.ids[block.trains]] = True
+        once &= (counts == 1) & (block.words != END)
+        raw, sizes = block.bytes_of()
+        keys, n = grams_of(raw[np.repeat(once, sizes)], sizes[once])
+        return pa.Table.from_arrays([pa.array(keys.astype(np.int32)), pa.array(n)], names=_names(GRAMS))
+
+    few = told.select("block", "helds", "sizes", "ids", "words", "letters", "spellings")
+    grams = few.groupBy("block").cogroup(sums.select("round", "range", "block", "words").groupBy("block")).applyInArrow(one, GRAMS)
+    return grams.groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def gained(told: DataFrame, sums: DataFrame, bits: int, ranges: int, tokens: int, distinct: int, spelling: Spelling) -> DataFrame:
     """ASKED: each block's contexts, with what their occurrences gain."""
 
     def one(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
         block, (words, grams) = Block(row, bits), sums_of(right.to_pylist())
         counts = block.spread(words, grams)
-        got = gains(block, counts, unpacked(row["letters"])[block.ids], tokens, distinct)
+        got = gains(block, counts, spelling.logs(*block.bytes_of())[block.ids], tokens, distinct)
         before = block.ids[np.maximum(np.arange(len(block.ids)) - 1, 0)]
         of_words = np.bincount(before, weights=got[0], minlength=len(words)).astype(np.int64)
         of_grams = np.zeros(len(grams), dtype=np.int64)
@@ -253,7 +290,7 @@ def gained(told: DataFrame, sums: DataFrame, bits: int, ranges: int, tokens: int
     return told.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(one, ASKED)
 
 
-def scored(told: DataFrame, answers: DataFrame, bits: int, ranges: int, tokens: int, distinct: int) -> DataFrame:
+def scored(told: DataFrame, answers: DataFrame, bits: int, ranges: int, tokens: int, distinct: int, spelling: Spelling) -> DataFrame:
     """SCORES of the blocks' documents."""
 
     def one(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -269,7 +306,7 @@ def scored(told: DataFrame, answers: DataFrame, bits: int, ranges: int, tokens:
                 whole[chosen] = np.concatenate([np.unpackbits(np.frombuffer(flags[int(of[a])][name], dtype=np.uint8), count=z - a) for a, z in zip(heads, np.append(heads[1:], len(of)), strict=True)]).astype(bool)
             retained.append(whole)
         counts, kept = block.spread(words, grams), block.spread(*retained)
-        log = root(counts[0], unpacked(row["letters"])[block.ids], tokens, distinct)
+        log = root(counts[0], spelling.logs(*block.bytes_of())[block.ids], tokens, distinct)
         for d in range(1, DEPTH + 1):
             context = block.contexts(counts, d)
             log = np.where(block.contexts(kept, d) & (context > 0), smoothed(np.minimum(counts[d], context), context, log), log)
@@ -291,7 +328,10 @@ def score(docs: DataFrame) -> DataFrame:
         tokens, every = sums[0] or 0, sums[1] or 0
         bits = min(64, max(32, (every * DEPTH).bit_length() + SPARE))
         ranges = min(20, max(6, (every * (DEPTH + 1) // RANGE).bit_length()))
-        counts = common.written(answered(counted(told, bits, ranges), bits, ranges, 0), "gram-counts")
+        sums = answered(counted(told, bits, ranges), bits, ranges, 0)
+        # dealt by block once; what follows meets the blocks where they are
+        counts = common.bucketed(sums.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block"), "gram-counts", "block")
         distinct = counts.agg(F.sum("distinct")).first()[0] or 0
-        flags = common.written(answered(gained(told, counts, bits, ranges, tokens, distinct), bits, ranges, 1), "contexts")
-        return scratch.keep(common.written(scored(told, counts.unionByName(flags), bits, ranges, tokens, distinct), "scores"))
+        spelling = Spelling.learnt(lettered(told, counts))
+        flags = common.written(answered(gained(told, counts, bits, ranges, tokens, distinct, spelling), bits, ranges, 1), "contexts")
+        return scratch.keep(common.written(scored(told, counts.unionByName(flags), bits, ranges, tokens, distinct, spelling), "scores"))

@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumigrid.llm import compact, graph, jaccard, media, mixing, packing, pseudonyms, quality, secret_scan, sharding, shingling, suffix_tree, toxicity
+from lumigrid.llm import compact, graph, jaccard, media, mixing, packing, pseudonyms, quality, secret_scan, sharding, shingling, spelling, suffix_tree, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, size long, shard int, spans string, row string"
 LONG = "alpha beta gamma delta " * 30_000
@@ -719,6 +719,60 @@ def test_suffix_tree_base_equals_brute_force(docs, none):
     assert suffix_tree.score(docs.where("crc32(cast(doc_id as string)) % 7 = 2")).where("score < 0 and train_tokens = 0 and n_known = 0").count() == sum(held(d) for d, _ in TEXTS)
 
 
+class NaiveSpelling:
+    """The letters' tree from dictionaries: words are bytes, and a space ends and begins them."""
+
+    def __init__(self, words):
+        self.n = collections.Counter()
+        for w in words:
+            w = b" " + w + b" "
+            for i in range(1, len(w)):
+                self.n.update(w[i - k : i + 1] for k in range(min(i, 2) + 1))
+        self.kept, self.next = set(), collections.defaultdict(dict)
+        for g, n in self.n.items():
+            self.next[g[:-1]][g[-1:]] = n
+        for k in (1, 2):
+            for c, follow in [x for x in self.next.items() if len(x[0]) == k]:
+                total, gain = sum(follow.values()), 0.0
+                for s, n in follow.items():
+                    p = self.after(c[1:], s)
+                    gain += n * math.log((n - 1 + len(follow) * p) / (total - 1 + len(follow)) / p)
+                if gain >= spelling.MIN_DIVERGENCE:
+                    self.kept.add(c)
+
+    def after(self, c, s):
+        follow = self.next.get(c, {})
+        if c and c not in self.kept:
+            return self.after(c[1:], s)
+        p = self.after(c[1:], s) if c else 1 / 256
+        kinds = len(follow) if c else max(1, len(follow))
+        return (follow.get(s, 0) + kinds * p) / (sum(follow.values()) + kinds)
+
+    def word(self, w):
+        w = b" " + w + b" "
+        return math.prod(self.after(w[max(0, i - 2) : i], w[i : i + 1]) for i in range(1, len(w)))
+
+
+def test_spelling_equals_a_naive_one():
+    rng = np.random.default_rng(3)
+    words = [("".join(rng.choice(list("abéñ漢"), rng.integers(1, 9))) + str(rng.choice(["", "ing", "nat", "cad"]))).encode() for _ in range(300)]
+    for some in (words, words[:2], []):
+        tree = NaiveSpelling(some)
+        sizes = np.array([len(w) for w in some], dtype=np.int64)
+        keys, n = spelling.grams_of(np.frombuffer(b"".join(some), dtype=np.uint8), sizes)
+        got = spelling.Spelling(keys.astype(np.int64), n)
+        asked = [*words[100:150], b"", b"zz", b"x" * 5000]
+        logs = got.logs(np.frombuffer(b"".join(asked), dtype=np.uint8), np.array([len(w) for w in asked]))
+        assert logs[:-1] == pytest.approx([math.log(tree.word(w)) for w in asked[:-1]], abs=1e-9)
+        assert math.isfinite(logs[-1])
+        for c in (b"", b" ", b"a", b"in", b"qq"):
+            assert sum(tree.after(c, bytes([s])) for s in range(256)) == pytest.approx(1.0)
+    assert {len(c) for c in NaiveSpelling(words).kept} == {1, 2}
+    tree = NaiveSpelling(words)
+    assert tree.word(b"baing") > 1e3 * tree.word(b"gniab")
+    assert spelling.letters_of("Ab\x0b\x1fÉ \t").tobytes() == "ab\x1fÉ".encode()
+
+
 class NaiveTree:
     """The same model, from dictionaries."""
 
@@ -730,6 +784,7 @@ class NaiveTree:
                 for k in range(min(i, suffix_tree.DEPTH) + 1):
                     self.n[t[i - k : i + 1]] += 1
         self.tokens, self.distinct = sum(map(len, train)), sum(len(k) == 1 for k in self.n)
+        self.spelling = NaiveSpelling([c[0] for c, n in self.n.items() if len(c) == 1 and n == 1 and c != (b"",)])
         gain = collections.Counter()
         for t in train:
             for i in range(len(t)):
@@ -742,7 +797,7 @@ class NaiveTree:
         self.kept = {c for c, g in gain.items() if self.n[c] >= suffix_tree.LEAST and g >= suffix_tree.PARTS * suffix_tree.MIN_DIVERGENCE}
 
     def word(self, w, without=0):
-        spelled = 257.0 ** -(len(w) + 1)
+        spelled = self.spelling.word(w)
         return (self.n[(w,)] - without + self.distinct * spelled) / (self.tokens - without + self.distinct)
 
     def after(self, context, w):
@@ -763,7 +818,8 @@ def prose():
             w = str(rng.choice(["red", "blue", "sea", "sky", "a", "of", "the"]))
             t += [w, "fish"] if w == "red" else [w, "sky", "high"] if t[-1:] == ["of"] and w == "the" else [w]
         out.append((i, " ".join(t).upper() if i % 5 == 0 else " ".join(t)))
-    return [*out, (200, ""), (201, None), (202, "unseen Ünseen red"), (203, out[0][1])]
+    rare = [(300 + i, " ".join("".join(rng.choice(["ka", "lo", "min"], 4)) + str(100 * i + k) for k in range(3))) for i in range(30)]
+    return [*out, (200, ""), (201, None), (202, "unseen Ünseen red"), (203, out[0][1]), *rare]
 
 
 def test_suffix_tree_equals_a_naive_one(spark, monkeypatch):
@@ -772,14 +828,14 @@ def test_suffix_tree_equals_a_naive_one(spark, monkeypatch):
     texts = [(*(t or "").encode().lower().split(), b"") for _, t in rows]
     held = [zlib.crc32(str(d).encode()) % 7 == 2 for d, _ in rows]
     tree = NaiveTree(texts, held)
-    assert (b"red",) in tree.kept and {len(c) for c in tree.kept} == {1, 2}
+    assert (b"red",) in tree.kept and {len(c) for c in tree.kept} == {1, 2} and {len(c) for c in tree.spelling.kept} == {1, 2}
     want = {d: sum(math.log10(tree.after(t[:i], t[i])) for i in range(len(t))) for (d, _), t in zip(rows, texts, strict=True)}
     got = {r["doc_id"]: r["score"] for r in suffix_tree.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     assert got == pytest.approx(want, abs=1e-9)
     seen = {k[0] for k in tree.n if len(k) == 1}
     for c in [(), (b"red",), (b"of", b"the"), (b"unseen",)]:  # known words, and the share of all spellings of others
-        rest = 1 - sum(257.0 ** -(len(w) + 1) for w in seen)
-        none = tree.after(c, b"qqqq") / 257.0**-5
+        rest = 1 - sum(tree.spelling.word(w) for w in seen)
+        none = tree.after(c, b"qqqq") / tree.spelling.word(b"qqqq")
         assert sum(tree.after(c, w) for w in seen) + rest * none == pytest.approx(1.0)
 
 
