@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumigrid.queries import images, io, retrieval, search, tables  # noqa: F401
+from lumigrid.queries import images, io, retrieval, search, storage, tables  # noqa: F401
 from lumigrid.queries.base import ORACLE, QUERIES
 
 

@@ -23,8 +23,9 @@ STANDARD = (2160, 3840)
 def files(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
     """(path, relative, file_name, length, content) of image files; suffixes in any case; recursive: sub-folders too."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
-    root = folder.rstrip("/") + "/"
-    relative = F.when(F.instr("path", root) > 0, F.expr(f"substring(path, instr(path, '{root}') + {len(root)})")).otherwise(names.basename(F.col("path")))
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    root = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString().rstrip("/") + "/"  # as path begins
+    relative = F.when(F.startswith("path", F.lit(root)), F.substring("path", F.lit(len(root) + 1), F.length("path"))).otherwise(names.basename(F.col("path")))
     return df.where(names.is_image(F.col("path"), names.IMPORTED)).select("path", relative.alias("relative"), names.basename(F.col("path")).alias("file_name"), "length", "content")
 
 

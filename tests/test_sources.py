@@ -223,3 +223,12 @@ def test_a_batch_is_committed_once(spark, table):
     for number in (0, 0, 1, 1, 0):
         table.append(spark.createDataFrame([(number, "x")], ROWS), batch=("stream", number))
     assert rows_of(table.read()) == [(0, "x"), (1, "x")]
+
+
+def test_relative_names_by_any_form_of_the_folder(spark, tmp_path):
+    (tmp_path / "a b").mkdir()
+    for name in ("x.jpg", "a b/y.PNG", "a b/z.txt"):
+        (tmp_path / name).write_bytes(b"1")
+    for folder in (str(tmp_path), f"{tmp_path}/", f"file:{tmp_path}", f"file://{tmp_path}"):
+        assert {r["relative"] for r in images.files(spark, folder, recursive=True).collect()} == {"x.jpg", "a b/y.PNG"}
+        assert {r["relative"] for r in images.files(spark, folder).collect()} == {"x.jpg"}
