@@ -200,8 +200,9 @@ def _kind(hit: Column) -> Column:
     )
 
 
-def pseudonymized(docs: DataFrame, key: str = "example key", back: bool = False) -> DataFrame:
-    """A row for each document: doc_id, n_pii and a count n_<kind> for each kind, pii (what was found, by place), text."""
+def pseudonymized(docs: DataFrame, key: str = "example key", back: bool = False, clear: bool = False) -> DataFrame:
+    """A row for each document: doc_id, n_pii and a count n_<kind> for each kind, pii (kind:pseudonym of each find, by place),
+    text. clear: pii holds what was found instead, which whoever gets the result can then read."""
 
     def of(hit: Column) -> Column:
         def by_kind(kind: Column) -> Column:
@@ -220,7 +221,7 @@ def pseudonymized(docs: DataFrame, key: str = "example key", back: bool = False)
     counts = [F.size(F.filter("valid", _is(name))).cast("long").alias(f"n_{name}") for name, _, _ in KINDS]
     parts = F.zip_with(spans.gaps(F.col("text"), EVERY), F.col("found"), lambda g, x: F.concat(g, F.coalesce(x["new"], x["hit"], F.lit(""))))
     text = F.when(F.size("valid") > 0, F.array_join(parts, "")).otherwise(F.col("text"))
-    return df.select("doc_id", F.size("valid").cast("long").alias("n_pii"), *counts, F.transform("valid", lambda x: F.concat(x["kind"], F.lit(":"), x["hit"])).alias("pii"), text.alias("text"))
+    return df.select("doc_id", F.size("valid").cast("long").alias("n_pii"), *counts, F.transform("valid", lambda x: F.concat(x["kind"], F.lit(":"), x["hit" if clear else "new"])).alias("pii"), text.alias("text"))
 
 
 def _is(name: str):

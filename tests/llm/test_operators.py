@@ -529,7 +529,7 @@ def test_pseudonyms_of_neighbours_of_every_kind(spark):
     values = [(k, v) for k, vs in SHAPES.items() for v in vs] + [("", v) for v in VOID]
     rows = [(i, f"{a}{gap}{b} end") for i, (a, b, gap) in enumerate((a, b, gap) for _, a in values for _, b in values for gap in (" ", ", ", "\n"))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r for r in pseudonyms.pseudonymized(df, "k").collect()}
+    got = {r["doc_id"]: r for r in pseudonyms.pseudonymized(df, "k", clear=True).collect()}
     undone = {r["doc_id"]: r["text"] for r in pseudonyms.pseudonymized(spark.createDataFrame([(r["doc_id"], r["text"]) for r in got.values()], "doc_id long, text string"), "k", back=True).collect()}
     new = {}
     for i, text in rows:
@@ -548,9 +548,13 @@ def test_pseudonyms_of_neighbours_of_every_kind(spark):
 def test_pseudonyms_of_the_given_texts_equal_python(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     want = {r["doc_id"]: (r["text"], found_by_hand(r["text"] or "")) for r in docs.collect()}
-    said = pseudonyms.pseudonymized(docs, "k").persist()
+    said = pseudonyms.pseudonymized(docs, "k", clear=True).persist()
     for r in said.collect():
         assert r["pii"] == [f"{k}:{v}" for k, v in want[r["doc_id"]][1]]
+    for r in pseudonyms.pseudonymized(docs, "k").collect():  # without being asked for, no clear value is given
+        clear = [f"{k}:{v}" for k, v in want[r["doc_id"]][1]]
+        assert [x.split(":")[0] for x in r["pii"]] == [x.split(":")[0] for x in clear] and not set(clear) & set(r["pii"])
+        assert all(x.split(":", 1)[1] in r["text"] for x in r["pii"])
     back = pseudonyms.pseudonymized(said.select("doc_id", "text"), "k", back=True)
     assert all((r["text"] or "").lower() == (want[r["doc_id"]][0] or "").lower() for r in back.collect())
     assert said.where("n_pii > 0").count() == sum(bool(found) for _, found in want.values()) > 0
@@ -558,7 +562,7 @@ def test_pseudonyms_of_the_given_texts_equal_python(spark):
 
 def test_pseudonyms_of_the_given_phones(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where(F.col("text").rlike(r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}"))
-    got = pseudonyms.pseudonymized(docs).collect()
+    got = pseudonyms.pseudonymized(docs, clear=True).collect()
     assert sum(r["n_phone"] for r in got) >= 19
     assert sum(x == y for r, t in [(r, r["text"]) for r in got] for x in r["pii"] for y in ["phone:" + m for m in re.findall(r"\+1 \(\d{3}\) \d{3}-\d{4}", t)]) == 0
 
