@@ -80,11 +80,12 @@ def lookup_by_hash(spark, sf_dir):
   unnest(CASE WHEN id % 10 = 0 THEN ['again'] WHEN id % 3 = 0 THEN ['Changed', 'd' || label] ELSE ['c' || label] END) AS value
   FROM corpus WHERE id % 5 <> 0 OR id % 10 = 0""", CORPUS)
 def cache_log(spark, sf_dir):
-    """A log of four changes: fields of all rows, other fields of every third, every fifth deleted, every tenth put back."""
-    rows, log = corpus(spark, sf_dir).withColumn("key", F.col("file_name")), changelog.ChangeLog(spark, _place(spark, "cache"))
+    """A log of four changes: fields of all rows, other fields of every third, every fifth deleted, every tenth put back.
+    A row's key is its name and id, since names are cut to five digits and repeat from 100,000 rows on."""
+    rows, log = corpus(spark, sf_dir).withColumn("key", F.concat("file_name", F.lit("#"), "id")), changelog.ChangeLog(spark, _place(spark, "cache"))
     change = lambda df, **fields: df.select("key", F.lit(0).alias("seq"), F.create_map(*[x for n, v in fields.items() for x in (F.lit(n), v)]).alias("value"))
     log.put(change(rows, category=F.concat(F.lit("c"), "label")))
     log.put(change(rows.where("id % 3 = 0"), category=F.lit("Changed"), description=F.concat(F.lit("d"), "label")))
     log.delete(rows.where("id % 5 = 0"))
     log.put(change(rows.where("id % 10 = 0"), description=F.lit("again")))
-    return log.read().select("key", F.explode("value").alias("field", "value"))
+    return log.read().select(F.regexp_replace("key", r"#-?\d+$", "").alias("key"), F.explode("value").alias("field", "value"))
