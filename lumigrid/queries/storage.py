@@ -97,8 +97,13 @@ def table_commits(spark, sf_dir):
     return t.read().withColumn("state", F.lit("stored")).unionByName(refused.withColumnRenamed("error", "state")).drop("file_hash")
 
 
+def _numbered(rows):
+    """rows with their numbers in their file names: these are cut to five digits and repeat from 100,000 rows on."""
+    return rows.withColumn("file_name", F.concat("file_name", F.lit("#"), F.col("id") - 1))
+
+
 def _number(name: str) -> int:
-    return int(re.search(r"img_(\d+)", name)[1])
+    return int(re.search(r"#(-?\d+)$", name)[1])
 
 
 def analyse(files: list[str]) -> list[dict]:
@@ -126,7 +131,8 @@ def _shown(df, *keys):
 @query("semantics_asked", "SELECT file_name, new_category AS category, new_description AS description, new_entities AS entities, new_vector AS vector FROM asked", (*CORPUS, _SAID))
 def semantics_asked(spark, sf_dir):
     """What a model says of each file, requests that fail being asked file by file, and the embedding of what it said."""
-    return _shown(flows.semantics(corpus(spark, sf_dir).select("file_name"), analyse, embed), "file_name")
+    said = flows.semantics(_numbered(corpus(spark, sf_dir)).select("file_name"), analyse, embed)
+    return _shown(said.withColumn("file_name", F.regexp_replace("file_name", r"#-?\d+$", "")), "file_name")
 
 
 _MISSES = "(coalesce(category, '') = '' OR id % 4 = 0 OR id % 3 = 0) AND id % 5 <> 0"
@@ -136,7 +142,7 @@ _MISSES = "(coalesce(category, '') = '' OR id % 4 = 0 OR id % 3 = 0) AND id % 5
   CASE WHEN {_MISSES} THEN new_entities ELSE array_to_string(entities, ',') END AS entities, CASE WHEN {_MISSES} THEN new_vector WHEN id % 4 <> 0 THEN [1.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE] END AS vector FROM asked""", (*CORPUS, _SAID))
 def semantics_completed(spark, sf_dir):
     """The table after semantics were made anew for rows that miss any and whose file is there: every fifth file isn't."""
-    rows = corpus(spark, sf_dir)
+    rows = _numbered(corpus(spark, sf_dir))
     vector = F.when(F.col("id") % 4 != 0, F.array(*[F.lit(x).cast("float") for x in (1, 0, 0)]))
     rows = rows.select("id", "file_name", "category", F.when(F.col("id") % 3 != 0, "old").alias("description"), "entities", vector.alias("llm_embedding"))
     return _shown(flows.completed(rows, rows.where("id % 5 <> 0").select("file_name"), analyse, embed), "id")

@@ -5,7 +5,7 @@ import pytest
 duckdb = pytest.importorskip("duckdb")
 from lumigrid.queries import catalogue  # noqa: E402
 
-NAMES = ("cache_log",)
+NAMES = ("cache_log", "semantics_asked", "semantics_completed")
 
 
 @pytest.fixture(scope="module")
