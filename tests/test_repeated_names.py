@@ -28,3 +28,9 @@ def test_repeated_names(spark, folder, name):
     ours = catalogue.queries()[name](spark, folder).select(*cols).collect()
     rows = lambda some: sorted((tuple(plain(x) for x in r) for r in some), key=repr)
     assert rows(ours) == rows(got.fetchall())
+
+
+def test_every_row_has_its_class(spark, folder):
+    got = catalogue.queries()["join_same_label"](spark, folder).collect()
+    assert len(got) == 72 and sum(r["links"] for r in got) == 3 * 24 * 23
+    assert {r["class_id"] for r in got} == {1, 2, 3}
