@@ -34,3 +34,16 @@ def test_every_row_has_its_class(spark, folder):
     got = catalogue.queries()["join_same_label"](spark, folder).collect()
     assert len(got) == 72 and sum(r["links"] for r in got) == 3 * 24 * 23
     assert {r["class_id"] for r in got} == {1, 2, 3}
+
+
+def test_entity_overlap_keeps_nothing_for_each_pair_of_rows(spark, tmp_path):
+    from tests.test_oracle import plain
+
+    rows = [(i, [float((i * 7 + j) % 23 - 11) for j in range(64)], i % 3) for i in range(320)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = catalogue.queries()["set_entity_overlap"](spark, str(tmp_path))
+    assert "keys=[id#" not in got._jdf.queryExecution().executedPlan().toString()  # rows aren't grouped by pairs of ids
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    want = duck.execute(f"SELECT i, j, shared, either FROM ({catalogue.oracle_sql()['set_entity_overlap']})").fetchall()
+    assert sorted(tuple(plain(x) for x in r) for r in got.collect()) == sorted(want) and want
