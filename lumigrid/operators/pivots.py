@@ -4,8 +4,9 @@ Vectors are dealt to the nearest of a bounded number of pivots, and a pivot's ve
 size, so blocks are compact: each has a centre and a radius. First each block meets itself, which gives each query k
 candidates and so a score that others must reach. By the triangle inequality no product of blocks a and b exceeds
 c_a . c_b + r_a |c_b| + r_b |c_a| + r_a r_b; where that is below what every query of both has, or is promised by the same
-bound from below by some block of k rows, the pair is left out, and neither is sent anywhere for it. What remains is met once for both directions, and only candidates that reach a query's
-score are kept. Pivots and blocks save work; any choice gives the same neighbours.
+bound from below by some block of k rows, the pair is left out. For what remains, a task reads the partners of a block from
+the shared folder, one after the other, and keeps each query's k best: only numbers of blocks are shuffled, and what comes
+out are k rows a query. Pivots and blocks save work; any choice gives the same neighbours.
 
 The bounds of blocks are found between chunks of CHUNK blocks, so no task holds all blocks' centres.
 """
@@ -19,15 +20,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lumigrid.operators import products
 from lumigrid.sources import shared
 
-#: Pivots at most, rows sampled for each, blocks whose centres meet in a task, and partners that a task of one block meets.
-PIVOTS, SAMPLED, CHUNK, PARTNERS = 1024, 8, 1024, 32
+#: Pivots at most, rows sampled for each, and blocks whose centres meet in a task.
+PIVOTS, SAMPLED, CHUNK = 1024, 8, 1024
+#: The share of pairs beyond which bounds save too little: full blocks, which are fewer, all meet then.
+CROWDED = 0.5
 LEAST = np.iinfo(np.int64).min
-FOUND = "q long, c long, score long"
+NEAR = "q long, c long, rank long, sim double"
 
 
 def _saved(arrays: dict[str, np.ndarray]) -> bytes:
@@ -80,9 +82,9 @@ def dealt(rows: DataFrame, n: int, size: int, epsilon: float) -> DataFrame:
     return near.join(F.broadcast(counts), "pivot").select("pivot", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id", "v")
 
 
-def blocks(rows: DataFrame, k: int, places: int) -> DataFrame:
-    """(block, payload, bound): a block's ids, vectors and the score each query must reach; bound: centre, radius, length of
-    the centre, the least of those scores and the number of rows, in a written table."""
+def blocks(rows: DataFrame, k: int, places: int) -> tuple[DataFrame, str]:
+    """(block, bound), and the folder with each block's payload, for shared.read_number(): ids, vectors and the best of its own
+    rows; bound: centre, radius, length of the centre, the least score that its queries must reach and the number of rows."""
 
     def one(whole: pa.Table) -> pa.Table:
         whole = whole.sort_by("id")
@@ -95,10 +97,11 @@ def blocks(rows: DataFrame, k: int, places: int) -> DataFrame:
         radius = np.sqrt(((v - centre) ** 2).sum(1).max())
         bound = np.concatenate([centre, [radius, np.linalg.norm(centre), float(reach.min()), len(ids)]])
         block = (int(whole.column("pivot")[0].as_py()) << 32) | int(whole.column("part")[0].as_py())
-        payload = _saved({"id": ids, "v": v, "reach": reach, "best": best.id, "score": best.score})
+        payload = _saved({"id": ids, "v": v, "best": best.id, "score": best.score})
         return pa.table({"block": pa.array([block]), "payload": pa.array([payload], pa.binary()), "bound": pa.array([bound.tolist()])})
 
-    return shared.written(rows.groupBy("pivot", "part").applyInArrow(one, "block long, payload binary, bound array<double>"), "blocks")
+    path, _ = shared.by_number(rows.groupBy("pivot", "part").applyInArrow(one, "block long, payload binary, bound array<double>"), "block", "blocks")
+    return rows.sparkSession.read.schema("block long, bound array<double>").parquet(path), path
 
 
 def _chunks(bounds: DataFrame, chunks: int) -> DataFrame:
@@ -156,52 +159,60 @@ def pairs(bounds: DataFrame, k: int, places: int) -> DataFrame:
     return shared.written(_chunks(raised(bounds, k, chunks, places), chunks).mapInArrow(run, "a long, b long"), "block-pairs")
 
 
-def found(blocks_: DataFrame, pairs_: DataFrame, k: int, places: int) -> DataFrame:
-    """FOUND: each query's candidates from its own block, and those of others that reach its score."""
+def _no_label(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    return np.zeros(np.shape(i), dtype=np.int64)
 
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for payload in batch.column(0):
-                x = _loaded(payload.as_py())
-                keep = x["score"] != LEAST
-                q = np.broadcast_to(x["id"][:, None], keep.shape)
-                yield pa.RecordBatch.from_pydict({"q": q[keep], "c": x["best"][keep], "score": x["score"][keep]})
+
+def found(bounds: DataFrame, path: str, pairs_: DataFrame, k: int, places: int) -> DataFrame:
+    """NEAR of each block's queries, from its own rows and those of its partners."""
+    scores = products.Scores({"v": "product"}, [{"v": 1.0}])
+
+    def read(block: int) -> dict[str, np.ndarray]:
+        return _loaded(next(shared.read_number(path, block, "payload")))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, mine = None, {}
+        mine, best = None, None
+        told = lambda: pa.RecordBatch.from_pydict({x: got[x] for got in [best.rows(mine["id"], places)] for x in ("q", "c", "rank", "sim")})
         for batch in batches:
-            for r in range(batch.num_rows):
-                a, slot, b, payload = (batch.column(i)[r].as_py() for i in range(4))
-                arrays = _loaded(payload)
-                if (a, slot) != now:
-                    now, mine = (a, slot), arrays  # a's own payload comes first
-                if a == b:
-                    continue
-                score = products.whole(products.product(mine["v"], arrays["v"]), places)
-                for s, x, y in ((score, mine, arrays), (score.T, arrays, mine)):
-                    best = products.Best(len(x["id"]), k).add(s, y["id"], skip=s < x["reach"][:, None])
-                    keep = best.score != LEAST
-                    q = np.broadcast_to(x["id"][:, None], keep.shape)
-                    yield pa.RecordBatch.from_pydict({"q": q[keep], "c": best.id[keep], "score": best.score[keep]})
-
-    turned = F.pmod(F.xxhash64("a", "b"), F.lit(2)) == 0  # either block of a pair may hold the other, so none holds all
-    even = pairs_.select(F.when(turned, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(turned, F.col("b")).otherwise(F.col("a")).alias("b"))
-    slots = even.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("slots"))
-    placed = even.join(slots, "a").select("a", F.pmod(F.xxhash64("b"), F.col("slots")).cast("int").alias("slot"), "b")
-    whole = placed.select("a", "slot").distinct().withColumn("b", F.col("a")).unionByName(placed)
-    sent = whole.join(blocks_.select(F.col("block").alias("b"), "payload"), "b").select("a", "slot", "b", "payload")
-    grouped = sent.repartition("a", "slot").sortWithinPartitions("a", "slot", F.col("b") != F.col("a"), "b")
-    return blocks_.select("payload").mapInArrow(own, FOUND).unionByName(grouped.mapInArrow(meet, FOUND))
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if b is None:  # a's own row comes first
+                    if best is not None:
+                        yield told()
+                    mine, best = read(a), products.Best(0, k)
+                    best.id, best.score, best.y = mine["best"], mine["score"], np.zeros_like(mine["best"])
+                else:
+                    scores.offer([best], mine, read(b), _no_label, places, selves=True)
+        if best is not None:
+            yield told()
+
+    both = pairs_.unionByName(pairs_.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    own = bounds.select(F.col("block").alias("a"), F.lit(None).cast("long").alias("b"))
+    met = own.unionByName(both).repartition(min(1024, max(1, bounds.count())), "a").sortWithinPartitions("a", F.col("b").asc_nulls_first())
+    return met.mapInArrow(meet, NEAR)
 
 
 def neighbours(rows: DataFrame, n: int, k: int, size: int = products.SIZE, places: int = 6, epsilon: float = 1e-9, told: Callable[[int], None] | None = None) -> DataFrame:
     """(q, c, rank, sim): each row's k best of rows (id, v array<double> of one length, none null) by cosine, itself included;
     sims are rounded and ties go to the lower id. n: about how many blocks there will be; told gets the number of pairs of
     different blocks that are met."""
-    held = blocks(dealt(rows, n, size, epsilon), k, places)
-    left = pairs(held.select("block", "bound"), k, places)
+    bounds, path = blocks(dealt(rows, n, size, epsilon), k, places)
+    left, every = pairs(bounds, k, places), bounds.count()
+    met = left.count()
     if told:
-        told(left.count())
-    best = Window.partitionBy("q").orderBy(F.desc("score"), "c")
-    ranked = found(held, left, k, places).withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k)
-    return ranked.select("q", "c", "rank", (F.col("score") / 10.0**places + 0.0).alias("sim"))
+        told(met)
+    if met > CROWDED * every * (every - 1) / 2:
+        return unpruned(rows, k, size, places, epsilon)
+    return found(bounds, path, left, k, places)
+
+
+def unpruned(rows: DataFrame, k: int, size: int = products.SIZE, places: int = 6, epsilon: float = 1e-9) -> DataFrame:
+    """neighbours() by all pairs of full blocks, of which a task holds several."""
+    blocks_, n = products.packed(rows, {"v": F.col("v")}, size)
+    units = lambda x: {"id": x["id"], "v": products.unit(x["v"], epsilon)}
+    scores = products.Scores({"v": "product"}, [{"v": 1.0}])
+
+    def meet(best: products.Best, q: products.Arrays, c: products.Arrays) -> products.Best:
+        scores.offer([best], units(q), units(c), _no_label, places, selves=True)
+        return best
+
+    return products.met(blocks_, n, lambda q: products.Best(len(q["id"]), k), meet, lambda best, q: best.rows(q["id"], places), NEAR)

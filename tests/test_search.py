@@ -114,6 +114,22 @@ def test_pruned_neighbours_equal_all_pairs(spark, n, groups, size, monkeypatch):
     assert sorted(map(tuple, again)) == sorted(map(tuple, got))
 
 
+@pytest.mark.parametrize("crowded", [0.5, 1.0])
+def test_neighbours_shuffle_no_vector(spark, crowded, monkeypatch):
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(np.random.default_rng(4).normal(size=(400, 16)))], "id long, v array<double>")
+    monkeypatch.setattr(pivots, "CROWDED", crowded)
+    got = pivots.neighbours(df, 10, 5, 40)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "payload" not in plan and "Window" not in plan  # numbers of blocks meet, and k rows a query come out
+    assert got.count() == 400 * 5
+
+
+def test_files_of_neighbours_whose_names_repeat(spark):
+    rows = [(i, f"img_{i // 2}.jpg", x.tolist()) for i, x in enumerate(np.random.default_rng(5).normal(size=(40, 4)))]
+    got = groundtruth.knn_ground_truth(spark.createDataFrame(rows, "id long, file_name string, v array<double>"), "v", 3, ids=True)
+    assert sorted((r["cluster_key"], r["id"], r["pos"]) for r in got.collect()) == sorted((str(i + 1), i, p) for i in range(40) for p in range(3))
+
+
 def test_too_many_query_rows_are_refused(spark):
     rows = spark.range(5).select("id", F.lit("x").alias("word"))
     assert S.handful(rows, 5).count() == 5 and sorted(r["id"] for r in S.handful(rows, 5).collect()) == [0, 1, 2, 3, 4]
