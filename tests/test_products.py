@@ -40,3 +40,18 @@ def test_meeting_blocks_shuffles_none(spark):
     for got in (evaluation.top_ranks(df, {"v": F.col("v")}, evaluation.cosines, 3, size=64), evaluation.all_ap_full(df, {"v": F.col("v")}, evaluation.cosines, size=64)):
         assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
         assert got.count() >= 300
+
+
+def test_counts_of_bounded_scores_equal_sorted_ones(spark, monkeypatch):
+    monkeypatch.setattr(evaluation, "WAITING", 100)
+    known = F.when(F.col("id") % 7 > 0, F.col("id") % 5)
+    df = spark.range(400).select("id", known.alias("label"), F.when(F.col("id") == 5, F.array(F.lit(0.0), F.lit(0.0))).otherwise(F.array(F.sin("id"), F.cos(F.col("id") * 3))).alias("v"))
+    sorted_ = lambda q, c: evaluation.cosines(q, c)
+    for f in (evaluation.all_ap_full, evaluation.all_pr_points):
+        got, want = (sorted(map(tuple, f(df, {"v": F.col("v")}, s, size=64).collect())) for s in (evaluation.cosines, sorted_))
+        assert len(got) > 300 and np.allclose(got, want, rtol=0, atol=1e-12)
+    held = evaluation.Counts(3, 10_000)
+    for _ in range(500):  # what a task holds doesn't grow with the rows it meets
+        held.add(np.zeros((3, 1000)), np.zeros((3, 1000), dtype=bool), np.array([0]), np.array([0]))
+    held.settle()
+    assert held.counts.nbytes + sum(x.nbytes for x in held.waiting) < 2_000_000 and held.counts.sum() == 500 * 2999
