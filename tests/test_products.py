@@ -55,3 +55,14 @@ def test_counts_of_bounded_scores_equal_sorted_ones(spark, monkeypatch):
         held.add(np.zeros((3, 1000)), np.zeros((3, 1000), dtype=bool), np.array([0]), np.array([0]))
     held.settle()
     assert held.counts.nbytes + sum(x.nbytes for x in held.waiting) < 2_000_000 and held.counts.sum() == 500 * 2999
+
+
+def test_sample_without_sorting_pairs(spark):
+    rows = spark.range(-3, 300).select("id", F.when(F.col("id") % 11 > 0, F.col("id") % 6 + F.when(F.col("id") > 200, 7).otherwise(0)).alias("label"))
+    q = rows.where("id % 10 = 0")
+    a, b = q.alias("a"), rows.alias("b")
+    pairs = a.join(b, F.col("a.id") != F.col("b.id")).select(F.col("a.id").alias("q"), F.col("b.id").alias("c"), (F.col("a.label") == F.col("b.label")).cast("int").alias("y"), F.lit(0.0).alias("sim"))
+    want = sorted(map(tuple, evaluation.separation_sample(pairs).select("q", "c", "y").collect()))
+    got = evaluation.all_separation_sample(q, rows)
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 1000
+    assert "Sort" not in got._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
