@@ -66,3 +66,13 @@ def test_sample_without_sorting_pairs(spark):
     got = evaluation.all_separation_sample(q, rows)
     assert sorted(map(tuple, got.collect())) == want and len(want) > 1000
     assert "Sort" not in got._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+
+
+def test_images_of_one_name_all_stay_by_whole_names(spark):
+    from lumigrid.operators import optimize
+
+    images = spark.createDataFrame([(1, "a/x.jpg"), (2, "b/x.jpg"), (3, "a/x.jpg"), (4, "c/y.jpg")], "id long, file_name string").withColumn("label", F.lit("old"))
+    members = spark.createDataFrame([("1", 0, "a/x.jpg"), ("1", 1, "a/x.jpg"), ("2", 0, "b/x.jpg")], "cluster_key string, pos long, file_name string")
+    got = optimize.store(images, members, whole=True)
+    assert sorted((r["id"], r["label"]) for r in got.collect()) == [(1, "1"), (2, "2"), (3, "1")]
+    assert optimize.store(images, members).count() == 1
