@@ -16,8 +16,10 @@ empty table gives an empty result; a null id is kept.
 
 from __future__ import annotations
 
+import json
 import math
 import os
+import re
 import zlib
 from array import array
 from bisect import bisect_right
@@ -32,8 +34,8 @@ from pyspark.sql import functions as F
 from lumigrid.llm import common
 
 SIZE, END_ID = 2048, 0
-#: Words whose ids a Python worker keeps at most.
-MAX_WORDS = 350_000
+#: Words, and parts of words, whose ids a Python worker keeps at most; those that are encoded at once.
+MAX_WORDS, AT_ONCE = 350_000, 20_000
 #: The program ends this close to its lower bound; prices fall by exp(-RATE) until a length is covered.
 GAP, RATE = 0.01, 2.0
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -45,8 +47,37 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: A rule that cuts words into parts, which are encoded one by one after NFC and lower-casing; what a part's last id stands for ends with END.
+RULE, END = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", "</w>"
+#: What plain words don't hold: they are of ASCII and of Latin-1's letters, which NFC leaves alone. Their parts by RULE once they are
+#: lower-cased, which are kept for all words that have them, and the words of ASCII white space.
+ODD = re.compile("[^\t-\r -~\xc0-\xd6\xd8-\xf6\xf8-\xff]")
+PARTS = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[!-/:-@\[-`{-~]+")
+WORD = re.compile("[^\t-\r ]+")
+
+
+def ends_of(path: str) -> np.ndarray | None:
+    """Whether each id ends a part of a word; None for a tokenizer that doesn't go by RULE."""
+    with open(path, encoding="utf-8") as f:
+        held = json.load(f)
+    kinds = [x["type"] for x in (held.get("normalizer") or {}).get("normalizers", [])]
+    cuts = (held.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    split = cuts[0] if [x["type"] for x in cuts] == ["Split", "ByteLevel"] else {}
+    model = held["model"]
+    as_known = kinds == ["NFC", "Replace", "Lowercase"] and split.get("pattern") == {"Regex": RULE} and split["behavior"] == "Removed" and split["invert"] and not cuts[1]["add_prefix_space"] and not cuts[1]["use_regex"]
+    if not as_known or model["type"] != "BPE" or model["end_of_word_suffix"] != END or any(model[k] for k in ("dropout", "continuing_subword_prefix", "ignore_merges")):
+        return None
+    if any(a["normalized"] or not a["content"].startswith("<|") for a in held["added_tokens"]):
+        return None
+    out = np.zeros(1 + max(model["vocab"].values()), dtype=bool)
+    out[[i for token, i in model["vocab"].items() if token.endswith(END)]] = True
+    return out
+
+
 class Words:
-    """Ids by word. The tokenizer drops white space and never joins across it, so a text's ids are its words' ids."""
+    """Ids by part of a word, or by word. The tokenizer drops white space and never joins across it, so a text's ids are its words'
+    ids. Plain words are made of parts, which repeat more often than words do and are encoded many at once: in one text, whose ids
+    are cut where parts end."""
 
     kept: dict[str, Words] = {}
 
@@ -54,7 +85,7 @@ class Words:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.ids = Tokenizer.from_file(path), {}
+        self.tokenizer, self.ids, self.ends = Tokenizer.from_file(path), {}, ends_of(path)
 
     @classmethod
     def of(cls, path: str) -> Words:
@@ -64,18 +95,44 @@ class Words:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
-        split = [t.encode().split() for t in texts]
-        new = list(set(chain.from_iterable(split)).difference(self.ids))
+        split = [self._cut(t) for t in texts]
+        new = set(chain.from_iterable(split)).difference(self.ids)
         if len(self.ids) + len(new) > MAX_WORDS:
             self.ids.clear()
-            new = list(set(chain.from_iterable(split)))
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
+            new = set(chain.from_iterable(split))
+        parts = [w for w in new if self._plain(w)]
+        for i in range(0, len(parts), AT_ONCE):
+            self._add(parts[i : i + AT_ONCE])
+        others = list(new.difference(parts))
+        for i in range(0, len(others), AT_ONCE):
+            some = others[i : i + AT_ONCE]
+            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 self.ids[w] = array("I", e.ids).tobytes()
         get = self.ids.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
+    def _plain(self, text: str) -> bool:
+        return self.ends is not None and "<|" not in text and not ODD.search(text)
+
+    def _cut(self, text: str) -> list[str]:
+        """The parts of a text's plain words, and its other words, in their order."""
+        if self._plain(text):
+            return PARTS.findall(text.lower())
+        words = WORD.findall(text)
+        if self.ends is None:
+            return words
+        return list(chain.from_iterable(PARTS.findall(w.lower()) if self._plain(w) else (w,) for w in words))
+
+    def _add(self, parts: list[str]) -> None:
+        got = np.array(self.tokenizer.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, dtype="<u4")
+        stops = 4 * (np.flatnonzero(self.ends[got]) + 1)
+        if len(stops) != len(parts):
+            raise ValueError("the tokenizer joins or drops parts of words")
+        raw, a = got.tobytes(), 0
+        for part, z in zip(parts, stops.tolist(), strict=True):
+            self.ids[part] = raw[a:z]
+            a = z
+
 
 def pieces(docs: DataFrame, size: int = SIZE, path: str | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of docs (doc_id, text)."""

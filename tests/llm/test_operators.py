@@ -416,6 +416,25 @@ def test_words_tokenize_like_texts():
         assert np.frombuffer(raw, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, t
 
 
+def test_parts_of_words_are_kept_once_and_tokenize_like_texts(monkeypatch):
+    path = packing.vocabulary_path()
+    held = packing.Words(path)
+    held.encode([" ".join(f"{a}{w}{z}" for w in ("stone", "Stone", "STONE") for a in ("", "(", '"') for z in (".", ",", "***", ")."))])
+    assert len(held.ids) <= 7  # 36 words of one part and six signs
+    rng = np.random.default_rng(7)
+    plain, odd = list("abcdlmrstvezABSTDMRELV'.','!-_<|>0123456789$%~éàÀßÿÖø"), list("×÷ªº²½µſKİΣςÅ中ﬁ😀\x00\x1f\x85\xa0́")
+    texts = [" ".join("".join(rng.choice(plain + (odd if k % 3 == 0 else []), rng.integers(1, 12))) for _ in range(60)) for k in range(300)]
+    texts += ["'", "''s 'S 'Ll don't", "<|endoftext|>a é", "<|ENDOFTEXT|> <| a", "", " \t"]
+    want = [e.ids for e in held.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    monkeypatch.setattr(packing, "MAX_WORDS", 2_000)  # the cache is emptied on the way
+    monkeypatch.setattr(packing, "AT_ONCE", 100)
+    other = packing.Words(path)
+    other.ends = None  # a tokenizer of another rule
+    for words in (held, other):
+        got = [x for i in range(0, len(texts), 50) for x in words.encode(texts[i : i + 50])]
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == want
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plans_hold_every_piece(seed):
     rng = np.random.default_rng(seed)
