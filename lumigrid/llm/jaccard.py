@@ -105,7 +105,7 @@ def chosen_hubs(rows: DataFrame, linked: DataFrame, roots: DataFrame) -> DataFra
     whole = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     heads = whole.join(degree, "node").groupBy("root").agg(F.max_by("node", F.struct("count", -F.col("node"))).alias("hub"), F.count(F.lit(1)).alias("size"))
     heads = heads.select(F.col("root").alias("hub_root"), "hub", "size")
-    told = rows.join(heads, F.col("root") == F.col("hub_root"))
+    told = rows.select("shingle", "root").distinct().join(heads, F.col("root") == F.col("hub_root"))
     spoken = told.groupBy("shingle").agg(F.max(F.struct("size", "hub_root", "hub")).alias("h"))
     met = rows.select("shingle", "set_id").join(spoken, "shingle").groupBy("set_id", "h").count()
     return met.groupBy("set_id").agg(F.max_by("h", F.struct("count", "h")).alias("h")).select("set_id", "h.hub", "h.hub_root")

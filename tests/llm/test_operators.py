@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumigrid.llm import compact, graph, jaccard, media, mixing, packing, pseudonyms, quality, secret_scan, sharding, shingling, spelling, suffix_tree, toxicity
+from lumigrid.llm import common, compact, graph, jaccard, media, mixing, packing, pseudonyms, quality, secret_scan, sharding, shingling, spelling, suffix_tree, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, size long, shard int, spans string, row string"
 LONG = "alpha beta gamma delta " * 30_000
@@ -380,6 +380,17 @@ def test_components_of_a_path_and_a_cycle(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_what_is_shuffled_for_a_table_goes_with_its_writing(spark):
+    folders = list(spark._jsc.sc().env().blockManager().diskBlockManager().localDirsString())
+    shuffled = lambda: {f.name for d in folders for f in Path(d).rglob("shuffle_*.data")}
+    before, usual = shuffled(), spark.conf.get(common.CLEANUP)
+    rows = spark.range(1000).withColumn("k", F.col("id") % 10).groupBy("k").agg(F.collect_list("id").alias("ids"))
+    common.written(rows, "table")
+    assert shuffled() <= before and spark.conf.get(common.CLEANUP) == usual
+    rows.write.format("noop").mode("overwrite").save()
+    assert shuffled() - before  # the folders are the right ones
+
+
 # 5 packing
 
 
