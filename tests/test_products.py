@@ -1,9 +1,13 @@
 """Blocks that meet: nothing is shuffled for it, and screened scores give the same best rows."""
 
+import functools
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lumigrid.operators import evaluation, products
+from lumigrid.queries import catalogue
 
 
 def block(rng, ids):
@@ -42,6 +46,33 @@ def test_meeting_blocks_shuffles_none(spark):
         assert got.count() >= 300
 
 
+def moved(spark, run):
+    """Bytes that run() shuffles, spills and writes, by its stages."""
+    context, gateway = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+
+    def stages():
+        context.listenerBus().waitUntilEmpty(30_000)
+        found = context.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+        return {s.stageId(): s.shuffleWriteBytes() + s.diskBytesSpilled() + s.outputBytes() for s in (found.apply(i) for i in range(found.size()))}
+
+    before = max(stages(), default=-1)
+    run()
+    return sum(x for k, x in stages().items() if k > before)
+
+
+@pytest.mark.parametrize("name", ["eval_report"])
+def test_what_ranks_move_grows_as_the_rows(spark, monkeypatch, tmp_path, name):
+    monkeypatch.setattr(evaluation, "top_ranks", functools.partial(evaluation.top_ranks, size=64))
+    vector, made = F.array(*[F.sin(F.col("id") * (k + 1) + F.lit(k * k)).cast("float") for k in range(16)]), {}
+    for rows in (512, 2048):  # 8 and 32 blocks
+        d = str(tmp_path / str(rows))
+        spark.range(rows).select(F.col("id").alias("vec_id"), vector.alias("embedding"), (F.col("id") % 7).cast("int").alias("label")).write.parquet(f"{d}/embeddings.parquet")
+        out = f"{d}/{name}"
+        made[rows] = moved(spark, lambda d=d, out=out: catalogue.queries()[name](spark, d).write.parquet(out))
+        assert spark.read.parquet(out).count() == (5 if name == "eval_worst_five" else rows)
+    assert 0 < made[2048] < 5 * made[512]
+
+
 def test_counts_of_bounded_scores_equal_sorted_ones(spark, monkeypatch):
     monkeypatch.setattr(evaluation, "WAITING", 100)
     known = F.when(F.col("id") % 7 > 0, F.col("id") % 5)
