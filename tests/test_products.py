@@ -60,7 +60,7 @@ def moved(spark, run):
     return sum(x for k, x in stages().items() if k > before)
 
 
-@pytest.mark.parametrize("name", ["eval_report", "eval_worst_five"])
+@pytest.mark.parametrize("name", ["eval_report", "eval_worst_five", "eval_ap_at_5"])
 def test_what_ranks_move_grows_as_the_rows(spark, monkeypatch, tmp_path, name):
     monkeypatch.setattr(evaluation, "top_ranks", functools.partial(evaluation.top_ranks, size=64))
     vector, made = F.array(*[F.sin(F.col("id") * (k + 1) + F.lit(k * k)).cast("float") for k in range(16)]), {}
