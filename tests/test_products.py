@@ -39,6 +39,29 @@ def test_screened_scores_give_the_best_of_all(monkeypatch):
     assert any(s is not None for s in screened)
 
 
+def test_weights_that_one_metric_cant_tell_apart_leave_few_pairs(monkeypatch):
+    rng = np.random.default_rng(2)
+    metrics = {"b": "scalar", "v": "cosine", "c": "category"}
+    vectors = [{"b": 0.46, "v": w, "c": 0.54 - w} for w in (0.003, 0.02, 0.1, 0.3)]
+
+    def some(ids):
+        v = rng.normal(size=(len(ids), 16)) * (rng.random(len(ids)) > 0.02)[:, None]
+        return {"id": np.sort(ids), "b": np.abs(rng.normal(size=len(ids))) / 8, "v": v, "c": rng.integers(0, 5, len(ids)), "label": rng.integers(0, 9, len(ids)), "known": rng.random(len(ids)) > 0.1}
+
+    blocks, exact = [some(ids) for ids in np.split(rng.permutation(16_384), 8)], []
+    got, want = ([products.Best(2048, 5) for _ in vectors] for _ in range(2))
+    scores, q, add = products.Scores(metrics, vectors), blocks[0], products.Best.add
+    for c in blocks:
+        for best, s in zip(want, scores.all(q, c), strict=True):
+            best.add(products.whole(s, 6), c["id"], evaluation._relevant(q, c), q["id"][:, None] == c["id"][None, :])
+    monkeypatch.setattr(products.Best, "add", lambda self, score, *a: exact.append(score.size) or add(self, score, *a))
+    for c in blocks:
+        scores.offer(got, q, c, evaluation.relevance_of(q, c), 6)
+    for a, b in zip(got, want, strict=True):
+        assert (a.score == b.score).all() and (a.id == b.id).all() and (a.y == b.y).all()
+    assert sum(exact) < 0.1 * len(vectors) * 2048 * 16_384  # pairs that were scored for a whole block
+
+
 def test_meeting_blocks_shuffles_none(spark):
     df = spark.range(300).select("id", (F.col("id") % 5).alias("label"), F.array(F.sin("id"), F.cos(F.col("id") * 3)).alias("v"))
     for got in (evaluation.top_ranks(df, {"v": F.col("v")}, evaluation.cosines, 3, size=64), evaluation.all_ap_full(df, {"v": F.col("v")}, evaluation.cosines, size=64)):
