@@ -111,6 +111,23 @@ def test_counts_of_bounded_scores_equal_sorted_ones(spark, monkeypatch):
     assert held.counts.nbytes + sum(x.nbytes for x in held.waiting) < 2_000_000 and held.counts.sum() == 500 * 2999
 
 
+def test_blocks_stay_whole_where_tasks_hold_fewer_queries(spark, monkeypatch):
+    from lumigrid.operators import flows, optimize
+
+    rows, numbers, by_number = 1024, [], evaluation.shared.by_number
+    kind = F.element_at(F.array(F.lit("Car"), F.lit("car"), F.lit(""), F.lit("Tree")), (F.col("id") % 4 + 1).cast("int"))
+    vector = F.when(F.col("id") % 50 > 0, F.array(*[F.sin(F.col("id") * (k + 1) + F.lit(k * k)) for k in range(6)]))
+    df = spark.range(rows).select("id", F.when(F.col("id") % 9 > 0, F.col("id") % 7).alias("label"), (F.abs(F.sin("id")) * 3).alias("b"), (F.abs(F.cos("id")) / 9).alias("near"), vector.alias("v"), kind.alias("kind"))
+    features, w = {"b": ("b", "scalar"), "near": ("near", "scalar"), "sharp": ("b", "sharpness"), "v": ("v", "cosine"), "kind": ("kind", "category")}, {"b": 0.2, "near": 0.1, "sharp": 0.15, "v": 0.3, "kind": 0.25}
+    sim = F.round(sum((F.col(n) * w[n] for n in w), F.lit(0.0)), 6) + F.lit(0.0)
+    pairs = optimize.pair_table(df, df, features).select("q", "c", F.coalesce("y", F.lit(0)).alias("y"), sim.alias("sim"))
+    monkeypatch.setattr(evaluation, "ENTRIES", 16 * rows)
+    monkeypatch.setattr(evaluation.shared, "by_number", lambda *a: numbers.append(by_number(*a)) or numbers[-1])
+    got = dict(map(tuple, evaluation.all_ap_full(df, products.columns_of(features), flows.weighted_score(features, w), places=6).collect()))
+    assert got == pytest.approx(dict(map(tuple, evaluation.ap_full(pairs).collect())), abs=1e-9) and len(got) > 800
+    assert len(numbers[-1][1]) <= 8  # not 64 blocks, each of which every task would read
+
+
 def test_sample_without_sorting_pairs(spark):
     rows = spark.range(-3, 300).select("id", F.when(F.col("id") % 11 > 0, F.col("id") % 6 + F.when(F.col("id") > 200, 7).otherwise(0)).alias("label"))
     q = rows.where("id % 10 = 0")
