@@ -36,6 +36,25 @@ def test_every_row_has_its_class(spark, folder):
     assert {r["class_id"] for r in got} == {1, 2, 3}
 
 
+@pytest.mark.parametrize("listed", [5, 1024])
+def test_every_row_has_all_rows_of_its_label(spark, tmp_path, monkeypatch, listed):
+    from lumigrid.queries import tables
+
+    vector = [0.0] * 64
+    rows = [(i, vector, None if i % 17 == 3 else i % 3 if i % 5 else 7) for i in range(300)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    monkeypatch.setattr(tables, "LISTED", listed)
+    got = catalogue.queries()["join_same_label"](spark, str(tmp_path)).collect()
+    pairs = [(r["id"], j) for r in got for j in r["others"]]
+    assert sorted(pairs) == [(a + 1, b + 1) for a, _, x in rows for b, _, y in rows if x is not None and x == y and a != b]
+    assert {r["id"] for r in got} == set(range(1, 301)) and max(len(r["others"]) for r in got) < 4 * listed
+    if listed == 1024:
+        duck = duckdb.connect()
+        duck.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+        want = duck.execute(f"SELECT id, class_id, links, part, others FROM ({catalogue.oracle_sql()['join_same_label']})").fetchall()
+        assert sorted((*r[:4], list(r[4])) for r in got) == sorted((*r[:4], list(r[4])) for r in want)
+
+
 def test_entity_overlap_keeps_nothing_for_each_pair_of_rows(spark, tmp_path):
     from tests.test_oracle import plain
 
